@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import lookalikes, mojibake, repetition
+from scriptorium.llm import canonical, lookalikes, mojibake, repetition
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
     return {
         "p4_found": lambda s, d: mojibake.p4_found(table(s, d, "utb_metadata_arr")),
         "p5_found": lambda s, d: lookalikes.p5_found(table(s, d, "utb_metadata_arr")),
+        "p7_found": lambda s, d: canonical.p7_found(table(s, d, "llm_author_entry"), table(s, d, "utb_metadata_arr"), table(s, d, "canonical_ref")),
         "p10_found": lambda s, d: repetition.p10_found(table(s, d, "documents")),
     }
 
