@@ -34,7 +34,7 @@ def _hidden(ch: str) -> bool:
 def mapping() -> list[tuple[str, list[str], list[int], str]]:
     """(character, its decomposition, combining classes, kind) by rule.
 
-    Kinds: ``canonical`` (a composed letter: ordinary), ``mark``, ``compat`` (full width, ligature, font variant),
+    Kinds: ``canonical`` (a composed letter: ordinary), ``single`` (a letter that is never the composed form), ``mark``, ``compat`` (full width, ligature, font variant),
     ``blank`` (a space other than U+0020), ``hidden`` (no visible form), ``hyphen``.
     """
     out = []
@@ -60,7 +60,8 @@ def mapping() -> list[tuple[str, list[str], list[int], str]]:
             out.append((ch, list(parts), [unicodedata.combining(p) for p in parts], "mark"))
         elif how and not how.startswith("<"):
             parts = unicodedata.normalize("NFD", ch)
-            out.append((ch, list(parts), [unicodedata.combining(p) for p in parts], "canonical"))
+            kind = "canonical" if unicodedata.normalize("NFC", ch) == ch else "single"
+            out.append((ch, list(parts), [unicodedata.combining(p) for p in parts], kind))
     return out
 
 
@@ -82,10 +83,13 @@ def compositions() -> dict[str, str]:
 _PLAIN = r"[^\x00-\x9F\xA1-\xAC\xAE-\x{24F}\x{388}-\x{3CE}\x{400}-\x{482}\x{48A}-\x{52F}\x{2012}-\x{2027}\x{20A0}-\x{20BF}\x{FFFD}]"
 
 
+_ALIKE = "[" + "".join(LOOKALIKES) + "]"
+_LATIN = r"[A-Za-zÀ-ɏ]"
+
+
 def suspicious(text: Column) -> Column:
     """Lossless test: false only for texts that no rule can change."""
-    alike = "[" + "".join(LOOKALIKES) + "]"
-    return text.rlike(_PLAIN) | (text.rlike(alike) & text.rlike(r"[A-Za-zÀ-ɏ]"))
+    return (F.octet_length(text) > F.char_length(text)) & (text.rlike(_PLAIN) | (text.rlike(_ALIKE) & text.rlike(_LATIN)))
 
 
 def _mapping_frame(spark: SparkSession) -> DataFrame:
@@ -110,8 +114,59 @@ def _compose(group: Column) -> Column:
     return F.aggregate(F.slice(group, 2, F.greatest(F.size(group) - 1, F.lit(0))), start, fold, lambda acc: F.concat(acc["base"], acc["rest"]))
 
 
+_KEYS = ["row_id", "field_name", "value_pos"]
+_PART_KEYS = [*_KEYS, "part_no"]
+
+
+def _parts(elements: DataFrame) -> DataFrame:
+    """Texts that may change, cut into words (letters, marks and hidden characters) and single other characters.
+
+    The alphabets of word and text are known by then; ``odd`` tells which parts may change.
+    """
+    some = elements.select(*_KEYS, "text").filter(suspicious(F.col("text"))).dropDuplicates(_KEYS)
+    other = rf"[\p{{L}}&&[^\p{{IsLatin}}]&&[^{_ALIKE[1:-1]}]]"
+    inside = r"[\p{L}\p{M}\p{Cf}]"
+    text = F.col("text")
+    parts = some.select(
+        *_KEYS,
+        (text.rlike(_LATIN) & ~text.rlike(other)).alias("latin_text"),
+        F.posexplode(F.split("text", rf"(?<!{inside})|(?!{inside})")).alias("part_no", "part_text"),
+    )
+    part = F.col("part_text")
+    latin_word = part.rlike(_LATIN) | (F.col("latin_text") & ~part.rlike(other))
+    alike = part.rlike(_ALIKE) & latin_word
+    return parts.select(*_PART_KEYS, "part_text", alike.alias("alike"), (part.rlike(_PLAIN) | alike).alias("odd"))
+
+
+def _rebuilt(parts: DataFrame) -> DataFrame:
+    """``stands, changed, part_text`` of the odd parts, through their code points."""
+    spark = parts.sparkSession
+    points = parts.filter("odd").select(*_PART_KEYS, "alike", F.posexplode(F.split("part_text", "")).alias("pos", "cp")).filter(F.col("cp") != "")
+    table = F.broadcast(_mapping_frame(spark))
+    looks = F.broadcast(spark.createDataFrame(list(LOOKALIKES.items()), "cp string, latin string"))
+    rows = points.join(table, "cp", "left").join(looks, "cp", "left").withColumn("swap", F.col("alike") & F.col("latin").isNotNull())
+    stands = F.col("swap") | F.coalesce(~F.col("kind").isin("canonical", "mark"), F.lit(False))
+    made_of = F.when(F.col("swap"), F.array("latin")).otherwise(F.coalesce("parts", F.array("cp")))
+    classes = F.when(F.col("swap"), F.array(F.lit(0))).otherwise(F.coalesce("classes", F.array(F.lit(0))))
+    flat = rows.select(*_PART_KEYS, "pos", stands.alias("stands"), F.posexplode_outer(F.arrays_zip(made_of.alias("part"), classes.alias("ccc"))).alias("sub", "x"))
+    # A group is a base character with the marks behind it; hidden characters left no part and join the group before.
+    starts = F.when((F.coalesce("x.ccc", F.lit(0)) == 0) & F.col("x").isNotNull(), 1).otherwise(0)
+    flat = flat.withColumn("group", F.sum(starts).over(Window.partitionBy(*_PART_KEYS).orderBy("pos", "sub")))
+    piece = F.when(F.col("x").isNotNull(), F.struct(F.col("x.ccc").alias("ccc"), "pos", "sub", F.col("x.part").alias("part")))
+    groups = flat.groupBy(*_PART_KEYS, "group").agg(F.max("stands").alias("stands"), F.sort_array(F.collect_list(piece)).alias("marks"), (F.max("pos") - F.min("pos") + 1).alias("n"))
+    made = F.when(F.size("marks") == 0, F.lit("")).when(F.size("marks") == 1, F.element_at("marks", 1)["part"]).otherwise(_compose(F.col("marks")))
+    order = F.transform("marks", lambda m: m["pos"])
+    groups = groups.select(*_PART_KEYS, "group", "stands", made.alias("made"), "n", (F.array_sort(order) != order).alias("reordered"))
+    groups = groups.withColumn("changed", F.col("stands") | F.col("reordered") | (F.length("made") < F.col("n")))
+    return groups.groupBy(*_PART_KEYS).agg(F.max("stands").alias("stands"), F.max("changed").alias("changed"), _joined_up("group", "made").alias("part_text"))
+
+
+def _joined_up(order: str, text: str) -> Column:
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda g: g[text]), "")
+
+
 def unify_text(elements: DataFrame) -> DataFrame:
-    """``elements`` (``row_id, field_name, value_pos, text``) that have another consistent form, with ``unified``.
+    """``row_id, field_name, value_pos, stand_in, unified`` of the ``elements`` (``..., text``) whose form changes.
 
     Marks are composed, full-width forms, ligatures and font variants replaced, blanks other than U+0020 become it,
     hidden characters go, and look-alike letters of another alphabet become Latin within a word that also has Latin
@@ -120,42 +175,10 @@ def unify_text(elements: DataFrame) -> DataFrame:
     Null and empty texts give no rows; repeated rows are treated as one; an empty table gives an empty one; texts of any
     length are handled whole. Other columns are ignored.
     """
-    spark = elements.sparkSession
-    keys = ["row_id", "field_name", "value_pos"]
-    some = elements.select(*keys, "text").filter(suspicious(F.col("text"))).dropDuplicates(keys)
-    points = some.select(*keys, F.posexplode(F.split("text", "")).alias("pos", "cp")).filter(F.col("cp") != "")
-    table = F.broadcast(_mapping_frame(spark))
-    alike = F.broadcast(spark.createDataFrame(list(LOOKALIKES.items()), "cp string, latin string"))
-    joined = points.join(table, "cp", "left").join(alike, "cp", "left")
-    letter = F.col("cp").rlike(r"^[\p{L}\p{M}]$")
-    latin = F.col("cp").rlike(r"^\p{IsLatin}$")
-    flags = {
-        "is_latin": latin,
-        "is_other": letter & ~latin & ~F.col("cp").rlike(r"^\p{M}$") & F.col("latin").isNull(),
-        "breaks": F.when(~letter & ~(F.coalesce(F.col("kind"), F.lit("")) == "hidden"), 1).otherwise(0),
-    }
-    joined = joined.withColumns(flags)
-    text, in_order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("pos")
-    rows = joined.withColumns({"text_latin": F.max("is_latin").over(text), "text_other": F.max("is_other").over(text), "word": F.sum("breaks").over(in_order)})
-    word = Window.partitionBy(*keys, "word")
-    rows = rows.withColumns({"word_latin": F.max("is_latin").over(word), "word_other": F.max("is_other").over(word)})
-    swap = F.col("latin").isNotNull() & (F.col("word_latin") | (F.col("text_latin") & ~F.col("text_other") & ~F.col("word_other")))
-    rows = rows.withColumn("swap", swap)
-    stands = F.col("swap") | F.coalesce(F.col("kind").isin("compat", "blank", "hidden", "hyphen"), F.lit(False))
-    parts = F.when(F.col("swap"), F.array("latin")).otherwise(F.coalesce("parts", F.array("cp")))
-    classes = F.when(F.col("swap"), F.array(F.lit(0))).otherwise(F.coalesce("classes", F.array(F.lit(0))))
-    flat = rows.select(*keys, "pos", stands.alias("stands"), F.inline_outer(F.arrays_zip(parts.alias("part"), classes.alias("ccc"))))
-    # A group is a base character with the marks behind it; hidden characters left no part and join the group before.
-    starts = F.when(F.coalesce("ccc", F.lit(0)) == 0, F.when(F.col("part").isNotNull(), 1).otherwise(0)).otherwise(0)
-    flat = flat.withColumn("sub", F.monotonically_increasing_id())  # order within one exploded position, set where it is exploded
-    flat = flat.withColumn("group", F.sum(starts).over(Window.partitionBy(*keys).orderBy("pos", "sub")))
-    piece = F.when(F.col("part").isNotNull(), F.struct("ccc", "pos", "sub", "part"))
-    groups = flat.groupBy(*keys, "group").agg(F.max("stands").alias("stands"), F.sort_array(F.collect_list(piece)).alias("marks"))
-    made = F.when(F.size("marks") == 0, F.lit("")).when(F.size("marks") == 1, F.element_at("marks", 1)["part"]).otherwise(_compose(F.col("marks")))
-    groups = groups.select(*keys, "group", "stands", made.alias("made"))
-    return groups.groupBy(*keys).agg(
-        F.max("stands").alias("stand_in"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "made"))), lambda g: g["made"]), "").alias("unified")
-    )
+    parts = _parts(elements)
+    same = parts.filter("not odd").select(*_PART_KEYS, F.lit(False).alias("stands"), F.lit(False).alias("changed"), "part_text")
+    every = _rebuilt(parts).unionByName(same).groupBy(*_KEYS)
+    return every.agg(F.max("changed").alias("changed"), F.max("stands").alias("stand_in"), _joined_up("part_no", "part_text").alias("unified")).filter("changed").drop("changed")
 
 
 def elements_of(records: DataFrame, fields: tuple[str, ...], row_id: str = "resource_id") -> DataFrame:
@@ -166,15 +189,13 @@ def elements_of(records: DataFrame, fields: tuple[str, ...], row_id: str = "reso
         return F.transform(F.col(f"`{field}`"), lambda x, i: F.struct(F.lit(field).alias("field_name"), (i + 1).cast("int").alias("value_pos"), x.alias("text")))
 
     entries = F.flatten(F.array(*[F.coalesce(listed(f), none) for f in fields]))
-    return records.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.inline(F.filter(entries, lambda e: suspicious(e["text"]))))
+    return records.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.inline(entries))
 
 
 def p5_found(records: DataFrame) -> DataFrame:
     """Elements with stand-in or hidden characters or letters not composed; wrongly decoded ones are another problem's."""
     elements = elements_of(records, ("dc_title", "dc_description_abstract", "utb_scopus_affiliation"))
-    unified = unify_text(elements)
-    found = unified.join(elements, ["row_id", "field_name", "value_pos"]).filter(F.col("unified") != F.col("text"))
-    found = found.select(F.col("row_id").alias("resource_id"), "field_name", "value_pos").distinct()
+    found = _rebuilt(_parts(elements)).filter("changed").select(F.col("row_id").alias("resource_id"), "field_name", "value_pos").distinct()
     titles = records.select("resource_id", F.when(F.exists("dc_title", suspicious), F.col("dc_title")).alias("dc_title"))
     damaged = mojibake.repair_encoding(titles, ("dc_title",), counts=mojibake.corpus_counts(records, ("dc_title",)))
     damaged = damaged.select(F.col("row_id").alias("resource_id"), "field_name", "value_pos")

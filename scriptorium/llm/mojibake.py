@@ -38,9 +38,12 @@ SINGLE_BYTE = (
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
-# A word; a no-break space divides words unless it may be the second byte of a damaged letter.
-_CHUNK = re.compile(r"(?:[^\s\x00-\x2b\x2c\x3b\[\]]|&|(?<=[À-ɏ])\xa0)+")
-# Signs that are usual beside letters.
+# A word that holds a sign of damage; a no-break space divides words unless it may be the second byte of a damaged letter.
+_PART = r"(?:[^\s\x00-\x25\x27-\x2b\x2c\x3b\[\]]|(?<=[À-ɏ])\xa0)"
+_CHUNK = re.compile(rf"{_PART}*?[^\s\x00-\x25\x27-\x5b\x5d-\x7f]{_PART}*")
+# Alphabets, and signs, that are usual beside Latin letters.
+_FAMILIAR = frozenset("LATIN GREEK CYRILLIC MICRO FEMININE MASCULINE SUPERSCRIPT VULGAR".split())
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _USUAL = frozenset("°–—“”„‘’‚…±×µ§€")
 _LETTER = r"[^\W\d_]"
 _LOST_IN_WORD = re.compile(rf"{_LETTER}\?+{_LETTER}|(?:(?<=\s)|^)\?+{_LETTER}{{2}}|{_LETTER}\?+ +(?=[a-zà-ž])")
@@ -101,6 +104,12 @@ def _decode_runs(text: str, encoding: str) -> str:
     return _sequences(encoding).sub(read, text)
 
 
+@lru_cache(maxsize=1)
+def _any_sequence() -> re.Pattern:
+    """Matches where any of the encodings reads a multi-byte sequence: one test instead of one for each encoding."""
+    return re.compile("|".join(_sequences(wrong).pattern for wrong, _ in MULTIBYTE))
+
+
 @lru_cache(maxsize=None)
 def _rereading(wrong: str, true: str) -> tuple[frozenset[str], dict[int, str]]:
     """Non-ASCII characters that ``wrong`` can encode, and those that ``true`` reads differently."""
@@ -127,7 +136,7 @@ def steps(text: str) -> Iterator[tuple[str, float]]:
     foreign = [ch for ch in text if ch > "\x7f"]
     if not foreign:
         return
-    for wrong, _ in MULTIBYTE:
+    for wrong, _ in MULTIBYTE if _any_sequence().search(text) else ():
         if (fixed := _decode_runs(text, wrong)) != text:
             yield fixed, 1.0
     mostly = 2 * len(foreign) > len(text)
@@ -164,10 +173,12 @@ class Plausibility:
             if ch > "\x7f":
                 if "\x80" <= ch <= "\x9f" or ch == "\ufffd":
                     cost += 12
-                elif ch.isalpha():
+                elif ch.isalnum():
                     scripts.add(_script(ch))
                 elif ch not in _USUAL:
                     odd += 1
+        if scripts - _FAMILIAR and _ASCII_LETTER.search(text):  # such letters don't stand beside Latin ones
+            odd += 8
         return cost + 4 * odd + 30 * max(0, len(scripts) - 1)
 
     def restore(self, chunk: str) -> str:
@@ -194,7 +205,7 @@ class Plausibility:
 
     def repair(self, text: str) -> str:
         """``text`` with every word restored as far as possible."""
-        return _CHUNK.sub(lambda m: self.restore(m[0]) if _NON_ASCII.search(m[0]) or "&" in m[0] or "\\u" in m[0] else m[0], text)
+        return _CHUNK.sub(lambda m: self.restore(m[0]), text)
 
 
 def is_lost(text: str, is_name: bool) -> bool:
@@ -211,7 +222,7 @@ _FOUND_DDL = "row_id bigint, field_name string, value_pos int, original string,
 
 
 def _elements(records: DataFrame, fields: tuple[str, ...], row_id: str) -> DataFrame:
-    cols = [F.filter(F.transform(F.col(f"`{f}`"), lambda x, i: F.struct((i + 1).cast("int").alias("pos"), x.alias("text"))), lambda s: s["text"].rlike(r"[^\x00-\x7F]|[?&\\]")) for f in fields]
+    cols = [F.filter(F.transform(F.col(f"`{f}`"), lambda x, i: F.struct((i + 1).cast("int").alias("pos"), x.alias("text"))), lambda s: s["text"].rlike(r"[^\x00-\x25\x27-\x3E\x40-\x5B\x5D-\x7F]")) for f in fields]
     entries = F.array(*[F.struct(F.lit(f).alias("field_name"), c.alias("elements")) for f, c in zip(fields, cols)])
     return records.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.inline(entries)).filter(F.size("elements") > 0)
 
@@ -260,12 +271,14 @@ def repair_encoding(records: DataFrame, fields: tuple[str, ...], *, row_id: str
         plausible = Plausibility(counts)
         for b in batches:
             out: list[list] = [[] for _ in _FOUND.names]
-            for rid, field, elements in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for e in elements:
-                    text = e["text"]
+            lists = b.column(2)
+            ends, places, texts = lists.offsets.to_pylist(), lists.values.field("pos").to_pylist(), lists.values.field("text").to_pylist()
+            for rid, field, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends, ends[1:]):
+                for k in range(i, j):
+                    text = texts[k]
                     fixed, lost = plausible.repair(text), is_lost(text, field in name_fields)
                     if fixed != text or lost:
-                        for column, value in zip(out, (rid, field, e["pos"], text, fixed, lost)):
+                        for column, value in zip(out, (rid, field, places[k], text, fixed, lost)):
                             column.append(value)
             yield pa.RecordBatch.from_pydict(dict(zip(_FOUND.names, out)), schema=_FOUND)
 
