@@ -25,6 +25,8 @@ BUCKETS = 1 << 16
 #: A single-byte misreading must be this much more plausible (nats for each changed character) to be taken back.
 MARGIN = 2.0
 MAX_STATES = 60
+#: No step of a repair makes a word less plausible than it was by more than this.
+SLACK = 8.0
 
 # Fixed values: (encoding that the text was wrongly read with, true encoding).
 MULTIBYTE = tuple((wrong, "utf-8") for wrong in ("cp1252", "latin-1", "cp1250", "mac_roman", "cp852", "cp437", "cp850", "cp1251", "iso8859_2"))
@@ -194,10 +196,12 @@ class Plausibility:
             if cost < best_cost:
                 best, best_cost = text, cost
             for after, price in steps(text):
-                if after not in seen and len(seen) < MAX_STATES:
-                    seen.add(after)
+                if after in seen or paid + price >= best_cost or len(seen) >= MAX_STATES:
+                    continue
+                seen.add(after)
+                if (total := self(after) + paid + price) < start + SLACK:
                     order += 1
-                    heapq.heappush(heap, (self(after) + paid + price, order, after, paid + price))
+                    heapq.heappush(heap, (total, order, after, paid + price))
         if len(self._memo) > 200_000:
             self._memo.clear()
         self._memo[chunk] = best
