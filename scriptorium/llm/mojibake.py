@@ -44,7 +44,7 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _PART = r"(?:[^\s\x00-\x25\x27-\x2b\x2c\x3b\[\]]|(?<=[À-ɏ])\xa0)"
 _CHUNK = re.compile(rf"{_PART}*?[^\s\x00-\x25\x27-\x5b\x5d-\x7f]{_PART}*")
 # Alphabets, and signs, that are usual beside Latin letters.
-_FAMILIAR = frozenset("LATIN GREEK CYRILLIC MICRO FEMININE MASCULINE SUPERSCRIPT VULGAR".split())
+_FAMILIAR = frozenset("LATIN GREEK CYRILLIC MICRO FEMININE MASCULINE SUPERSCRIPT VULGAR MODIFIER CARON".split())
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _USUAL = frozenset("°–—“”„‘’‚…±×µ§€")
 _LETTER = r"[^\W\d_]"
