@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import canonical, lookalikes, mojibake, names, repetition
+from scriptorium.llm import canonical, lookalikes, mojibake, names, repetition, survivors
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     """Query name to a function of session and folder."""
     return {
         "p1_found": lambda s, d: names.p1_found(table(s, d, "utb_metadata_arr"), table(s, d, "utb_authors")),
+        "p2_found": lambda s, d: survivors.p2_found(table(s, d, "utb_metadata_arr"), table(s, d, "dedup_histoire")),
         "p4_found": lambda s, d: mojibake.p4_found(table(s, d, "utb_metadata_arr")),
         "p5_found": lambda s, d: lookalikes.p5_found(table(s, d, "utb_metadata_arr")),
         "p7_found": lambda s, d: canonical.p7_found(table(s, d, "llm_author_entry"), table(s, d, "utb_metadata_arr"), table(s, d, "canonical_ref")),
