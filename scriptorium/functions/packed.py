@@ -7,7 +7,7 @@ from typing import NamedTuple
 # Brackets that nest, and the quotes that open and close a value.
 OPEN_TO_CLOSE = {"[": "]", "(": ")", "{": "}"}
 QUOTES = {'"': '"', "“": "”", "„": "“"}
-BLANKS = " \t\r\n "
+BLANKS = " \t\r\n\xa0"
 
 
 class Dialect(NamedTuple):
