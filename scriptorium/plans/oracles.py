@@ -108,23 +108,6 @@ links as (
   from scored where score >= 0.96)
 """
 
-_FUZZY = f"""
-with rows as (
-  select resource_id, {_title(_trim("dc_title[1]"))} as title, coalesce(try_cast(nullif(regexp_extract(dc_date_issued[1], '\\b((?:19|20)\\d{{2}})\\b', 1), '') as int), -1) as year,
-    coalesce(lower(regexp_replace(dc_identifier_issn[1], '[^0-9xX]', '', 'g')), '') as issn, coalesce(lower(regexp_replace(dc_identifier_isbn[1], '[^0-9xX]', '', 'g')), '') as isbn
-  from {_M}),
-kept as (select * from rows where title <> ''),
-classes as (select title, year, issn, isbn, min(resource_id) as rep, count(*) as n from kept group by all),
-scored as (
-  select a.rep as id_a, b.rep as id_b, a.issn as ia, b.issn as ib, a.isbn as ba, b.isbn as bb, jaro_winkler_similarity(a.title, b.title) as score
-  from classes a join classes b on a.rep < b.rep and ((a.year = -1 and b.year = -1) or (a.year >= 0 and b.year >= 0 and abs(a.year - b.year) <= 1)))
-select c.rep as id_a, r.resource_id as id_b, case when r.issn <> '' then 'fuzzy_title+issn' when r.isbn <> '' then 'fuzzy_title+isbn' else 'fuzzy_title' end as match_type, 1.0::double as score
-from kept r join classes c using (title, year, issn, isbn) where c.n > 1 and r.resource_id <> c.rep
-union all
-select id_a, id_b, case when ia <> '' and ia = ib then 'fuzzy_title+issn' when ba <> '' and ba = bb then 'fuzzy_title+isbn' else 'fuzzy_title' end, round(score, 4)
-from scored where score >= 0.85
-"""
-
 _UNITS = "(select ref_id as id, canonical_name as name, parent_ref_id as parent_id from canonical_ref where kind in ('faculty', 'ou'))"
 
 _CLOSURE = f"""
@@ -213,7 +196,6 @@ def sql() -> dict[str, str]:
         "dedup_exact_members": f"with v as (select resource_id, {doi} as value from {_M}), g as (select value, min(resource_id) as kept_id from v where value <> '' group by 1 having count(*) > 1) select value, kept_id, resource_id from v join g using (value) where resource_id <> kept_id",
         "dedup_pair_count": f"select coalesce(sum(n * (n - 1) / 2), 0)::bigint as pairs from (select count(*) as n from {_M} where {wok} <> '' group by {wok} having count(*) > 1) t",
         "dedup_content_links": _CONTENT + "select * from links",
-        "dedup_fuzzy_links": _FUZZY,
         "dedup_link_counts": _CONTENT + "select match_type, count(*) as n from links group by 1",
         "dedup_survivors": _CONTENT + f""", f as (select resource_id, pages, doctype = 'article' as article from ({_COMPARABLE}) t),
             x as (select l.*, case when match_type = 'early_access' and b.pages and not a.pages then id_b when match_type = 'merged_type' and b.article and not a.article then id_b else id_a end as special
