@@ -37,9 +37,15 @@ def signatures(name: Column) -> Column:
 
 
 def name_key(name: Column) -> Column:
-    """Surname and initials as one text, else the normalised name."""
-    s = F.try_element_at(signatures(name), F.lit(1))
-    return F.when(s["initials"] != "", F.concat_ws("|", s["surname"], s["initials"])).otherwise(X.normalise(name))
+    """Surname and initials as one text, else the normalised name.
+
+    Without a comma the last word is the surname, unless it alone is a single letter.
+    """
+    words = X.name_words(name)
+    swapped = ~name.contains(",") & (F.size(words) > 1) & (F.length(F.try_element_at(words, F.lit(-1))) == 1) & (F.length(F.try_element_at(words, F.lit(1))) > 1)
+    readings = signatures(name)
+    s = F.when(swapped, F.try_element_at(readings, F.lit(-1))).otherwise(F.try_element_at(readings, F.lit(1)))
+    return F.when(s.isNotNull(), F.concat_ws("|", s["surname"], s["initials"])).otherwise(X.normalise(name))
 
 
 def richness(name: Column) -> Column:
