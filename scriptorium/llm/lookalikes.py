@@ -148,16 +148,16 @@ def _rebuilt(parts: DataFrame) -> DataFrame:
     stands = F.col("swap") | F.coalesce(~F.col("kind").isin("canonical", "mark"), F.lit(False))
     made_of = F.when(F.col("swap"), F.array("latin")).otherwise(F.coalesce("parts", F.array("cp")))
     classes = F.when(F.col("swap"), F.array(F.lit(0))).otherwise(F.coalesce("classes", F.array(F.lit(0))))
-    flat = rows.select(*_PART_KEYS, "pos", stands.alias("stands"), F.posexplode_outer(F.arrays_zip(made_of.alias("part"), classes.alias("ccc"))).alias("sub", "x"))
+    flat = rows.select(*_PART_KEYS, "pos", "cp", stands.alias("stands"), F.posexplode_outer(F.arrays_zip(made_of.alias("part"), classes.alias("ccc"))).alias("sub", "x"))
     # A group is a base character with the marks behind it; hidden characters left no part and join the group before.
     starts = F.when((F.coalesce("x.ccc", F.lit(0)) == 0) & F.col("x").isNotNull(), 1).otherwise(0)
     flat = flat.withColumn("group", F.sum(starts).over(Window.partitionBy(*_PART_KEYS).orderBy("pos", "sub")))
     piece = F.when(F.col("x").isNotNull(), F.struct(F.col("x.ccc").alias("ccc"), "pos", "sub", F.col("x.part").alias("part")))
-    groups = flat.groupBy(*_PART_KEYS, "group").agg(F.max("stands").alias("stands"), F.sort_array(F.collect_list(piece)).alias("marks"), (F.max("pos") - F.min("pos") + 1).alias("n"))
+    written = F.collect_list(F.when(F.col("sub").isNull() | (F.col("sub") == 0), F.struct("pos", "cp")))
+    groups = flat.groupBy(*_PART_KEYS, "group").agg(F.max("stands").alias("stands"), F.sort_array(F.collect_list(piece)).alias("marks"), F.sort_array(written).alias("written"))
     made = F.when(F.size("marks") == 0, F.lit("")).when(F.size("marks") == 1, F.element_at("marks", 1)["part"]).otherwise(_compose(F.col("marks")))
-    order = F.transform("marks", lambda m: m["pos"])
-    groups = groups.select(*_PART_KEYS, "group", "stands", made.alias("made"), "n", (F.array_sort(order) != order).alias("reordered"))
-    groups = groups.withColumn("changed", F.col("stands") | F.col("reordered") | (F.length("made") < F.col("n")))
+    groups = groups.select(*_PART_KEYS, "group", "stands", made.alias("made"), F.array_join(F.transform("written", lambda w: w["cp"]), "").alias("before"))
+    groups = groups.withColumn("changed", F.col("stands") | (F.col("made") != F.col("before")))
     return groups.groupBy(*_PART_KEYS).agg(F.max("stands").alias("stands"), F.max("changed").alias("changed"), _joined_up("group", "made").alias("part_text"))
 
 
