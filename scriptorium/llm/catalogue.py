@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import canonical, lookalikes, mixing, mojibake, names, packing, repetition, survivors
+from scriptorium.llm import canonical, lookalikes, mixing, mojibake, names, oracles, packing, repetition, survivors
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,4 +30,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return oracles.sql()
