@@ -169,3 +169,22 @@ def mark_checked(records: DataFrame, ids: DataFrame, column: str = "librarian_ch
     out = records.join(mark, "resource_id", "left")
     now = F.array_append(F.coalesce(have, F.array().cast("array<timestamp>")), F.current_timestamp())
     return out.withColumn(column, F.when(F.col("__c"), now).otherwise(have)).drop("__c")
+
+
+def author_summaries(registry: DataFrame) -> DataFrame:
+    """``name, persons, places, faculties``: registry rows grouped by the normalised display name, distinct faculties in order."""
+    rows = registry.select(X.normalise(F.col("display_name")).alias("name"), "author_id", F.nullif(F.trim("faculty"), F.lit("")).alias("faculty")).filter("name <> ''")
+    return rows.groupBy("name").agg(F.countDistinct("author_id").alias("persons"), F.count("*").alias("places"), F.array_join(F.array_sort(F.collect_set("faculty")), "||").alias("faculties"))
+
+
+def flag_rows(flags: DataFrame) -> DataFrame:
+    """``resource_id, other, match_type, score, is_live`` of flags written as JSON."""
+    kind = "array<struct<other:bigint,match_type:string,score:double,is_live:boolean>>"
+    return flags.select("resource_id", F.inline(F.from_json("duplicates", kind)))
+
+
+def top_candidates(scored: DataFrame, n: int = 80, least: int = 10) -> DataFrame:
+    """``scored`` (``resource_id, name, score``) with ``rank``: the ``n`` best of each record with a score, padded to ``least`` by the rest."""
+    by = Window.partitionBy("resource_id").orderBy(F.desc("score"), "name")
+    ranked = scored.withColumn("rank", F.row_number().over(by))
+    return ranked.filter(((F.col("score") > 0) & (F.col("rank") <= n)) | (F.col("rank") <= least))

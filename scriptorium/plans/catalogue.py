@@ -110,7 +110,7 @@ def queries() -> dict[str, Query]:
         "dedup_fuzzy_links": lambda s, d: dedup.fuzzy_links(_records(s, d)),
         "dedup_link_counts": lambda s, d: dedup.link_counts(_content(s, d)),
         "dedup_survivors": lambda s, d: dedup.survivor(_content(s, d), _records(s, d)),
-        "dedup_flags": lambda s, d: dedup.duplicate_flags(_content(s, d), _records(s, d).select("resource_id")),
+        "dedup_flags": lambda s, d: review.flag_rows(dedup.duplicate_flags(_content(s, d), _records(s, d).select("resource_id"))),
         "dedup_merge_plan": _merge_plan,
         "dedup_merged_records": lambda s, d: dedup.merge_records(_records(s, d), _merge_plan(s, d))[0].select("resource_id", F.array_join("dc_contributor_author", "||").alias("names"), F.array_join("utb_source", "||").alias("sources")),
         "dedup_history_status": lambda s, d: table(s, d, "dedup_histoire").groupBy("dedup_match_type").agg(F.count("*").alias("n"), F.countDistinct("dedup_kept_resource_id").alias("kept")),
@@ -151,6 +151,7 @@ def queries() -> dict[str, Query]:
         "list_groups": lambda s, d: review.list_groups(_records(s, d)),
         "search_records": lambda s, d: review.search(_records(s, d), "polymer"),
         "search_authors": lambda s, d: review.search_authors(table(s, d, "utb_authors"), "olga"),
+        "author_summaries": lambda s, d: review.author_summaries(table(s, d, "utb_authors")),
         "pending_changes": lambda s, d: review.pending_changes(table(s, d, "utb_change_buffer")).select("id", "resource_id", "field_key", "target_table", "new_value"),
         "pending_overlay": lambda s, d: review.overlay(_records(s, d), table(s, d, "utb_change_buffer")),
         "crossref_fields": _works,

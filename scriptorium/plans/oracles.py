@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from scriptorium.settings import Settings
+
 # White space as Unicode has it; the SQL engine's own class is ASCII only.
 _WS = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _M = "utb_metadata_arr"
@@ -184,6 +186,18 @@ _PENDING = """
 _SHOWN = {"dc.title": "dc_title", "dc.contributor.author": "dc_contributor_author", "dc.publisher": "dc_publisher", "dc.relation.ispartof": "dc_relation_ispartof", "dc.identifier.issn": "dc_identifier_issn", "utb.faculty": "utb_faculty", "utb.ou": "utb_ou"}
 
 
+_BLOCK = r"(?s)\[([^\]]+)\]([^\[]*)"
+_HOME = " or ".join(f"contains({_norm('affiliation')}, '{k}')" for k in Settings().home_keywords)
+_WOS = f"""
+with t as (select resource_id, text from (select resource_id, unnest(utb_wos_affiliation) as text from {_M}) x where text is not null and {_trim("text")} <> ''),
+b as (select resource_id, unnest(regexp_extract_all(text, '{_BLOCK}', 1)) as names, unnest(regexp_extract_all(text, '{_BLOCK}', 2)) as place from t),
+c as (select resource_id, list_filter(list_transform(string_split(names, ';'), lambda a: {_trim("a")}), lambda a: a <> '') as authors, regexp_replace(place, '^[;{_WS}]+|[;{_WS}]+$', '', 'g') as affiliation from b),
+d as (select resource_id, unnest(case when len(authors) = 0 then [null] else authors end) as author, affiliation from c
+  union all select resource_id, null, {_trim("text")} from t where len(regexp_extract_all(text, '{_BLOCK}', 1)) = 0)
+select resource_id, author, affiliation, {_HOME} as is_home from d
+"""
+
+
 def sql() -> dict[str, str]:
     """Query name to SQL."""
     doi, wok = (f"lower({_trim(f'{c}[1]')})" for c in ("dc_identifier_doi", "utb_identifier_wok"))
@@ -215,6 +229,10 @@ def sql() -> dict[str, str]:
         "validation_issue_counts": f"select rule, count(*) as n from ({_rules()}) t group by 1",
         "validation_status": f"with bad as (select distinct resource_id from ({_rules()}) t) select case when b.resource_id is null then 'ok' else 'has_issues' end as status, count(*) as n from {_M} m left join bad b using (resource_id) group by 1",
         "obd_missing": f"select resource_id, array_to_string(list_sort(list(distinct x)), '|') as missing from (select resource_id, unnest(utb_identifier_obdid) as x from {_M}) t where trim(x) <> '' and x not in (select (resource_id + 43000000)::varchar from documents where resource_id is not null) group by 1",
+        "wos_blocks": _WOS,
+        "dedup_flags": _CONTENT + f""", two as (select id_a as resource_id, id_b as other, match_type, score from links union select id_b, id_a, match_type, score from links)
+            select t.*, exists (select 1 from {_M} m where m.resource_id = t.other) as is_live from two t""",
+        "author_summaries": f"select name, count(distinct author_id) as persons, count(*) as places, coalesce(array_to_string(list_sort(list(distinct faculty) filter (faculty is not null)), '||'), '') as faculties from (select {_norm('display_name')} as name, author_id, nullif(trim(faculty), '') as faculty from utb_authors) t where name <> '' group by 1",
         "match_exact": f"with {_FORMS}, names as (select distinct name, {_match('name')} as norm from (select unnest(dc_contributor_author) as name from {_M}) t where trim(name) <> '') select name, min(author_id) as author_id, count(distinct author_id) as n from names join forms using (norm) where norm <> '' group by 1",
         "default_affiliations": f"""with u as (select * from {_UNITS} t), r as (select a.author_id, coalesce(nullif(trim(a.faculty), ''), p.name) as faculty, case when u.parent_id is not null then u.name end as ou from utb_authors a left join u on u.id = a.organization_id left join u p on p.id = u.parent_id)
             select author_id, min(faculty) as faculty, arg_max(ou, (length(ou), ou)) as ou from r group by 1""",
