@@ -88,7 +88,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
 def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, target_share, tokens, actual_share, repeats_used, max_repeats``: the shares reached, a line for each target."""
     by = mixture.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("repeat_no").alias("repeats_used"))
-    whole = by.agg(F.sum("tokens").alias("all_tokens"))
-    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").crossJoin(F.broadcast(whole))
+    by = by.withColumn("all_tokens", F.sum("tokens").over(Window.partitionBy()))  # a row for each source
+    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left")
     tokens = F.coalesce("tokens", F.lit(0))
-    return out.select("source", "target_share", tokens.alias("tokens"), F.round(tokens / F.col("all_tokens"), 6).alias("actual_share"), F.coalesce("repeats_used", F.lit(0)).alias("repeats_used"), "max_repeats")
+    return out.select("source", "target_share", tokens.alias("tokens"), F.coalesce(F.round(tokens / F.col("all_tokens"), 6), F.lit(0.0)).alias("actual_share"), F.coalesce("repeats_used", F.lit(0)).alias("repeats_used"), "max_repeats")
