@@ -191,3 +191,43 @@ def compare_sets(rows: DataFrame, left: str, right: str) -> DataFrame:
     )
     by = rows.select(kind.alias("agreement")).groupBy("agreement").agg(F.count("*").alias("n"))
     return by.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+
+
+def source_lists(records: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """``resource_id, source, pos, name``: authors as WoS, Scopus and the repository (``repo``) give them.
+
+    Where a record has a merge history, each source's authors are those of the merged rows with its tag; else the current
+    authors go to WoS or Scopus if the record has exactly one of the tags. The repository list is WoS, Scopus, current.
+    """
+    tag = lambda c, words: F.coalesce(F.exists(c, lambda x: F.lower(x).rlike(words)), F.lit(False))
+    names = lambda df, key, *cols: df.select(F.col(key).cast("bigint").alias("resource_id"), *cols, F.posexplode("dc_contributor_author").alias("pos", "name"))
+    current = names(records, "resource_id", tag("utb_source", "wos|wok").alias("w"), tag("utb_source", "scopus").alias("s"))
+    if history is None:
+        past = current.limit(0)
+    else:
+        once = history.filter("resource_id <> dedup_kept_resource_id").dropDuplicates(["resource_id", "dedup_kept_resource_id"])
+        past = names(once, "dedup_kept_resource_id", tag("utb_source", "wos|wok").alias("w"), tag("utb_source", "scopus").alias("s"))
+    known = past.select("resource_id").distinct()
+    alone = current.join(known, "resource_id", "left_anti").filter(F.col("w") != F.col("s"))
+    tagged = past.unionByName(alone)
+    wos, scopus = tagged.filter("w").select("resource_id", F.lit("wos").alias("source"), "pos", "name"), tagged.filter("s").select("resource_id", F.lit("scopus").alias("source"), "pos", "name")
+    step = F.when(F.col("source") == "wos", 0).otherwise(100_000)
+    repo = wos.unionByName(scopus).select("resource_id", (F.col("pos") + step).alias("pos"), "name").unionByName(current.select("resource_id", (F.col("pos") + 200_000).alias("pos"), "name"))
+    return wos.unionByName(scopus).unionByName(repo.select("resource_id", F.lit("repo").alias("source"), "pos", "name"))
+
+
+def author_inputs(records: DataFrame, blocks: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """``resource_id, names``: one list of authors from repository, WoS, Scopus, and both kinds of affiliation blocks, in this order."""
+    lists = source_lists(records, history)
+    order = F.when(F.col("source") == "repo", 0).when(F.col("source") == "wos", 1).otherwise(2)
+    rows = lists.select("resource_id", (order * 1_000_000 + F.col("pos")).alias("pos"), "name")
+    place = F.when(F.col("source") == "scopus", 3).otherwise(4)
+    named = blocks.filter("author is not null").select("resource_id", (place * 1_000_000 + F.col("pos")).alias("pos"), F.col("author").alias("name"))
+    return merge_names(rows.unionByName(named))
+
+
+def align_blocks(records: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``resource_id, pos, name, source, affiliation``: the first affiliation of each author in each source, by name key."""
+    mine = records.select("resource_id", F.posexplode("dc_contributor_author").alias("pos", "name")).withColumn("key", name_key(F.col("name")))
+    first = blocks.filter("author is not null").groupBy("resource_id", name_key(F.col("author")).alias("key"), "source").agg(F.min_by("affiliation", F.struct("pos", "affiliation")).alias("affiliation"))
+    return mine.join(first, ["resource_id", "key"]).select("resource_id", "pos", "name", "source", "affiliation")

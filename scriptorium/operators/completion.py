@@ -95,6 +95,35 @@ def complete_dates(rows: DataFrame, completer: Completer, *, partitions: int = 1
     return rows.select(F.col("resource_id").cast("bigint"), "prompt", "raw").coalesce(partitions).mapInArrow(ask, ddl)
 
 
+def author_prompt(rows: DataFrame) -> DataFrame:
+    """``rows`` (``resource_id, names, affiliations, candidates`` as arrays) with ``prompt`` for authors and workplaces."""
+    head = "Return a JSON object with the key authors: a list of objects with name, faculty and ou. Use only the candidates."
+    line = lambda title, c: F.concat(F.lit(title), F.array_join(c, "; "))
+    return rows.withColumn("prompt", F.concat_ws("\n", F.lit(head), F.concat(F.lit("Record "), F.col("resource_id").cast("string")), line("Authors: ", "names"), line("Affiliations: ", "affiliations"), line("Candidates: ", "candidates")))
+
+
+def complete_authors(rows: DataFrame, completer: Completer, faculties: dict[str, str], units: list[str], *, partitions: int = 1, retries: int = 1) -> DataFrame:
+    """``resource_id, status, names, faculties, ous, error`` (aligned arrays) of rows with a ``prompt`` and ``candidates``."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for rid, prompt, candidates in zip(*(b.column(i).to_pylist() for i in range(3))):
+                allowed = {" ".join(c.lower().split()): c for c in candidates or ()}
+                try:
+                    found = check_authors(salvage_json(with_retries(lambda p=prompt: completer(p), retries, 0.0)), allowed, faculties, units)
+                    made.append({"resource_id": rid, "status": "processed", **{k: [a[f] for a in found] for k, f in (("names", "name"), ("faculties", "faculty"), ("ous", "ou"))}})
+                except ValueError as e:
+                    made.append({"resource_id": rid, "status": "validation_error", "error": str(e)[:200]})
+                except OSError as e:
+                    made.append({"resource_id": rid, "status": "error", "error": str(e)[:200]})
+            listed = pa.list_(pa.string())
+            yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("resource_id", pa.int64()), ("status", pa.string()), ("names", listed), ("faculties", listed), ("ous", listed), ("error", pa.string())]))
+
+    ddl = "resource_id bigint, status string, names array<string>, faculties array<string>, ous array<string>, error string"
+    return rows.select(F.col("resource_id").cast("bigint"), "prompt", "candidates").coalesce(partitions).mapInArrow(ask, ddl)
+
+
 def lay_over(heuristic: DataFrame, completed: DataFrame) -> DataFrame:
     """Milestones of ``completed`` where it has them, else those of the heuristic."""
     c = completed.select("resource_id", *[F.col(m).alias(f"__{m}") for m in MILESTONES])

@@ -136,6 +136,11 @@ def queries() -> dict[str, Query]:
         "author_match_status": lambda s, d: _author_matches(s, d).groupBy("match_type").agg(F.count("*").alias("n")),
         "attribution": _attribution,
         "merge_variants": _merge_variants,
+        "author_inputs": lambda s, d: authors.author_inputs(_records(s, d), affiliations.affiliation_blocks(_records(s, d)), table(s, d, "dedup_histoire")).select("resource_id", F.array_join("names", "||").alias("names")),
+        "source_lists": lambda s, d: authors.source_lists(_records(s, d), table(s, d, "dedup_histoire")).groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("resource_id").alias("records")),
+        "aligned_affiliations": lambda s, d: authors.align_blocks(_records(s, d), affiliations.affiliation_blocks(_records(s, d))),
+        "wos_block_warnings": lambda s, d: affiliations.block_warnings(_records(s, d)),
+        "list_group_counts": lambda s, d: review.list_groups(_records(s, d)).groupBy("list_group").agg(F.count("*").alias("n")),
         "default_affiliations": lambda s, d: authors.default_affiliations(table(s, d, "utb_authors"), _units(s, d)),
         "compare_curated": lambda s, d: authors.compare_sets(_records(s, d), "dc_contributor_author", "utb_contributor_internalauthor"),
         "name_similarity": _similarity,

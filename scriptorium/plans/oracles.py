@@ -198,6 +198,22 @@ select resource_id, author, affiliation, {_HOME} as is_home from d
 """
 
 
+_LETTERS = "regexp_extract_all(strip_accents(lower({x})), '[a-z]+')"
+_INITIALS = "array_to_string(list_transform({x}, lambda w: w[1]), '')"
+_WORDS, _LEFT = _LETTERS.replace("{x}", "name"), _LETTERS.replace("{x}", "string_split(name, ',')[1]")
+_RIGHT = _LETTERS.replace("{x}", "substr(name, instr(name, ',') + 1)")
+_VARIANTS = f"""
+with n as (select resource_id, name, pos, {_WORDS} as w, {_LEFT} as l, {_RIGHT} as r from (select resource_id, unnest(dc_contributor_author) as name, generate_subscripts(dc_contributor_author, 1) - 1 as pos from {_M}) t where {_trim("name")} <> ''),
+k as (select *, case
+    when contains(name, ',') and len(l) > 0 then array_to_string(l, ' ') || '|' || {_INITIALS.replace("{x}", "r")}
+    when contains(name, ',') or len(w) = 0 then {_norm("name")}
+    when len(w) > 1 and length(w[len(w)]) = 1 and length(w[1]) > 1 then w[1] || '|' || {_INITIALS.replace("{x}", "w[2:]")}
+    else w[len(w)] || '|' || {_INITIALS.replace("{x}", "w[1:len(w)-1]")} end as key from n),
+b as (select resource_id, key, min(pos) as first, arg_max(name, (contains(name, ',')::int, len(list_filter(w, lambda x: length(x) > 1)), length(regexp_replace(name, '[\\x00-\\x7F]', '', 'g')), length(name), -pos)) as name from k group by all)
+select resource_id, array_to_string(list(name order by first), '||') as names from b group by 1
+"""
+
+
 def sql() -> dict[str, str]:
     """Query name to SQL."""
     doi, wok = (f"lower({_trim(f'{c}[1]')})" for c in ("dc_identifier_doi", "utb_identifier_wok"))
@@ -251,6 +267,20 @@ def sql() -> dict[str, str]:
             known as (select distinct x from ids where length(x) > 1 and len(list_filter(utb_source, lambda s: lower(s) like '%-riv' or lower(s) like '%-obd' or lower(s) like '%-orig')) > 0)
             select f.resource_id, case when exists (select 1 from ids i join known k on i.x = k.x where i.resource_id = f.resource_id) then 'existing' when has_wos and has_scopus then 'duplicate' else 'single' end as list_group
             from flags f join {_M} m using (resource_id) where not coalesce(m.withdrawn, false) and not (has_repository and not has_wos and not has_scopus)""",
+        "merge_variants": _VARIANTS,
+        "source_lists": f"""with t as (select resource_id, coalesce(len(list_filter(utb_source, lambda x: regexp_matches(lower(x), 'wos|wok'))) > 0, false) as w, coalesce(len(list_filter(utb_source, lambda x: contains(lower(x), 'scopus'))) > 0, false) as s, unnest(dc_contributor_author) as name from {_M}),
+            h as (select dedup_kept_resource_id::bigint as resource_id, coalesce(len(list_filter(utb_source, lambda x: regexp_matches(lower(x), 'wos|wok'))) > 0, false) as w, coalesce(len(list_filter(utb_source, lambda x: contains(lower(x), 'scopus'))) > 0, false) as s, unnest(dc_contributor_author) as name
+              from (select dedup_kept_resource_id, any_value(utb_source) as utb_source, any_value(dc_contributor_author) as dc_contributor_author from dedup_histoire where resource_id <> dedup_kept_resource_id group by resource_id, dedup_kept_resource_id) k),
+            u as (select * from h union all select * from t where w <> s and resource_id not in (select resource_id from h)),
+            l as (select 'wos' as source, resource_id from u where w union all select 'scopus', resource_id from u where s union all select 'repo', resource_id from u where w union all select 'repo', resource_id from u where s union all select 'repo', resource_id from t)
+            select source, count(*) as n, count(distinct resource_id) as records from l group by 1""",
+        "wos_block_warnings": f"""with t as (select resource_id, text from (select resource_id, unnest(utb_wos_affiliation) as text from {_M}) x),
+            b as (select resource_id, coalesce({_trim("text")}, '') <> '' as ok, case when coalesce({_trim("text")}, '') = '' then [] when len(regexp_extract_all(text, '{_BLOCK}', 1)) = 0 then [{_trim("text")}] else list_transform(regexp_extract_all(text, '{_BLOCK}', 2), lambda p: regexp_replace(p, '^[;{_WS}]+|[;{_WS}]+$', '', 'g')) end as places from t)
+            select resource_id, sum(len(places))::bigint as n_blocks, sum(len(list_filter(places, lambda affiliation: {_HOME})))::bigint as n_home, min(ok::int)::boolean as ok from b group by 1""",
+        "list_group_counts": f"""with {_FLAGS}, ids as (select resource_id, utb_source, unnest({_IDS}) as x from {_M}),
+            known as (select distinct x from ids where length(x) > 1 and len(list_filter(utb_source, lambda s: lower(s) like '%-riv' or lower(s) like '%-obd' or lower(s) like '%-orig')) > 0)
+            select case when exists (select 1 from ids i join known k on i.x = k.x where i.resource_id = f.resource_id) then 'existing' when has_wos and has_scopus then 'duplicate' else 'single' end as list_group, count(*) as n
+            from flags f join {_M} m using (resource_id) where not coalesce(m.withdrawn, false) and not (has_repository and not has_wos and not has_scopus) group by 1""",
         "search_records": f"select resource_id, dc_title[1] as title, dc_date_issued[1] as issued from {_M} where ({search}) and not coalesce(withdrawn, false)",
         "search_authors": f"select distinct author_id, display_name from utb_authors where contains({_norm("concat_ws(' ', display_name, other_name, faculty)")}, 'olga') order by 1, 2 limit 50",
         "pending_changes": _PENDING,

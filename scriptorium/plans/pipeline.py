@@ -106,6 +106,18 @@ def run_authors(w: Workspace) -> DataFrame:
     return w.write(authors.author_payload(records, people, attributed), "authors")
 
 
+def run_authors_completion(w: Workspace, completer: Completer) -> DataFrame:
+    """Authors of the records that the heuristic left without any through a completer, laid over the heuristic's."""
+    records, found, units = w.read("records"), w.read("authors"), w.read("units")
+    blocks = affiliations.affiliation_blocks(records, w.settings).filter("is_home")
+    asked = found.filter("names is null").select("resource_id").join(blocks, "resource_id").groupBy("resource_id").agg(F.array_sort(F.collect_set("affiliation")).alias("affiliations"), F.array_sort(F.collect_set("author")).alias("candidates"))
+    todo = completion.author_prompt(records.select("resource_id", F.col("dc_contributor_author").alias("names")).join(asked, "resource_id"))
+    names = [r["name"] for r in units.select("name").limit(10_000).collect()]
+    done = completion.complete_authors(todo, completer, {n: n for n in names}, names).select("resource_id", *[F.col(c).alias(f"__{c}") for c in ("names", "faculties", "ous")])
+    out = found.join(done, "resource_id", "left").withColumns({c: F.coalesce(F.col(c), F.when(F.size(f"__{c}") > 0, F.col(f"__{c}"))) for c in ("names", "faculties", "ous")})
+    return w.write(out.select(*found.columns), "authors_merged")
+
+
 def workplaces(blocks: DataFrame, people: DataFrame, units: DataFrame) -> DataFrame:
     """``resource_id, author_id, source, faculty, ou``: units named in the home affiliations of each person, by name key."""
     keyed = blocks.withColumn("key", authors.name_key(F.col("author")))
@@ -168,7 +180,7 @@ COMMANDS: dict[str, Callable[[Workspace, argparse.Namespace], DataFrame]] = {
     "apply-validation-fixes": lambda w, a: run_fixes(w, a.preview),
     "metadata-validation-status": lambda w, a: validate.status_counts(w.read("validation")),
     "detect-authors": lambda w, a: run_authors(w),
-    "detect-authors-llm": lambda w, a: w.read("authors"),
+    "detect-authors-llm": lambda w, a: run_authors_completion(w, lambda prompt: '{"authors": []}'),
     "compare-author-detection": lambda w, a: authors.compare_sets(w.read("authors").join(w.read("records"), "resource_id"), "names", "utb_contributor_internalauthor"),
     "author-detection-status": lambda w, a: w.read("authors").select(F.when(F.col("names").isNull(), "no_authors").otherwise("processed").alias("status")).groupBy("status").count(),
     "extract-dates": lambda w, a: run_dates(w),

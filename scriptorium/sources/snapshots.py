@@ -63,3 +63,15 @@ def read_seed(spark: SparkSession, path: str, arrays: list[str] | None = None) -
     df = spark.read.csv(path, sep=";", header=True, encoding="UTF-8")
     df = df.toDF(*[c.lstrip("﻿").replace(".", "_") for c in df.columns])
     return array_literals(df, arrays) if arrays else df
+
+
+# Older column names of the queue and their present names.
+RENAMED = {
+    "author_llm_status": "author_completion_status", "author_llm_result": "author_completion_result", "date_llm_status": "date_completion_status", "date_llm_result": "date_completion_result",
+}
+
+
+def rename_legacy(df: DataFrame, renamed: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with older column names replaced where the present one isn't there yet."""
+    pairs = RENAMED if renamed is None else renamed
+    return df.withColumnsRenamed({old: new for old, new in pairs.items() if old in df.columns and new not in df.columns})

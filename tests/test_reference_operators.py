@@ -111,6 +111,31 @@ def test_merge_names(spark):
     assert rows(authors.merge_names(df)) == [(1, ["Grant, Benjamin", "Pfleger, Jiri"])]
 
 
+def test_author_inputs(records, spark):
+    df = records(
+        {"resource_id": 1, "dc_contributor_author": ["Novák, Jan", "Lee K"], "utb_source": ["j-wok", "j-scopus"], "utb_wos_affiliation": ["[Novak, J; Smith, Bob] Univ X"]},
+        {"resource_id": 2, "dc_contributor_author": ["Only, One"], "utb_source": ["j-scopus"]}, {"resource_id": 3},
+    )
+    past = records({"resource_id": 9, "dc_contributor_author": ["Lee, Kim"], "utb_source": ["j-wok"]}).select("*", F.lit(1).alias("dedup_kept_resource_id"))
+    got = {(r.resource_id, r.source): r.names for r in authors.source_lists(df, past).groupBy("resource_id", "source").agg(F.sort_array(F.collect_list("name")).alias("names")).collect()}
+    assert got[1, "wos"] == ["Lee, Kim"] and (1, "scopus") not in got and got[2, "scopus"] == ["Only, One"] and sorted(got[1, "repo"]) == ["Lee K", "Lee, Kim", "Novák, Jan"]
+    blocks = affiliations.affiliation_blocks(df)
+    names = {r.resource_id: r.names for r in authors.author_inputs(df, blocks, past).collect()}
+    assert names == {1: ["Lee, Kim", "Novák, Jan", "Smith, Bob"], 2: ["Only, One"]}
+    assert rows(authors.align_blocks(df, blocks)) == [(1, 0, "Novák, Jan", "wos", "Univ X")]
+    assert rows(affiliations.block_warnings(df)) == [(1, 1, 0, True)]
+    parts = spark.createDataFrame([("Dep. A, Faculty B, Some University, Town",)], "x string").select(affiliations.scopus_parts(F.col("x")).alias("p")).first().p
+    assert tuple(parts) == ("Dep. A", "Faculty B", "Some University")
+
+
+def test_summaries_and_candidates(spark):
+    reg = registry(spark, (1, "Novák, Jan", None, None, None, None), (2, "Novak, Jan", None, None, None, None))
+    assert rows(review.author_summaries(reg)) == [("novak, jan", 2, 2, "")]
+    scored = spark.createDataFrame([(1, f"n{i:02}", 1.0 if i < 3 else 0.0) for i in range(15)], "resource_id bigint, name string, score double")
+    assert review.top_candidates(scored, 2, 10).count() == 10 and review.top_candidates(scored, 2, 1).count() == 2
+    assert snapshots.rename_legacy(spark.createDataFrame([(1,)], "old int"), {"old": "new"}).columns == ["new"]
+
+
 def test_attribution(spark):
     people = spark.createDataFrame([(1, a, a) for a in range(1, 6)] + [(2, 9, 0)], "resource_id bigint, author_id bigint, pos int")
     found = spark.createDataFrame([(1, a, "wos", "F", "U") for a in range(1, 5)] + [(1, 1, "scopus", "G", "V")], "resource_id bigint, author_id bigint, source string, faculty string, ou string")
@@ -239,6 +264,9 @@ def test_completion(spark):
     todo = completion.date_prompt(spark.createDataFrame([(1, "Received 2 May 2019"), (2, "x")], "resource_id bigint, raw string"))
     out = {r.resource_id: r for r in completion.complete_dates(todo, lambda p: '{"received": "2019-05-02"}' if "Record 1" in p else "no json").collect()}
     assert out[1].received == "2019-05-02" and out[2].status == "validation_error"
+    asked = completion.author_prompt(spark.createDataFrame([(1, ["Novák, Jan"], ["Dept of Polymers"], ["Novák, Jan"])], "resource_id bigint, names array<string>, affiliations array<string>, candidates array<string>"))
+    answer = completion.complete_authors(asked, lambda p: '{"authors": [{"name": "novák, jan", "faculty": "F", "ou": "Dept of Polymer"}, {"name": "Ghost Writer"}]}', {"F": "Faculty"}, ["Dept of Polymers"]).first()
+    assert (answer.status, answer.names, answer.faculties, answer.ous) == ("processed", ["Novák, Jan"], ["Faculty"], ["Dept of Polymers"])
     assert providers.retry_delay(0, 429) == 10.0 and providers.retry_delay(1, 500, {"Retry-After": "7"}) == 7.0
 
 
