@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import heapq
 import html
-import math
 import re
 import unicodedata
 import zlib
@@ -21,9 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 #: A single-byte misreading must be this much more plausible (nats for each changed character) to be taken back.
 MARGIN = 2.0
+#: The same for Central European letters that would have to be Western ones, the rarer error.
+RARE_MARGIN = 5.0
 MAX_STATES = 60
 #: No step of a repair makes a word less plausible than it was by more than this.
 SLACK = 8.0
@@ -41,7 +42,7 @@ _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 # A word that holds a sign of damage; a no-break space divides words unless it may be the second byte of a damaged letter.
-_PART = r"(?:[^\s\x00-\x25\x27-\x2b\x2c\x3b\[\]]|(?<=[À-ɏ])\xa0)"
+_PART = r"(?:[^\s\x00-\x25\x27-\x2b\x2c\x3b\[\]]|(?<=[À-ɏ])[\x85\xa0])"
 _CHUNK = re.compile(rf"{_PART}*?[^\s\x00-\x25\x27-\x5b\x5d-\x7f]{_PART}*")
 # Alphabets, and signs, that are usual beside Latin letters.
 _FAMILIAR = frozenset("LATIN GREEK CYRILLIC MICRO FEMININE MASCULINE SUPERSCRIPT VULGAR MODIFIER CARON".split())
@@ -149,15 +150,15 @@ def steps(text: str) -> Iterator[tuple[str, float]]:
         able, changed = _rereading(wrong, true)
         n = sum(ord(ch) in changed for ch in foreign)
         if n and all(ch in able for ch in foreign):
-            yield text.translate(changed), MARGIN * n
+            yield text.translate(changed), (MARGIN if true != "cp1252" else RARE_MARGIN) * n
 
 
 class Plausibility:
     """What a text costs by the trigram counts of the corpus; control characters and lost characters cost extra."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        total = float(counts.sum()) + BUCKETS
-        self._by_bucket = [-math.log((c + 0.1) / total) / 3 for c in counts.tolist()]
+        total = float(counts.sum()) + 0.1 * BUCKETS
+        self._by_bucket = -np.log((counts + 0.1) / total) / 3
         self._by_gram: dict[str, float] = {}
         self._memo: dict[str, str] = {}
 
@@ -165,22 +166,24 @@ class Plausibility:
         if (cost := self._by_gram.get(gram)) is None:
             if len(self._by_gram) > 500_000:
                 self._by_gram.clear()
-            cost = self._by_gram[gram] = self._by_bucket[bucket(gram)]
+            cost = self._by_gram[gram] = float(self._by_bucket[bucket(gram)])
         return cost
 
     def __call__(self, text: str) -> float:
         cost = sum(map(self._gram, trigrams(text)))
-        scripts, odd = set(), 0
+        scripts, odd, rare = set(), 0, 0
         for ch in text:
             if ch > "\x7f":
                 if "\x80" <= ch <= "\x9f" or ch == "\ufffd":
                     cost += 12
+                elif ch > "\u052f" and not "\u2000" <= ch <= "\u25ff":
+                    rare += 1
                 elif ch.isalnum():
                     scripts.add(_script(ch))
                 elif ch not in _USUAL:
                     odd += 1
-        if scripts - _FAMILIAR and _ASCII_LETTER.search(text):  # such letters don't stand beside Latin ones
-            odd += 8
+        if (rare or scripts - _FAMILIAR) and _ASCII_LETTER.search(text):  # such signs stand beside Latin letters in few languages
+            odd += 6 * rare + 8 * bool(scripts - _FAMILIAR)
         return cost + 4 * odd + 30 * max(0, len(scripts) - 1)
 
     def restore(self, chunk: str) -> str:
@@ -248,7 +251,7 @@ def corpus_counts(records: DataFrame, fields: tuple[str, ...], row_id: str = "re
                 for text in elements or ():
                     if not text.isascii():
                         total.update(trigrams(text))
-            if len(total) > BUCKETS:
+            if len(total) > 200_000:
                 flush()
         flush()
         at = np.nonzero(places)[0]
