@@ -176,7 +176,7 @@ class Plausibility:
             if ch > "\x7f":
                 if "\x80" <= ch <= "\x9f" or ch == "\ufffd":
                     cost += 12
-                elif ch > "\u052f" and not "\u2000" <= ch <= "\u25ff":
+                elif ch > "\u052f" and not "\u2000" <= ch <= "\u25ff" and unicodedata.normalize("NFKC", ch) == ch:
                     rare += 1
                 elif ch.isalnum():
                     scripts.add(_script(ch))
