@@ -67,7 +67,9 @@ def read_seed(spark: SparkSession, path: str, arrays: list[str] | None = None) -
 
 # Older column names of the queue and their present names.
 RENAMED = {
-    "author_llm_status": "author_completion_status", "author_llm_result": "author_completion_result", "date_llm_status": "date_completion_status", "date_llm_result": "date_completion_result",
+    "flags": "author_flags", "heuristic_status": "author_heuristic_status", "heuristic_version": "author_heuristic_version", "heuristic_processed_at": "author_heuristic_processed_at",
+    "needs_llm": "author_needs_llm", "dc_contributor_author": "author_dc_names", "utb_contributor_internalauthor": "author_internal_names", "utb_faculty": "author_faculty",
+    "utb_ou": "author_ou", "llm_result": "author_llm_result", "llm_status": "author_llm_status", "llm_processed_at": "author_llm_processed_at",
 }
 
 
