@@ -123,7 +123,7 @@ def _parts(elements: DataFrame) -> DataFrame:
 
     The alphabets of word and text are known by then; ``odd`` tells which parts may change.
     """
-    some = elements.select(*_KEYS, "text").filter(suspicious(F.col("text"))).dropDuplicates(_KEYS)
+    some = elements.select(*_KEYS, "text").filter(F.col("row_id").isNotNull() & suspicious(F.col("text"))).dropDuplicates(_KEYS)
     other = rf"[\p{{L}}&&[^\p{{IsLatin}}]&&[^{_ALIKE[1:-1]}]]"
     inside = r"[\p{L}\p{M}\p{Cf}]"
     text = F.col("text")
@@ -172,7 +172,7 @@ def unify_text(elements: DataFrame) -> DataFrame:
     hidden characters go, and look-alike letters of another alphabet become Latin within a word that also has Latin
     letters, or that stands in a text whose other letters are all Latin. Ordinary text stays as it is. ``stand_in``
     tells whether anything but composition changed.
-    Null and empty texts give no rows; repeated rows are treated as one; an empty table gives an empty one; texts of any
+    Null ids and texts and empty texts give no rows; repeated rows are treated as one; an empty table gives an empty one; texts of any
     length are handled whole. Other columns are ignored.
     """
     parts = _parts(elements)
