@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.functions import text as X
-from scriptorium.functions.similarity import jaro_winkler_udf, may_reach
+from scriptorium.functions.similarity import jaro_winkler
+from scriptorium.plans.lineage import reliable
 
 MAX_DEPTH = 100
+MAX_NODES = 20_000
 
 
 def closure(nodes: DataFrame, *, node: str = "id", parent: str = "parent_id", max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -24,7 +29,7 @@ def closure(nodes: DataFrame, *, node: str = "id", parent: str = "parent_id", ma
     while reach < max_depth:
         left, right = paths.alias("l"), paths.alias("r")
         longer = left.join(right, F.col("l.ancestor") == F.col("r.node")).select("l.node", "r.ancestor", (F.col("l.depth") + F.col("r.depth")).alias("depth"))
-        paths = longer.groupBy("node", "ancestor").agg(F.min("depth").alias("depth")).checkpoint() if _cut(nodes) else longer.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        paths = reliable(longer.groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
         reach *= 2
         now = paths.count()
         if now == before:
@@ -33,12 +38,6 @@ def closure(nodes: DataFrame, *, node: str = "id", parent: str = "parent_id", ma
     return paths
 
 
-def _cut(df: DataFrame) -> bool:
-    from scriptorium.plans.lineage import ensure_checkpoint_dir
-
-    return bool(ensure_checkpoint_dir(df.sparkSession))
-
-
 def first_ancestor(paths: DataFrame, wanted: DataFrame, *, key: str = "id") -> DataFrame:
     """``node, ancestor``: the nearest ancestor (or itself) that is among ``wanted``."""
     hits = paths.join(wanted.select(F.col(key).alias("ancestor")).distinct(), "ancestor")
@@ -48,16 +47,29 @@ def first_ancestor(paths: DataFrame, wanted: DataFrame, *, key: str = "id") -> D
 def find_nodes(texts: DataFrame, nodes: DataFrame, threshold: float = 0.92) -> DataFrame:
     """``text, id, score``: for each distinct text the best node: equal 1, one name in the other at least 0.92, else Jaro-Winkler.
 
-    ``nodes``: ``id, name``; of equal scores the longer name, then the smaller id. The node list is broadcast only where
-    Spark's own size estimate allows it; each text is compared once, however often it occurs.
+    ``nodes``: ``id, name``; of equal scores the longer name, then the smaller id. Every task holds the nodes, which are
+    refused beyond ``MAX_NODES``; each text is compared once, however often it occurs. Blank texts are left out.
     """
-    left = texts.select("text", X.workplace_form(F.col("text")).alias("a")).distinct().filter("a <> ''")
-    right = nodes.select("id", X.workplace_form(F.col("name")).alias("b")).distinct().filter("b <> ''")
-    equal = left.join(right, F.col("a") == F.col("b")).select("text", "id", "b", F.lit(1.0).alias("score"))
-    rest = left.join(equal.select("text").distinct(), "text", "left_anti").join(right, F.contains("a", "b") | F.contains("b", "a") | may_reach(F.col("a"), F.col("b"), threshold))
-    jw = jaro_winkler_udf("a", "b")
-    inside = F.contains("a", "b") | F.contains("b", "a")
-    scored = rest.withColumn("score", jw).withColumn("score", F.when(inside, F.greatest("score", F.lit(0.92))).otherwise(F.col("score"))).filter(F.col("score") >= threshold)
-    best = Window.partitionBy("text").orderBy(F.desc("score"), F.desc(F.length("b")), "id")
-    every = equal.unionByName(scored.select("text", "id", "b", "score"))
-    return every.withColumn("n", F.row_number().over(best)).filter("n = 1").select("text", "id", F.round("score", 4).alias("score"))
+    known = nodes.select(F.col("id").cast("bigint").alias("id"), X.workplace_form(F.col("name")).alias("b")).distinct().filter("b <> ''").limit(MAX_NODES + 1).collect()
+    if len(known) > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} nodes")
+    listed = [(r["b"], r["id"]) for r in known]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple[str, int, float]] = []
+            for text, plain in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                best = max(((_node_score(plain, name), len(name), -i) for name, i in listed), default=(0.0, 0, 0))
+                if best[0] >= threshold:
+                    found.append((text, -best[2], round(best[0], 4)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["text", "id", "score"])
+
+    rows = texts.select("text", X.workplace_form(F.col("text")).alias("a")).distinct().filter("a <> ''")
+    return rows.mapInArrow(find, "text string, id bigint, score double")
+
+
+def _node_score(a: str, b: str) -> float:
+    if a == b:
+        return 1.0
+    inside = 0.92 if a in b or b in a else 0.0
+    return max(inside, jaro_winkler(a, b))
