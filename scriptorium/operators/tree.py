@@ -61,11 +61,11 @@ def find_nodes(texts: DataFrame, nodes: DataFrame, threshold: float = 0.92) -> D
             for text, plain in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 best = max(((_node_score(plain, name), len(name), -i) for name, i in listed), default=(0.0, 0, 0))
                 if best[0] >= threshold:
-                    found.append((text, -best[2], round(best[0], 4)))
+                    found.append((text, -best[2], best[0]))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["text", "id", "score"])
 
     rows = texts.select("text", X.workplace_form(F.col("text")).alias("a")).distinct().filter("a <> ''")
-    return rows.mapInArrow(find, "text string, id bigint, score double")
+    return rows.mapInArrow(find, "text string, id bigint, score double").withColumn("score", F.round("score", 4))
 
 
 def _node_score(a: str, b: str) -> float:

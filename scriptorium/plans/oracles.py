@@ -214,6 +214,43 @@ select resource_id, array_to_string(list(name order by first), '||') as names fr
 """
 
 
+def _workplace(x: str) -> str:
+    centred = f"regexp_replace(replace({_norm(x)}, '&', ' and '), '\\bcenter\\b', 'centre', 'g')"
+    return _match(centred)
+
+
+_FIND = f"""
+with t as (select distinct ou as text, {_workplace("ou")} as a from llm_author_entry where trim(ou) <> ''),
+n as (select id, {_workplace("name")} as b from {_UNITS} u where parent_id is not null),
+s as (select text, id, length(b) as l, case when a = b then 1 when contains(a, b) or contains(b, a) then greatest(0.92, jaro_winkler_similarity(a, b)) else jaro_winkler_similarity(a, b) end as score from t, n where a <> '' and b <> '')
+select text, id, round(score, 4) as score from (select *, row_number() over (partition by text order by score desc, l desc, id) as k from s) z where k = 1 and score >= 0.92
+"""
+
+_W, _L = _LETTERS.replace("{x}", "name"), _LETTERS.replace("{x}", "string_split(name, ',')[1]")
+_SIGNATURES = f"""list_distinct(list_filter(case when contains(name, ',') then [
+    {{'s': array_to_string({_L}, ' '), 'i': {_INITIALS.replace("{x}", _RIGHT)}}}, {{'s': ({_L})[1], 'i': {_INITIALS.replace("{x}", _RIGHT)}}}, {{'s': ({_L})[-1], 'i': {_INITIALS.replace("{x}", _RIGHT)}}}]
+  else [{{'s': ({_W})[-1], 'i': {_INITIALS.replace("{x}", f"({_W})[1:len({_W})-1]")}}}, {{'s': ({_W})[1], 'i': {_INITIALS.replace("{x}", f"({_W})[2:]")}}}] end, lambda g: coalesce(g.s, '') <> ''))"""
+_MATCHES = f"""
+with names as (select distinct name, {_match("name")} as norm from (select unnest(dc_contributor_author) as name from {_M}) t where {_trim("name")} <> ''),
+written as (
+  select distinct author_id, name, {_match("name")} as norm from (
+    select author_id, {_trim("x")} as name from (select author_id, unnest(list_concat(string_split(coalesce(display_name, ''), '||'), regexp_split_to_array(coalesce(other_name, ''), '\\|\\||;'))) as x from utb_authors) t
+    union all select author_id, surname || ', ' || given_name from utb_authors where surname is not null and given_name is not null
+    union all select author_id, given_name || ' ' || surname from utb_authors where surname is not null and given_name is not null) n where name <> ''),
+mine as (select name, norm, g.s as surname, g.i as initials from (select name, norm, unnest({_SIGNATURES}) as g from names) t),
+theirs as (select distinct author_id, norm as their_norm, g.s as surname, g.i as their_initials from (select author_id, norm, unnest({_SIGNATURES}) as g from written) t),
+near as (select m.*, t.author_id, t.their_norm, t.their_initials, m.initials <> '' and t.their_initials <> '' and (starts_with(t.their_initials, m.initials) or starts_with(m.initials, t.their_initials)) as fits from mine m join theirs t using (surname)),
+found as (
+  select name, 3 as stage, 'exact' as match_type from names join written using (name)
+  union all select n.name, 4, 'exact_normalized' from names n join written w on n.norm = w.norm where n.norm <> ''
+  union all select name, case when min(author_id) = max(author_id) then 5 else 6 end, case when min(author_id) = max(author_id) then 'initial_surname' else 'ambiguous_initials' end from near where fits group by name
+  union all select name, 7, 'ambiguous_surname' from near where name in (select name from mine group by name having max(initials) = '') group by name having min(author_id) <> max(author_id)
+  union all select name, 8, 'initial_mismatch' from near group by name having max(initials <> '') and not max(fits)
+  union all select name, 9, 'fuzzy' from near where (initials = '' or fits) and jaro_winkler_similarity(norm, their_norm) >= 0.85)
+select coalesce(match_type, 'none') as match_type, count(*) as n from names left join (select name, arg_min(match_type, stage) as match_type from found group by name) f using (name) group by 1
+"""
+
+
 def sql() -> dict[str, str]:
     """Query name to SQL."""
     doi, wok = (f"lower({_trim(f'{c}[1]')})" for c in ("dc_identifier_doi", "utb_identifier_wok"))
@@ -249,6 +286,8 @@ def sql() -> dict[str, str]:
         "dedup_flags": _CONTENT + f""", two as (select id_a as resource_id, id_b as other, match_type, score from links union select id_b, id_a, match_type, score from links)
             select t.*, exists (select 1 from {_M} m where m.resource_id = t.other) as is_live from two t""",
         "author_summaries": f"select name, count(distinct author_id) as persons, count(*) as places, coalesce(array_to_string(list_sort(list(distinct faculty) filter (faculty is not null)), '||'), '') as faculties from (select {_norm('display_name')} as name, author_id, nullif(trim(faculty), '') as faculty from utb_authors) t where name <> '' group by 1",
+        "find_units": _FIND,
+        "author_match_status": _MATCHES,
         "match_exact": f"with {_FORMS}, names as (select distinct name, {_match('name')} as norm from (select unnest(dc_contributor_author) as name from {_M}) t where trim(name) <> '') select name, min(author_id) as author_id, count(distinct author_id) as n from names join forms using (norm) where norm <> '' group by 1",
         "default_affiliations": f"""with u as (select * from {_UNITS} t), r as (select a.author_id, coalesce(nullif(trim(a.faculty), ''), p.name) as faculty, case when u.parent_id is not null then u.name end as ou from utb_authors a left join u on u.id = a.organization_id left join u p on p.id = u.parent_id)
             select author_id, min(faculty) as faculty, arg_max(ou, (length(ou), ou)) as ou from r group by 1""",
