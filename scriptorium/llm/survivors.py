@@ -107,8 +107,9 @@ def infer_quality(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[dict, dict
             weight = 20.0 if kinds[key] == "test" else 5.0
             s, t = START[kinds[key]]
             quality[key] = ((r["said_true"] + weight * s) / (r["true"] + weight), (r["kept_false"] + weight * t) / (r["false"] + weight))
-        for r in scored.groupBy("field").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("share")).collect():
-            prior[r["field"]] = min(0.99, max(0.01, r["share"]))
+        for r in told:  # every claim is tested, so a test's claims are all claims of the field
+            if kinds[r["field"], r["observer"]] == "test":
+                prior[r["field"]] = min(0.99, max(0.01, r["true"] / (r["true"] + r["false"])))
     return quality, prior
 
 
