@@ -182,7 +182,7 @@ class Plausibility:
                     scripts.add(_script(ch))
                 elif ch not in _USUAL:
                     odd += 1
-        if (rare or scripts - _FAMILIAR) and _ASCII_LETTER.search(text):  # such signs stand beside Latin letters in few languages
+        if (rare and scripts) or (rare or scripts - _FAMILIAR) and _ASCII_LETTER.search(text):  # such signs stand beside Latin letters in few languages
             odd += 6 * rare + 8 * bool(scripts - _FAMILIAR)
         return cost + 4 * odd + 30 * max(0, len(scripts) - 1)
 
