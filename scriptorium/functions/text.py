@@ -112,12 +112,30 @@ def fix_characters(col: Column) -> Column:
     return col
 
 
+# What Western bytes 80 to 9F are read as, and these bytes.
+WESTERN = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+WESTERN_BYTES = "\u0080\u0082\u0083\u0084\u0085\u0086\u0087\u0088\u0089\u008a\u008b\u008c\u008e\u0091\u0092\u0093\u0094\u0095\u0096\u0097\u0098\u0099\u009a\u009b\u009c\u009e\u009f"
+#: Where the characters of a text, taken as bytes, aren't well-formed UTF-8 (searched for, so long texts need no deep match).
+NOT_UTF8 = (
+    r"[^\x00-\xFF]|[\xC0\xC1\xF5-\xFF]|[\xC2-\xDF](?![\x80-\xBF])|[\xE0-\xEF](?![\x80-\xBF]{2})|[\xF0-\xF4](?![\x80-\xBF]{3})"
+    r"|(?<![\xC2-\xF4])(?<![\xE0-\xF4][\x80-\xBF])(?<![\xF0-\xF4][\x80-\xBF]{2})[\x80-\xBF]|\xE0[\x80-\x9F]|\xED[\xA0-\xBF]|\xF0[\x80-\x8F]|\xF4[\x90-\xBF]"
+)
+
+
+def fix_mojibake(col: Column) -> Column:
+    """UTF-8 that was read as a Western encoding read again, where the whole text allows it; else the text as it is."""
+    as_bytes = F.translate(col, WESTERN, WESTERN_BYTES)
+    damaged = as_bytes.rlike(r"[\x80-\xFF]") & ~as_bytes.rlike(NOT_UTF8)
+    return F.when(damaged, F.decode(F.encode(as_bytes, "ISO-8859-1"), "UTF-8")).otherwise(col)
+
+
 def text_fixes(col: Column) -> tuple[Column, list[tuple[str, Column]]]:
     """Fixed text, and for each kind of fix in order whether it changed something.
 
-    Order: wrong characters, standalone diacritics, no-break blanks, doubled blanks, blanks at the ends.
+    Order: wrong encoding, wrong characters, standalone diacritics, no-break blanks, doubled blanks, blanks at the ends.
     """
     steps = [
+        ("mojibake", fix_mojibake),
         ("encoding_chars", fix_characters),
         ("standalone_diacritics", lambda c: F.regexp_replace(c, f"[{STANDALONE_DIACRITICS}]", "")),
         ("nbsp", lambda c: F.translate(c, NO_BREAK, "   ")),

@@ -61,7 +61,7 @@ def suggested_fixes(records: DataFrame, *, text_fields: tuple[str, ...] = TEXT_F
     rows = []
     for f in have:
         fixed = F.transform(F.col(f), lambda x: X.text_fixes(x)[0])
-        kinds = F.array_compact(F.array(*[F.when(_any(F.col(f), (lambda k: lambda x: dict(X.text_fixes(x)[1])[k])(kind)), F.lit(kind)) for kind in ("double_space", "encoding_chars", "nbsp", "standalone_diacritics", "trailing_spaces")]))
+        kinds = F.array_compact(F.array(*[F.when(_any(F.col(f), (lambda k: lambda x: dict(X.text_fixes(x)[1])[k])(kind)), F.lit(kind)) for kind in ("double_space", "encoding_chars", "mojibake", "nbsp", "standalone_diacritics", "trailing_spaces")]))
         rows.append(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("original"), fixed.alias("suggested"), F.array_join(kinds, "+").alias("fix_type")))
     doi = F.transform("dc_identifier_doi", X.clean_doi)
     mended = F.exists(F.arrays_zip(F.col("dc_identifier_doi").alias("a"), doi.alias("b")), lambda p: ~X.is_doi(p["a"]) & p["b"].rlike(X.DOI_FORM))

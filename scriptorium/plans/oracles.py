@@ -152,7 +152,14 @@ flags as (select resource_id,
 
 _IDS = f"list_concat(list_concat(list_transform(coalesce(dc_identifier_doi, []), lambda x: 'd' || lower({_trim('x')})), list_transform(coalesce(dc_identifier_issn, []), lambda x: 's' || lower({_trim('x')}))), list_transform(coalesce(dc_identifier_isbn, []), lambda x: 'b' || lower({_trim('x')})))"
 
+_UTF8 = r"([\x{00}-\x{7F}]|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]{2}|\x{ED}[\x{80}-\x{9F}][\x{80}-\x{BF}]|\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]{2}|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{3})*"
+_WEST = "[" + ", ".join(map(str, (8364, 8218, 402, 8222, 8230, 8224, 8225, 710, 8240, 352, 8249, 338, 381, 8216, 8217, 8220, 8221, 8226, 8211, 8212, 732, 8482, 353, 8250, 339, 382, 376))) + "]"
+_WEST_BYTES = "[" + ", ".join(map(str, (128, 130, 131, 132, 133, 134, 135, 136, 137, 138, 139, 140, 142, 145, 146, 147, 148, 149, 150, 151, 152, 153, 154, 155, 156, 158, 159))) + "]"
+_CODES = f"list_transform(list_transform(string_split({{x}}, ''), lambda c: ord(c)), lambda c: coalesce({_WEST_BYTES}[list_position({_WEST}, c)], c))"
+_AS_BYTES = "array_to_string(list_transform(" + _CODES + ", lambda c: chr(c::int)), '')"
+_REREAD = f"case when {{x}} <> '' and regexp_matches({_AS_BYTES}, '[\\x{{80}}-\\x{{FF}}]') and regexp_full_match({_AS_BYTES}, '{_UTF8}') then try(decode(unhex(array_to_string(list_transform({_CODES}, lambda c: printf('%02x', c::int)), '')))) else {{x}} end"
 _FIX = [
+    ("mojibake", _REREAD.replace("{{", "{").replace("}}", "}")),
     ("encoding_chars", "replace(replace(replace(replace(replace(replace(replace(replace({x}, chr(57501), 'ft'), chr(57604), 'fl'), chr(57603), 'fi'), chr(256), chr(8220)), chr(284), 'ř'), chr(292), 'ů'), chr(3013), chr(8211)), chr(305), 'í')"),
     ("standalone_diacritics", "regexp_replace({x}, '" + _TESTS["standalone_diacritics"] + "', '', 'g')"),
     ("nbsp", "regexp_replace({x}, '" + _TESTS["nbsp"] + "', ' ', 'g')"),

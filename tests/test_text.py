@@ -18,7 +18,7 @@ def one(spark, value, fn, kind="string"):
 @pytest.mark.parametrize(
     ("value", "fixed", "kind"),
     [
-        ("  hello  ", "hello", "trailing_spaces"), ("hello world", "hello world", "nbsp"), ("hello  world", "hello world", "double_space"), ("Venˇec", "Venec", "standalone_diacritics"),
+        ("Ã©test", "étest", "mojibake"), ("  hello  ", "hello", "trailing_spaces"), ("hello world", "hello world", "nbsp"), ("hello  world", "hello world", "double_space"), ("Venˇec", "Venec", "standalone_diacritics"),
         ("Lapı", "Lapí", "encoding_chars"), ("Ĝeho", "řeho", "encoding_chars"), ("igure", "ftigure", "encoding_chars"), ("a௅b", "a–b", "encoding_chars"),
     ],
 )
@@ -27,6 +27,17 @@ def test_fixes(spark, value, fixed, kind):
     assert one(spark, value, lambda c: dict(X.text_fixes(c)[1])[kind])
 
 
+def test_mojibake(spark):
+    damaged = "Možnosti – fólií “x” 漢字 😀".encode().decode("latin-1")
+    western = "".join(bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in "Možnosti – “x”".encode())
+    assert one(spark, damaged, X.fix_mojibake) == "Možnosti – fólií “x” 漢字 😀"
+    assert one(spark, western, X.fix_mojibake) == "Možnosti – “x”"
+    long = "a" * 100_000
+    assert one(spark, long + "Ã©", X.fix_mojibake) == long + "é"
+    for v in ("Možnosti", "é", "Ã©Ã", "Ã©©", "â\x80", "Ã© ž", "\xed\xa0\x80", "plain", "", None):
+        assert one(spark, v, X.fix_mojibake) == v
+
+
 def test_normal_text_stays(spark):
     for v in ("Normálny text", "https://example.com/?via%3Dihub"):
         assert one(spark, v, lambda c: X.text_fixes(c)[0]) == v
