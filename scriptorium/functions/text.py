@@ -239,3 +239,11 @@ def external_id(col: Column, kind: str) -> Column:
     """ORCID, Scopus or WoS author id written in a text."""
     patterns = {"orcid": r"(\d{4}-\d{4}-\d{4}-\d{3}[\dX])", "scopus": r"(?<!\d)(\d{8,11})(?!\d)", "wos": r"\b([A-Z]{1,3}-\d{4}-\d{4})\b"}
     return F.nullif(F.regexp_extract(col, patterns[kind], 1), F.lit(""))
+
+
+def common_prefix_ratio(a: Column, b: Column) -> Column:
+    """Length of the common beginning over the longer length; 0 for two empty texts."""
+    longer = F.greatest(F.length(a), F.length(b))
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(b)), F.lit(1)))
+    same = F.size(F.filter(places, lambda k: (F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)) & (k <= F.least(F.length(a), F.length(b)))))
+    return F.when(longer == 0, 0.0).otherwise(same / longer)

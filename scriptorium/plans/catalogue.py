@@ -111,6 +111,10 @@ def queries() -> dict[str, Query]:
         "dedup_link_counts": lambda s, d: dedup.link_counts(_content(s, d)),
         "dedup_survivors": lambda s, d: dedup.survivor(_content(s, d), _records(s, d)),
         "dedup_flags": lambda s, d: review.flag_rows(dedup.duplicate_flags(_content(s, d), _records(s, d).select("resource_id"))),
+        "dedup_flag_counts": lambda s, d: review.flag_rows(dedup.duplicate_flags(_content(s, d), _records(s, d).select("resource_id"))).groupBy("match_type").agg(F.count("*").alias("n")),
+        "pending_records": lambda s, d: review.pending_changes(table(s, d, "utb_change_buffer")).groupBy("resource_id").agg(F.count("*").alias("n_changes")),
+        "author_status": lambda s, d: validate.status_counts(_records(s, d).select(F.when(F.col("utb_contributor_internalauthor").isNull(), "not_processed").otherwise("processed").alias("status"))),
+        "name_prefixes": lambda s, d: table(s, d, "utb_authors").filter("display_name is not null and surname is not null").select("author_id", "poradie", "display_name", "surname", F.round(X.common_prefix_ratio(F.col("display_name"), F.col("surname")), 6).alias("ratio")).distinct(),
         "dedup_merge_plan": _merge_plan,
         "dedup_merged_records": lambda s, d: dedup.merge_records(_records(s, d), _merge_plan(s, d))[0].select("resource_id", F.array_join("dc_contributor_author", "||").alias("names"), F.array_join("utb_source", "||").alias("sources")),
         "dedup_history_status": lambda s, d: table(s, d, "dedup_histoire").groupBy("dedup_match_type").agg(F.count("*").alias("n"), F.countDistinct("dedup_kept_resource_id").alias("kept")),

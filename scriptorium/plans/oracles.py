@@ -292,6 +292,10 @@ def sql() -> dict[str, str]:
         "wos_blocks": _WOS,
         "dedup_flags": _CONTENT + f""", two as (select id_a as resource_id, id_b as other, match_type, score from links union select id_b, id_a, match_type, score from links)
             select t.*, exists (select 1 from {_M} m where m.resource_id = t.other) as is_live from two t""",
+        "dedup_flag_counts": _CONTENT + "select match_type, count(*) as n from (select id_a, id_b, match_type, score from links union select id_b, id_a, match_type, score from links) t group by 1",
+        "pending_records": f"select resource_id, count(*) as n_changes from ({_PENDING}) t group by 1",
+        "author_status": f"select case when utb_contributor_internalauthor is null then 'not_processed' else 'processed' end as status, count(*) as n from {_M} group by 1",
+        "name_prefixes": "select distinct author_id, poradie, display_name, surname, round(case when greatest(length(display_name), length(surname)) = 0 then 0 else len(list_filter(range(1, least(length(display_name), length(surname)) + 1), lambda k: display_name[1:k] = surname[1:k])) / greatest(length(display_name), length(surname)) end, 6) as ratio from utb_authors where display_name is not null and surname is not null",
         "author_summaries": f"select name, count(distinct author_id) as persons, count(*) as places, coalesce(array_to_string(list_sort(list(distinct faculty) filter (faculty is not null)), '||'), '') as faculties from (select {_norm('display_name')} as name, author_id, nullif(trim(faculty), '') as faculty from utb_authors) t where name <> '' group by 1",
         "find_units": _FIND,
         "author_match_status": _MATCHES,
