@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions.similarity import jaro_winkler_udf, may_reach
@@ -60,11 +60,28 @@ def content_links(records: DataFrame, settings: Settings = Settings()) -> DataFr
     inner = rows.join(classes.filter("n > 1"), alike).filter("resource_id <> rep and (authors <> '' or abstract <> '' or issn <> '')")
     inner = inner.select(F.col("rep").alias("id_a"), F.col("resource_id").alias("id_b"), F.when(F.col("issn") != "", "exact:content").otherwise("autoplagiat").alias("match_type"), F.lit(1.0).alias("score"))
 
-    evidence = F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), F.xxhash64(c).cast("string"))) for c in ("authors", "abstract", "issn")]))
-    keyed = classes.select("rep", *alike, F.explode(X.title_keys(F.col("title"))).alias("k")).select("rep", *alike, "k", F.explode(evidence).alias("e"))
-    a, b = keyed.select([F.col(c).alias(f"{c}_a") for c in ("rep", *alike)] + ["k", "e"]), keyed.select([F.col(c).alias(f"{c}_b") for c in ("rep", *alike)] + ["k", "e"])
+    # Equal ISSNs decide only where authors and abstracts can't both be compared. A class takes part in such pairs as one
+    # side or the other by what it lacks, so complete records of a hot journal never meet each other through it.
+    lacks = F.when((F.col("authors") == "") & (F.col("abstract") == ""), "both").when(F.col("authors") == "", "authors").when(F.col("abstract") == "", "abstract").otherwise("nothing")
+    left_roles = {"nothing": ["nothing~both"], "authors": ["authors~abstract", "authors~both"], "abstract": ["abstract~both"], "both": ["both~both"]}
+    right_roles = {"both": ["nothing~both", "authors~both", "abstract~both", "both~both"], "abstract": ["authors~abstract"]}
+
+    def evidence(roles: dict[str, list[str]]) -> Column:
+        texts = F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), F.xxhash64(c).cast("string"))) for c in ("authors", "abstract")])
+        part = F.array().cast("array<string>")
+        for what, names in roles.items():
+            part = F.when(lacks == what, F.array(*map(F.lit, names))).otherwise(part)
+        issn = F.when(F.col("issn") != "", F.transform(part, lambda r: F.concat(F.lit("issn:"), r, F.lit(":"), F.col("issn")))).otherwise(F.array().cast("array<string>"))
+        return F.array_compact(F.concat(texts, issn))
+
+    keyed = classes.withColumn("k", F.explode(X.title_keys(F.col("title"))))
+    a = keyed.select([F.col(c).alias(f"{c}_a") for c in ("rep", *alike)] + ["k", F.explode(evidence(left_roles)).alias("e")])
+    b = keyed.select([F.col(c).alias(f"{c}_b") for c in ("rep", *alike)] + ["k", F.explode(evidence(right_roles)).alias("e")])
     both_or = lambda c: (F.col(f"{c}_a") == "") | (F.col(f"{c}_b") == "") | (F.col(f"{c}_a") == F.col(f"{c}_b"))
-    pairs = a.join(b, ["k", "e"]).filter(F.col("rep_a") < F.col("rep_b")).filter(both_or("authors") & both_or("abstract"))
+    met = a.join(b, ["k", "e"]).filter(F.col("rep_a") != F.col("rep_b")).filter(both_or("authors") & both_or("abstract"))
+    turned = F.col("rep_a") > F.col("rep_b")
+    side = lambda c, first, second: F.when(turned, F.col(f"{c}_{second}")).otherwise(F.col(f"{c}_{first}"))
+    pairs = met.select(*[side(c, "a", "b").alias(f"{c}_a") for c in ("rep", *alike)], *[side(c, "b", "a").alias(f"{c}_b") for c in ("rep", *alike)], "k", "e")
     pairs = pairs.filter((F.col("title_a") == F.col("title_b")) | may_reach(F.col("title_a"), F.col("title_b"), settings.content_title_threshold)).drop("k", "e").dropDuplicates(["rep_a", "rep_b"])
     scored = pairs.withColumn("score", jaro_winkler_udf("title_a", "title_b")).filter(F.col("score") >= settings.content_title_threshold)
     same_issn = (F.col("issn_a") != "") & (F.col("issn_a") == F.col("issn_b"))

@@ -24,7 +24,7 @@ def rows(df):
 def test_validation(records, spark):
     df = records(
         {"resource_id": 1, "dc_title": "Fine", "dc_contributor_author": ["Novák, Jan"], "utb_contributor_internalauthor": ["Novak, Jan"]},
-        {"resource_id": 2, "dc_title": "Title  ", "dc_identifier_doi": "https://doi.org/10.1234/x", "utb_identifier_wok": "A00123", "utb_wos_affiliation": "UTB|Zlin"},
+        {"resource_id": 2, "dc_title": "Title  ", "dc_identifier_doi": "https://doi.org/10.1234/x", "utb_identifier_wok": "A00123", "utb_wos_affiliation": "Univ|Town"},
         {"resource_id": 3, "dc_title": "Main [Vedľajší]", "utb_contributor_internalauthor": ["Smith, Bob"], "utb_identifier_wok": "000375229700041"}, {"resource_id": 4},
     )
     got = {r.resource_id: (set(r.issues or {}), r.status) for r in validate.validation_issues(df, spark.createDataFrame([("Novak, Jan",)], "name string")).collect()}
@@ -73,8 +73,8 @@ def test_date_stage(records):
 
 def test_affiliations(spark):
     home = Settings(home_keywords=("home univ",))
-    wos = spark.createDataFrame([("[Novak, J; Smith, B] Home Univ, Zlin; [Lee, K] Other Univ; ",), ("Home Univ",), ("",)], "x string").select(affiliations.wos_blocks(F.col("x"), home).alias("b")).collect()
-    assert [(b.authors, b.affiliation, b.is_home) for b in wos[0].b] == [(["Novak, J", "Smith, B"], "Home Univ, Zlin", True), (["Lee, K"], "Other Univ", False)]
+    wos = spark.createDataFrame([("[Novak, J; Smith, B] Home Univ, Town; [Lee, K] Other Univ; ",), ("Home Univ",), ("",)], "x string").select(affiliations.wos_blocks(F.col("x"), home).alias("b")).collect()
+    assert [(b.authors, b.affiliation, b.is_home) for b in wos[0].b] == [(["Novak, J", "Smith, B"], "Home Univ, Town", True), (["Lee, K"], "Other Univ", False)]
     assert [(b.authors, b.is_home) for b in wos[1].b] == [([], True)] and wos[2].b is None
     text = "Novak J.A., Dep. A, Other Univ, Italy, Home Univ, Town, Czech Republic; Faculty of X, Home Univ; Di Martino A., Univ Y, Spain"
     sc = spark.createDataFrame([(text,)], "x string").select(affiliations.scopus_blocks(F.col("x"), home).alias("b")).first().b
