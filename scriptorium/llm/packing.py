@@ -2,8 +2,8 @@
 
 Plan: one Arrow pass measures the texts; a text larger than the container is split, nothing else. What is left is decided
 on the histogram of lengths, at most ``GRID`` numbers for each capacity whatever the input: multiplicative weights with
-knapsack pricing yield container patterns, these are rounded down, and what remains is filled first-fit decreasing, all
-by pattern and count. Pieces then take their places by rank within their length; ranks come from salted counts, so that
+knapsack pricing yield container patterns, these are rounded down, and what remains is priced again until nothing is
+left, all by pattern and count. Pieces then take their places by rank within their length; ranks come from salted counts, so that
 no length, however common, is numbered in one task.
 """
 
@@ -24,6 +24,9 @@ from scriptorium.plans.lineage import reliable
 #: Lengths are told apart on a grid of this many steps up to the capacity, and rounded up to it.
 GRID = 2048
 ROUNDS, STEP, RATE = 60, 0.3, 4.0
+#: Worth of a length on what rounding leaves is this power of it: long items, which fit fewest places, go first.
+POWER = 1.1
+TRY_EVERY = 50
 SALTS = 64
 
 
@@ -46,15 +49,14 @@ def price(values: dict[int, float], counts: dict[int, int], capacity: int) -> di
             with_it = best[: capacity + 1 - weight] + k * value
             better = with_it > best[weight:]
             if better.any():
-                best = best.copy()
-                best[weight:][better] = with_it[better]
-                taken.append((length, k, np.packbits(np.concatenate([np.zeros(weight, bool), better]))))
+                np.copyto(best[weight:], with_it, where=better)
+                taken.append((length, k, better))
             left -= k
             k *= 2
     out: dict[int, int] = {}
     room = capacity
     for length, k, flags in reversed(taken):
-        if flags[room >> 3] >> (7 - (room & 7)) & 1:
+        if room >= k * length and flags[room - k * length]:
             out[length] = out.get(length, 0) + k
             room -= k * length
     return out
@@ -107,11 +109,34 @@ def fill_rest(counts: dict[int, int], capacity: int) -> list[Use]:
     return out
 
 
+def price_rest(counts: dict[int, int], capacity: int) -> list[Use]:
+    """Patterns of the same pricing on what is left, each as often as its items last; every pattern uses up a length.
+
+    Now and then the rest is filled first-fit decreasing, which ends it where that gives the least number possible.
+    """
+    left = {l: n for l, n in counts.items() if n > 0}
+    least = -(-sum(l * n for l, n in left.items()) // capacity)
+    out: list[Use] = []
+    while left:
+        if len(out) % TRY_EVERY == 0:
+            rest = fill_rest(left, capacity)
+            if sum(u.times for u in out + rest) == least:
+                return out + rest
+        pattern = price({l: float(l) ** POWER for l in left}, left, capacity)
+        times = min(left[l] // a for l, a in pattern.items())
+        out.append(Use(pattern, times))
+        for l, a in pattern.items():
+            left[l] -= a * times
+            if not left[l]:
+                del left[l]
+    return out
+
+
 def solve(counts: dict[int, int], capacity: int) -> list[Use]:
     """Patterns that hold every item of the histogram exactly once.
 
-    The fractional amounts are rounded down, the best-filled patterns first, and the rest filled; should the plain filling
-    need fewer containers, it is taken.
+    The fractional amounts are rounded down, the best-filled patterns first, and the rest is priced again; only should
+    plain first-fit decreasing need fewer containers (not as many), it is taken.
     """
     left = dict(counts)
     uses: list[Use] = []
@@ -122,9 +147,8 @@ def solve(counts: dict[int, int], capacity: int) -> list[Use]:
             uses.append(Use(pattern, times))
             for l, a in pattern.items():
                 left[l] -= a * times
-    uses += fill_rest(left, capacity)
-    plain = fill_rest(counts, capacity)
-    return min(plain, uses, key=lambda u: sum(x.times for x in u))
+    uses += price_rest(left, capacity)
+    return min(uses, fill_rest(counts, capacity), key=lambda u: sum(x.times for x in u))
 
 
 def _places(uses: list[Use]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -56,6 +56,12 @@ def test_every_item_is_held_once_and_nothing_overflows(counts, capacity):
     assert sum(u.times for u in uses) <= sum(u.times for u in P.fill_rest(counts, capacity))
 
 
+def test_the_program_itself_is_returned():
+    needs = lambda uses: sum(u.times for u in uses)
+    tie = {5: 7, 4: 9, 3: 2}
+    assert needs(P.solve(tie, 10)) == needs(P.fill_rest(tie, 10)) and P.solve(tie, 10) != P.fill_rest(tie, 10)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 20), st.tuples(st.integers(1, 4), st.floats(0.1, 9)), min_size=1, max_size=4), st.integers(5, 30))
 def test_pricing_against_brute_force(items, capacity):
