@@ -8,7 +8,7 @@ non-ASCII word of each element and keeps the elements that change or hold charac
 from __future__ import annotations
 
 import heapq
-import html
+import html.entities
 import re
 import unicodedata
 import zlib
@@ -28,6 +28,8 @@ RARE_MARGIN = 5.0
 MAX_STATES = 60
 #: No step of a repair makes a word less plausible than it was by more than this.
 SLACK = 8.0
+#: What an entity or escape that stands for a character costs: more than any one character does.
+UNRESOLVED = 40.0
 
 # Fixed values: (encoding that the text was wrongly read with, true encoding).
 MULTIBYTE = tuple((wrong, "utf-8") for wrong in ("cp1252", "latin-1", "cp1250", "mac_roman", "cp852", "cp437", "cp850", "cp1251", "iso8859_2"))
@@ -40,10 +42,11 @@ SINGLE_BYTE = (
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
-_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
-# A word that holds a sign of damage; a no-break space divides words unless it may be the second byte of a damaged letter.
-_PART = r"(?:[^\s\x00-\x25\x27-\x2b\x2c\x3b\[\]]|(?<=[À-ɏ])[\x85\xa0])"
-_CHUNK = re.compile(rf"{_PART}*?[^\s\x00-\x25\x27-\x5b\x5d-\x7f]{_PART}*")
+_ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{4})+")
+_NESTED = "&(?:amp;)*" + _ENTITY.pattern[1:]
+# A word that holds a sign of damage, whole entities with it; a no-break space divides words unless it may be the second byte of a damaged letter.
+_PART = rf"(?:{_NESTED}|[^\s\x00-\x25\x27-\x2b\x2c\x3b\[\]]|(?<=[À-ɏ])[\x85\xa0])"
+_CHUNK = re.compile(rf"{_PART}*?(?:{_NESTED}|[^\s\x00-\x25\x27-\x5b\x5d-\x7f]){_PART}*")
 # Alphabets, and signs, that are usual beside Latin letters.
 _FAMILIAR = frozenset("LATIN GREEK CYRILLIC MICRO FEMININE MASCULINE SUPERSCRIPT VULGAR MODIFIER CARON".split())
 _ASCII_LETTER = re.compile("[A-Za-z]")
@@ -130,12 +133,37 @@ def _rereading(wrong: str, true: str) -> tuple[frozenset[str], dict[int, str]]:
     return frozenset(able), changed
 
 
+def _character(entity: str) -> str:
+    """What an entity stands for; itself if it isn't known or stands for no character of a text."""
+    if entity[1] != "#" and entity[1:] not in html.entities.html5:
+        return entity
+    plain = html.unescape(entity)
+    return plain if plain and plain != "\ufffd" and (plain >= " " or plain in "\t\n") else entity
+
+
+def _characters(escapes: str) -> str:
+    r"""What a run of \uXXXX stands for, surrogates in pairs; escapes that stand for no character stay."""
+    plain = b"".join(bytes.fromhex(e) for e in escapes.split("\\u")[1:]).decode("utf-16-be", "surrogatepass")
+    return "".join(f"\\u{ord(ch):04x}" if ch < " " or "\ud800" <= ch <= "\udfff" else ch for ch in plain)
+
+
+def unescape(text: str) -> str:
+    """``text`` with every entity undone once."""
+    return _ENTITY.sub(lambda m: _character(m[0]), text) if "&" in text else text
+
+
+def unresolved(text: str) -> int:
+    """Entities and escapes that stand for a character."""
+    n = sum(_character(m[0]) != m[0] for m in _ENTITY.finditer(text)) if "&" in text else 0
+    return n + (sum(len(m[0]) // 6 for m in _ESCAPE.finditer(text) if _characters(m[0]) != m[0].lower()) if "\\u" in text else 0)
+
+
 def steps(text: str) -> Iterator[tuple[str, float]]:
     """Texts one operation away, with what the operation itself costs."""
-    if "&" in text and _ENTITY.search(text) and (plain := html.unescape(text)) != text:
+    if (plain := unescape(text)) != text:
+        yield plain, 0.5
+    if "\\u" in text and (plain := _ESCAPE.sub(lambda m: _characters(m[0]), text)) != text:
         yield plain, 0.5
-    if "\\u" in text and _ESCAPE.search(text):
-        yield _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text), 0.5
     foreign = [ch for ch in text if ch > "\x7f"]
     if not foreign:
         return
@@ -170,7 +198,7 @@ class Plausibility:
         return cost
 
     def __call__(self, text: str) -> float:
-        cost = sum(map(self._gram, trigrams(text)))
+        cost = sum(map(self._gram, trigrams(text))) + UNRESOLVED * unresolved(text)
         scripts, odd, rare = set(), 0, 0
         for ch in text:
             if ch > "\x7f":

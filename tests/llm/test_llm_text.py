@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html.entities
 import unicodedata
 from collections import Counter
 
@@ -40,6 +41,20 @@ def test_other_errors(plausible, text):
     assert plausible.repair(misread(text, "utf-8", "cp1252").split(" ")[0] + " fólií") == text.split(" ")[0] + " fólií"
 
 
+@pytest.mark.parametrize("text", sorted(set(CORPUS)))
+def test_entities_and_escapes(plausible, text):
+    numbers = "".join(f"&#{ord(c)};" if c > "\x7f" else c for c in text)
+    names = "".join(f"&{html.entities.codepoint2name[ord(c)]};" if c > "\x7f" and ord(c) in html.entities.codepoint2name else c for c in text)
+    escapes = "".join(f"\\u{ord(c):04x}" if c > "\x7f" else c for c in text)
+    for damaged in (numbers, names, escapes, numbers.replace("&", "&amp;"), names[: len(names) // 2] + names[len(names) // 2 :].replace("á", "\\u00e1")):
+        assert plausible.repair(damaged) == text
+
+
+def test_entities_mixed_with_misreading(plausible):
+    assert plausible.repair("Dvo&Aring;&#153;&aacute;k") == "Dvořák" and plausible.repair("AT&amp;T x &lt; y; R&D; &nosuch; \\u0000 \\ud800 a&b") == "AT&T x < y; R&D; &nosuch; \\u0000 \\ud800 a&b"
+    assert plausible.repair("\\ud835\\udc00") == "\U0001d400"
+
+
 def test_good_text_stays(plausible):
     for t in [*CORPUS, "plain", "embedded\xa0hydrogel foams at 62 °C", "hyphe\xadn", "a?b", ""]:
         assert plausible.repair(t) == t
