@@ -24,6 +24,9 @@ CONTENT_AT_MOST = 0.95
 #: Bound of the sample that the field is trained on: documents, those smallest by a hash of the id.
 TRAIN_DOCS = 800
 TRAIN_LINES = 64
+#: The sample is widened until one in so many of its documents has a repeated line, or all documents were read for them.
+SPOILT_ONE_IN = 40
+WIDEN = 8
 
 _WORD = re.compile(r"[^\W\d_]+")
 _POWERS = np.array([pow(1000003, k, 2**64) for k in range(RUN)], dtype=np.uint64)
@@ -103,12 +106,17 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def built_in() -> Field:
+    """Field for samples that nothing can be learnt from: a line is repetition where more than half its words are."""
+    return Field(np.array([[0, -4.0], [0, 8.0], [0, 0], [0, 0], [0, 0], [0, 0]]), np.zeros((2, 2)))
+
+
 def train(features: np.ndarray, labels: np.ndarray, mask: np.ndarray, rounds: int = 100, rate: float = 0.5, decay: float = 1e-3) -> Field:
     """Maximum likelihood by gradient ascent over padded sequences (documents x lines), forward-backward for all at once."""
     docs, length, k = features.shape
     w, t = np.zeros((k, 2)), np.zeros((2, 2))
-    if not docs or not mask.any():
-        return Field(np.array([[0, -4.0], [0, 8.0], [0, 0], [0, 0], [0, 0], [0, 0]]), np.zeros((2, 2)))
+    if len(np.unique(labels[mask > 0])) < 2:
+        return built_in()
     truth = np.eye(2)[labels] * mask[..., None]
     seen_w = np.einsum("dlk,dly->ky", features, truth)
     pairs = (mask[:, 1:] * mask[:, :-1])[..., None, None]
@@ -166,8 +174,9 @@ def content_share(field: Field, doc: Document) -> float:
 def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, train_docs: int = TRAIN_DOCS) -> Field:
     """Field trained on the lines of at most ``train_docs`` documents, labelled by whether half their words are repeated.
 
-    The documents are those smallest by a hash of their id, found without reading texts. Sequences longer than
-    ``TRAIN_LINES`` lines are cut into several.
+    The documents are those smallest by a hash of their id, found without reading texts. If too few of them have a
+    repeated line, as many more that have one are added, next by the hash, from ever more documents; if all documents
+    have too few, the built-in field is taken. Sequences longer than ``TRAIN_LINES`` lines are cut into several.
     """
     h = F.xxhash64(F.col(f"`{doc_id}`"))
     edge = documents.select(h.alias("h")).orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
@@ -177,10 +186,19 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", run: i
             lines = [line_features(read_document(t, run)).tolist() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.list_(pa.list_(pa.float64())))], names=["lines"])
 
-    kept: list = []
-    if edge is not None:
-        few = documents.filter(h <= edge).select(F.col(f"`{text}`")).limit(train_docs)
-        kept = few.mapInArrow(describe, "lines array<array<double>>").toArrow().column("lines").to_pylist()
+    described = lambda part: part.select(F.col(f"`{text}`")).mapInArrow(describe, "lines array<array<double>>")
+    if edge is None:
+        return built_in()
+    lowest, highest = -(1 << 63), (1 << 63) - 1
+    kept = described(documents.filter(h <= edge).limit(train_docs)).toArrow().column("lines").to_pylist()
+    wanted = max(1, train_docs // SPOILT_ONE_IN)
+    spoilt = sum(any(line[2] for line in lines) for lines in kept)
+    while spoilt < wanted and edge < highest:
+        low, edge = edge + 1, min(highest, lowest + (edge - lowest + 1) * WIDEN)
+        more = described(documents.filter(h.between(low, edge))).filter(F.exists("lines", lambda x: x[2] > 0)).limit(train_docs).toArrow().column("lines").to_pylist()
+        kept, spoilt = kept + more, spoilt + len(more)
+    if spoilt < wanted:
+        return built_in()
     pieces = [np.array(lines[i : i + TRAIN_LINES]) for lines in kept for i in range(0, len(lines), TRAIN_LINES)]
     features, mask = np.zeros((len(pieces), TRAIN_LINES, 6)), np.zeros((len(pieces), TRAIN_LINES))
     for k, piece in enumerate(pieces):

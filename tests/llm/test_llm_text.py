@@ -133,3 +133,15 @@ def test_p10(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, content_share double")
     assert sorted(r.doc_id for r in R.p10_found(df).collect()) == [0, 6, 7]
     assert R.p10_found(df.limit(0)).count() == 0
+
+
+def test_spoilt_texts_outside_the_sample_are_found(spark):
+    phrase = "this phrase is said again and again without any end or reason. "
+    fresh = " ".join("abcdefghijklmnopqrstuvwxyz"[i % 26] * (2 + i // 26) for i in range(100))
+    rows = [(i, phrase * 5 if i % 100 == 7 else fresh) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = {i for i in range(1000) if i % 100 == 7}
+    for docs in (3, 20, 80, 800):
+        got = R.repetition(df, field=R.fit(df, train_docs=docs)).filter(f"content_share <= {R.CONTENT_AT_MOST}")
+        assert {r.doc_id for r in got.collect()} == expected
+    assert {r.doc_id for r in R.p10_found(df).collect()} == expected
