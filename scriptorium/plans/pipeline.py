@@ -13,7 +13,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.operators import affiliations, authors, completion, dates, dedup, journals, validate
+from scriptorium.operators import affiliations, authors, completion, dates, dedup, journals, tree, validate
+from scriptorium.plans.lineage import reliable
 from scriptorium.settings import Settings
 from scriptorium.sources import snapshots
 from scriptorium.sources.providers import Completer
@@ -101,7 +102,7 @@ def run_authors(w: Workspace) -> DataFrame:
     matches = authors.match_names(names, registry, w.settings)
     people = authors.resolve_authors(records, matches)
     blocks = affiliations.affiliation_blocks(records, w.settings).filter("is_home and author is not null")
-    placed = workplaces(blocks, people, units)
+    placed = workplaces(blocks, people, units, w.settings)
     attributed = authors.attribute(people, placed, authors.default_affiliations(registry, units), w.settings)
     return w.write(authors.author_payload(records, people, attributed), "authors")
 
@@ -118,16 +119,23 @@ def run_authors_completion(w: Workspace, completer: Completer) -> DataFrame:
     return w.write(out.select(*found.columns), "authors_merged")
 
 
-def workplaces(blocks: DataFrame, people: DataFrame, units: DataFrame) -> DataFrame:
-    """``resource_id, author_id, source, faculty, ou``: units named in the home affiliations of each person, by name key."""
+def workplaces(blocks: DataFrame, people: DataFrame, units: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``resource_id, author_id, source, faculty, ou``: the unit found in the home affiliations of each person, by name key.
+
+    Whole affiliations and their parts between commas and semicolons are looked up; one node is taken for each person and
+    source, by score, then level, then length of its name, then the smaller id. Its faculty is the highest node above it.
+    """
     keyed = blocks.withColumn("key", authors.name_key(F.col("author")))
     mine = people.select("resource_id", "author_id", authors.name_key(F.col("name")).alias("key"))
-    parts = keyed.join(mine, ["resource_id", "key"]).select("resource_id", "author_id", "source", F.explode(F.split("affiliation", r"\s*,\s*")).alias("part"))
-    named = units.select(F.col("name").alias("part"), F.col("name").alias("unit"), "parent_id")
-    above = units.select(F.col("id").alias("parent_id"), F.col("name").alias("above"))
-    hits = parts.join(named, "part").join(above, "parent_id", "left")
-    faculty, ou = F.coalesce("above", "unit"), F.when(F.col("above").isNotNull(), F.col("unit"))
-    return hits.groupBy("resource_id", "author_id", "source").agg(F.min(faculty).alias("faculty"), F.min(ou).alias("ou"))
+    texts = F.array_distinct(F.concat(F.array("affiliation"), F.split("affiliation", r"\s*[,;]\s*")))
+    parts = reliable(keyed.join(mine, ["resource_id", "key"]).select("resource_id", "author_id", "source", F.explode(texts).alias("text")))
+    found = tree.find_nodes(parts.select("text"), units.select("id", "name"), settings.workplace_threshold)
+    paths = tree.closure(units)
+    level = paths.groupBy(F.col("node").alias("id")).agg(F.max("depth").alias("level"))
+    tops = tree.first_ancestor(paths, level.filter("level = 0")).select(F.col("node").alias("id"), F.col("ancestor").alias("top"))
+    named = units.select("id", F.col("name").alias("unit")).join(level, "id").join(tops, "id").join(units.select(F.col("id").alias("top"), F.col("name").alias("faculty")), "top")
+    best = F.max_by(F.struct("faculty", F.when(F.col("level") > 0, F.col("unit")).alias("ou")), F.struct("score", "level", F.length("unit"), -F.col("id")))
+    return parts.join(found, "text").join(named, "id").groupBy("resource_id", "author_id", "source").agg(best.alias("w")).select("resource_id", "author_id", "source", "w.faculty", "w.ou")
 
 
 def run_dates(w: Workspace) -> DataFrame:

@@ -146,6 +146,17 @@ def test_attribution(spark):
     assert got[1, 2].conflict and got[1, 2].method == "verified_wos" and got[2, 9].method == "unresolved"
 
 
+def test_workplaces(spark):
+    from scriptorium.plans.pipeline import workplaces
+
+    units = spark.createDataFrame([(1, "Faculty of Zoology", None), (2, "Faculty of Arts", None), (3, "Department of Art Theory", 2), (4, "Department of Animal Biology", 1)], "id bigint, name string, parent_id bigint")
+    texts = ["Department of Art Theory, Faculty of Zoology, Home", "Departmemt of Art Theory, Home", "Home; Department of Animal Biology", "Elsewhere"]
+    blocks = spark.createDataFrame([(i, "wos", "Novák, Jan", t) for i, t in enumerate(texts)] + [(0, "wos", "Novák, Jan", "Department of Animal Biology")], "resource_id bigint, source string, author string, affiliation string")
+    people = spark.createDataFrame([(i, 7, "Novák, Jan") for i in range(len(texts))], "resource_id bigint, author_id bigint, name string")
+    got = [(r.resource_id, r.faculty, r.ou) for r in workplaces(blocks, people, units).collect()]
+    assert sorted(got) == [(0, "Faculty of Zoology", "Department of Animal Biology"), (1, "Faculty of Arts", "Department of Art Theory"), (2, "Faculty of Zoology", "Department of Animal Biology")]
+
+
 def test_tree(spark):
     nodes = spark.createDataFrame([(1, "University", None), (2, "University Institute", 1), (3, "Centre of Polymer Systems", 2), (4, "Loop", 5), (5, "Loop b", 4)], "id bigint, name string, parent_id bigint")
     paths = tree.closure(nodes)
