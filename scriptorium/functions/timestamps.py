@@ -89,10 +89,12 @@ _SHAPES = _compile(
     ("text_month", rf"(?P<mon>{_WORD})\.?,?[\s-]+(?P<y>\d{{4}})"),
     ("num_month", r"(?P<m>\d{1,2})[/.]\s*(?P<y>\d{4})"),
 )
-#: What a reading costs before its neighbours are looked at. The stated conventions (dotted dates day first, slashed
-#: dates that end in the year month first, the earlier of two instants of a repeated civil hour) are free; readings
-#: against them cost more than all that two neighbours can add, and so win only where the convention has no reading.
-AGAINST_CONVENTION = 10.0
+#: What a reading against the stated conventions (dotted dates day first, slashed dates that end in the year month first)
+#: costs, on the scale of the neighbours, where a change of format and a step back in time cost 1 each: more than what one
+#: neighbour or the order in time alone can say (at most 1 for each value), less than what two neighbours that can only be
+#: read the other way say (2). Of the two instants of a repeated civil hour no convention prefers one, so only the
+#: neighbours do; where they don't, the earlier one stands.
+AGAINST_CONVENTION = 1.75
 _COST = {"dot_mdy": AGAINST_CONVENTION, "slash_dmy": AGAINST_CONVENTION}
 
 PRAGUE = ZoneInfo("Europe/Prague")
@@ -125,8 +127,8 @@ def _instant(moment: datetime) -> str:
 def readings(text: str | None, zone: ZoneInfo = PRAGUE) -> list[Reading]:
     """All valid interpretations of one written date, cheapest first, without repeats; none if it is unreadable."""
     out: dict[str, Reading] = {}
-    text = (text or "").strip()
-    if not text or len(text) > 80:
+    text = " ".join((text or "").split())  # long runs of blanks cost the patterns nothing, so a text may have any length
+    if not text:
         return []
     for form, shape in _SHAPES:
         if not (hit := shape.match(text)):
@@ -154,13 +156,12 @@ def readings(text: str | None, zone: ZoneInfo = PRAGUE) -> list[Reading]:
             h, mi, s = int(g["h"]), int(g["mi"]), int(g["s"] or 0)
             next_day = h == 24 and not mi and not s
             local = day.replace(hour=0 if next_day else h, minute=mi, second=min(s, 59)) + timedelta(days=next_day)
-            for k, hours in enumerate(_offsets(g.get("z"), local.year, local.month, local.day, local.hour, zone)):
-                moment = local - timedelta(hours=hours)
-                n = _instant(moment)
-                out.setdefault(n, Reading(n, form, cost + AGAINST_CONVENTION * k, at + h * 3600 + mi * 60 + s - hours * 3600))
+            for hours in _offsets(g.get("z"), local.year, local.month, local.day, local.hour, zone):
+                n = _instant(local - timedelta(hours=hours))
+                out.setdefault(n, Reading(n, form, cost, at + h * 3600 + mi * 60 + s - hours * 3600))
         except ValueError:
             continue
-    return sorted(out.values(), key=lambda r: (r.cost, r.normal))
+    return sorted(out.values(), key=lambda r: (r.cost, r.at, r.normal))
 
 
 def labelled(elements: list[str | None] | None) -> list[tuple[int, str]]:

@@ -5,7 +5,8 @@ a chain in record order. A chain is cut into blocks of record ids, so that a sou
 spread over many tasks. Each block runs Viterbi once for every pair of (interpretation of its first value,
 interpretation of its last value); a block thereby shrinks to a matrix of at most 3 x 3 costs. The few matrices of a
 chain are combined in order, which fixes every block's ends exactly, and the block's path for these ends is taken. The
-result equals one Viterbi run over the whole chain.
+result equals one Viterbi run over the whole chain. A reading against the stated conventions is taken where the values
+around it, which can only be read so, say so; of the two instants of a repeated hour the one that keeps the order in time.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ def normalise_timestamps(records: DataFrame, *, row_id: str = "resource_id", sou
     whole field. Interpretations are chosen by Viterbi over each source's record order (see the module).
     Null, empty and unreadable dates are counted in ``value_pos`` and give no row; a null source is a source of its own;
     repeated rows give repeated results; an empty table gives an empty one. Other columns are ignored.
-    Where paths tie, the earlier-listed (cheapest, then smallest) interpretation is taken.
+    Where paths tie, the earlier-listed (cheapest, then earliest) interpretation is taken.
     """
     fields = [(f, False) for f in plain] + [(f, True) for f in labelled_fields]
     src = F.col(f"`{source}`")

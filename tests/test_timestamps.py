@@ -27,7 +27,7 @@ def test_reading(text, normal):
     assert readings(text)[0].normal == normal
 
 
-@pytest.mark.parametrize("text", ["", None, "n.d.", "in press", "0000-00-00", "20xx", "00th March 20xx", "XX June", "30.13.2002", "x" * 500])
+@pytest.mark.parametrize("text", ["", None, "n.d.", "in press", "0000-00-00", "20xx", "00th March 20xx", "XX June", "30.13.2002", "x" * 500, " " * 500, "1. 2. " * 200])
 def test_unreadable(text):
     assert readings(text) == []
 
@@ -37,6 +37,23 @@ def test_all_interpretations_are_kept():
     assert {r.normal for r in readings("2010-10-31 02:30:00")} == {"2010-10-31T00:30:00Z", "2010-10-31T01:30:00Z"}
 
 
+def test_long_dates_are_read_whole():
+    assert readings("12." + " " * 200 + "5. 2006")[0].normal == "2006-05-12"
+    assert readings("2006-05-12T10:00:00." + "0" * 300 + "Z")[0].normal == "2006-05-12T10:00:00Z"
+
+
+def test_viterbi_decides_where_the_convention_leaves_readings_open(records):
+    """Values around an open one settle it; the cheapest reading of each value alone says otherwise."""
+    dates = ["01.25.2005", "02.03.2005", "03.28.2005", "05.04.2006"]
+    dates += ["31.10.2010 02:20", "2010-10-31T01:10:00Z", "31.10.2010 02:30", "2010-10-31T03:10:00Z"]
+    df = records(*[{"resource_id": i, "dc_date_issued": d} for i, d in enumerate(dates, 1)])
+    got = {r.row_id: r.normal_form for r in T.normalise_timestamps(df).collect()}
+    alone = {i: readings(d)[0].normal for i, d in enumerate(dates, 1)}
+    assert (alone[2], alone[7]) == ("2005-03-02", "2010-10-31T00:30:00Z")
+    assert (got[2], got[7]) == ("2005-02-03", "2010-10-31T01:30:00Z")  # between month-first dates; after 01:10
+    assert (got[4], got[5]) == ("2006-04-05", "2010-10-31T00:20:00Z")  # beside one of them only; nothing before it
+
+
 def test_labels_count_through_the_field():
     got = labelled(["{Received: 2010-01-02; Accepted: n.d. / First published 2 May 2010}", None, "", "Zveřejněno 3. 6. 2010"])
     assert got == [(1, "2010-01-02"), (2, "n.d."), (3, "2 May 2010"), (4, "3. 6. 2010")]
