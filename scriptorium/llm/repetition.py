@@ -1,10 +1,11 @@
 """Repetition inside a document: a linear-chain conditional random field labels its lines as content or repetition.
 
-Plan: one Arrow pass per document and no shuffle of texts. Words are hashed to numbers; runs of eight words that occurred
-earlier in the same text mark words as repeated. The text is cut into lines (sentences and lines, cut again at
-``LINE_WORDS`` words), each described by the share of its words in repeated runs, its length and its place. Viterbi
-decoding of the field labels the lines; the share of words in content lines decides which documents are looked at, and
-the exact share follows from the marked words. The field is trained on the lines of at most ``TRAIN_DOCS`` documents.
+Plan: one Arrow pass per document and no shuffle of texts. The text is cut into lines (sentences and lines, cut again at
+``LINE_WORDS`` words), each described by signs that cost little: how many of its three-word windows were seen earlier in
+the text, whether the whole line was, its length and its place. Viterbi decoding of the field labels the lines (in a text
+without any old window there is nothing to label), and the share of words in content lines decides whether a document is kept. The field is trained
+on lines of a bounded sample that are labelled from another source, runs of eight words that occurred earlier; only where
+the field finds a document wanting are these runs looked up again, for the exact share.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 
 RUN = 8
 LINE_WORDS = 8
+WINDOW = 3
 #: Documents whose content lines hold at most this share of the words are taken as spoilt candidates.
 CONTENT_AT_MOST = 0.95
+#: Documents are retained while at least this share of their words stands in content lines.
+RETAINED = 0.7
 #: Bound of the sample that the field is trained on: documents, those smallest by a hash of the id.
 TRAIN_DOCS = 800
 TRAIN_LINES = 64
@@ -29,19 +33,19 @@ SPOILT_ONE_IN = 40
 WIDEN = 8
 
 _WORD = re.compile(r"[^\W\d_]+")
-_POWERS = np.array([pow(1000003, k, 2**64) for k in range(RUN)], dtype=np.uint64)
+_SENTENCE = re.compile(r"[.!?]\s+|\n+")
 
 
 class Document(NamedTuple):
-    """A text as lines. ``repeated`` holds a flag for each word, ``starts`` the first word of each line."""
+    """A text as lines: a number for each word, the first word of each line."""
 
-    repeated: np.ndarray
+    words: np.ndarray
     starts: np.ndarray
 
     @property
-    def share(self) -> float:
-        """Exact share of words in repeated runs; 0 for a text without words."""
-        return float(self.repeated.mean()) if len(self.repeated) else 0.0
+    def sizes(self) -> np.ndarray:
+        """Words of each line."""
+        return np.diff(np.append(self.starts, len(self.words)))
 
 
 def _numbers(words: list[str]) -> np.ndarray:
@@ -49,49 +53,73 @@ def _numbers(words: list[str]) -> np.ndarray:
     return np.fromiter(map(hash, words), dtype=np.int64, count=len(words)).astype(np.uint64)
 
 
-def repeated_words(words: list[str], run: int = RUN) -> np.ndarray:
-    """For each word whether it lies in a run of ``run`` words that already occurred earlier (runs may overlap)."""
-    n = len(words)
-    if n <= run:
-        return np.zeros(n, dtype=bool)
-    h, grams = _numbers(words), np.zeros(n - run + 1, dtype=np.uint64)
+def _seen(h: np.ndarray, run: int) -> np.ndarray:
+    """For each run of ``run`` words whether it occurred earlier; empty for a text that is no longer than one run."""
+    n = len(h) - run + 1
+    if n <= 1:
+        return np.zeros(max(0, n), dtype=bool)
+    grams = np.zeros(n, dtype=np.uint64)
     for k in range(run):
-        grams += h[k : n - run + 1 + k] * _POWERS[k % RUN] if run <= RUN else h[k : n - run + 1 + k] * np.uint64(pow(1000003, k, 2**64))
-    _, first, inverse = np.unique(grams, return_index=True, return_inverse=True)
-    again = first[inverse] < np.arange(len(grams))
+        grams += h[k : n + k] * np.uint64(pow(1000003, k, 2**64))
+    order = np.argsort(grams, kind="stable")
+    same = grams[order[1:]] == grams[order[:-1]]
+    out = np.zeros(n, dtype=bool)
+    out[order[1:][same]] = True
+    return out
+
+
+def _covered(again: np.ndarray, run: int, n: int) -> np.ndarray:
+    """For each of ``n`` words whether one of the marked runs covers it."""
     if not again.any():
         return np.zeros(n, dtype=bool)
     return np.convolve(again.astype(np.int32), np.ones(run, dtype=np.int32)) > 0
 
 
-def read_document(text: str | None, run: int = RUN) -> Document:
-    """Words, repeated words and lines of one text. Null and empty texts have none."""
-    lower = (text or "").lower()
-    words = _WORD.findall(lower)
-    repeated = repeated_words(words, run)
-    if not repeated.any():
-        return Document(repeated, np.arange(0, len(words), LINE_WORDS))
-    starts: list[int] = []  # lines are only needed where something repeats
-    at = 0
-    for sentence in re.split(r"[.!?]\s+|\n+", lower):
-        n = len(_WORD.findall(sentence))
-        starts += range(at, at + n, LINE_WORDS)
-        at += n
-    if at != len(words):  # a split inside a word can't happen; keep equal lines if it ever does
-        starts = list(range(0, len(words), LINE_WORDS))
-    return Document(repeated, np.array(starts, dtype=np.int64))
-
-
-def line_features(doc: Document) -> np.ndarray:
-    """One row per line: 1, share of repeated words, whether that is at least a half, whether all, relative length, first line."""
-    if not len(doc.starts):
-        return np.zeros((0, 6))
-    total = np.add.reduceat(doc.repeated.astype(np.float64), doc.starts)
-    size = np.diff(np.append(doc.starts, len(doc.repeated)))
-    share = total / size
-    first = np.zeros(len(size))
+def repeated_words(words: list[str] | np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each word whether it lies in a run of ``run`` words that already occurred earlier (runs may overlap)."""
+    h = words if isinstance(words, np.ndarray) else _numbers(words)
+    return _covered(_seen(h, run), run, len(h))
+
+
+def read_document(text: str | None) -> Document:
+    """Words and lines of one text, in one pass. Null and empty texts have none."""
+    words: list[str] = []
+    starts: list[int] = []
+    for sentence in _SENTENCE.split((text or "").lower()):
+        at = len(words)
+        words += _WORD.findall(sentence)
+        starts += range(at, len(words), LINE_WORDS)
+    return Document(_numbers(words), np.array(starts, dtype=np.int64))
+
+
+FEATURES = 6
+
+
+def line_features(doc: Document, again: np.ndarray | None = None) -> np.ndarray:
+    """One row per line: 1, share of its windows seen earlier, whether that is at least a half, whether the line was seen
+    earlier, relative length, first line. ``again`` tells for each window whether it was seen earlier."""
+    n, lines = len(doc.words), len(doc.starts)
+    if not lines:
+        return np.zeros((0, FEATURES))
+    size = doc.sizes
+    seen = np.zeros(n)
+    seen[: max(0, n - WINDOW + 1)] = _seen(doc.words, WINDOW) if again is None else again
+    windows = np.maximum(1, np.minimum(size, np.maximum(0, n - WINDOW + 1 - doc.starts)))  # windows that begin in the line
+    share = np.minimum(1.0, np.add.reduceat(seen, doc.starts) / windows)
+    place = (np.arange(n) - np.repeat(doc.starts, size)).astype(np.uint64)
+    whole = np.add.reduceat(doc.words * (place * np.uint64(2) + np.uint64(1)) * np.uint64(1000003), doc.starts)
+    same_line = _seen(whole, 1) if lines > 1 else np.zeros(lines, dtype=bool)
+    first = np.zeros(lines)
     first[0] = 1
-    return np.stack([np.ones(len(size)), share, share >= 0.5, share == 1, size / LINE_WORDS, first], axis=1)
+    return np.stack([np.ones(lines), share, share >= 0.5, same_line, size / LINE_WORDS, first], axis=1)
+
+
+def line_labels(doc: Document, run: int = RUN) -> np.ndarray:
+    """1 for lines at least half of whose words lie in repeated runs, exactly; what the field learns from."""
+    if not len(doc.starts):
+        return np.zeros(0, dtype=np.int64)
+    marked = repeated_words(doc.words, run).astype(np.float64)
+    return (np.add.reduceat(marked, doc.starts) >= 0.5 * doc.sizes).astype(np.int64)
 
 
 class Field(NamedTuple):
@@ -107,8 +135,8 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def built_in() -> Field:
-    """Field for samples that nothing can be learnt from: a line is repetition where more than half its words are."""
-    return Field(np.array([[0, -4.0], [0, 8.0], [0, 0], [0, 0], [0, 0], [0, 0]]), np.zeros((2, 2)))
+    """Field for samples that nothing can be learnt from: a line is repetition where more than half its windows are old."""
+    return Field(np.array([[0, -4.0], [0, 8.0], *[[0, 0]] * (FEATURES - 2)]), np.zeros((2, 2)))
 
 
 def train(features: np.ndarray, labels: np.ndarray, mask: np.ndarray, rounds: int = 100, rate: float = 0.5, decay: float = 1e-3) -> Field:
@@ -163,16 +191,17 @@ def decode(field: Field, features: np.ndarray) -> np.ndarray:
 
 
 def content_share(field: Field, doc: Document) -> float:
-    """Share of words in lines labelled content; 1 for a text without words."""
-    if not doc.repeated.any():
+    """Share of words in lines labelled content; 1 for a text without words or without a window seen earlier."""
+    again = _seen(doc.words, WINDOW)
+    if not again.any():
         return 1.0
-    labels = decode(field, line_features(doc))
-    size = np.diff(np.append(doc.starts, len(doc.repeated)))
+    labels = decode(field, line_features(doc, again))
+    size = doc.sizes
     return float(size[labels == 0].sum() / size.sum())
 
 
 def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, train_docs: int = TRAIN_DOCS) -> Field:
-    """Field trained on the lines of at most ``train_docs`` documents, labelled by whether half their words are repeated.
+    """Field trained on the lines of at most ``train_docs`` documents, labelled by their repeated runs (:func:`line_labels`).
 
     The documents are those smallest by a hash of their id, found without reading texts. If too few of them have a
     repeated line, as many more that have one are added, next by the hash, from ever more documents; if all documents
@@ -183,53 +212,61 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", run: i
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [line_features(read_document(t, run)).tolist() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.list_(pa.list_(pa.float64())))], names=["lines"])
+            docs = [read_document(t) for t in b.column(0).to_pylist()]
+            lines = [line_features(d).tolist() for d in docs]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.list_(pa.list_(pa.float64()))), pa.array([line_labels(d, run).tolist() for d in docs], pa.list_(pa.int64()))], names=["lines", "labels"])
 
-    described = lambda part: part.select(F.col(f"`{text}`")).mapInArrow(describe, "lines array<array<double>>")
+    described = lambda part: part.select(F.col(f"`{text}`")).mapInArrow(describe, "lines array<array<double>>, labels array<bigint>")
     if edge is None:
         return built_in()
     lowest, highest = -(1 << 63), (1 << 63) - 1
-    kept = described(documents.filter(h <= edge).limit(train_docs)).toArrow().column("lines").to_pylist()
+    kept = described(documents.filter(h <= edge).limit(train_docs)).toArrow().to_pylist()
     wanted = max(1, train_docs // SPOILT_ONE_IN)
-    spoilt = sum(any(line[2] for line in lines) for lines in kept)
+    spoilt = sum(any(r["labels"]) for r in kept)
     while spoilt < wanted and edge < highest:
         low, edge = edge + 1, min(highest, lowest + (edge - lowest + 1) * WIDEN)
-        more = described(documents.filter(h.between(low, edge))).filter(F.exists("lines", lambda x: x[2] > 0)).limit(train_docs).toArrow().column("lines").to_pylist()
+        more = described(documents.filter(h.between(low, edge))).filter(F.array_contains("labels", 1)).limit(train_docs).toArrow().to_pylist()
         kept, spoilt = kept + more, spoilt + len(more)
     if spoilt < wanted:
         return built_in()
-    pieces = [np.array(lines[i : i + TRAIN_LINES]) for lines in kept for i in range(0, len(lines), TRAIN_LINES)]
-    features, mask = np.zeros((len(pieces), TRAIN_LINES, 6)), np.zeros((len(pieces), TRAIN_LINES))
-    for k, piece in enumerate(pieces):
-        features[k, : len(piece)], mask[k, : len(piece)] = piece, 1
-    return train(features, (features[..., 2] > 0).astype(np.int64), mask)
+    pieces = [(r["lines"][i : i + TRAIN_LINES], r["labels"][i : i + TRAIN_LINES]) for r in kept for i in range(0, len(r["lines"]), TRAIN_LINES)]
+    features, mask = np.zeros((len(pieces), TRAIN_LINES, FEATURES)), np.zeros((len(pieces), TRAIN_LINES))
+    labels = np.zeros((len(pieces), TRAIN_LINES), dtype=np.int64)
+    for k, (lines, truth) in enumerate(pieces):
+        features[k, : len(lines)], labels[k, : len(truth)], mask[k, : len(lines)] = np.array(lines), truth, 1
+    return train(features, labels, mask)
 
 
 def repetition(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", run: int = RUN, field: Field | None = None) -> DataFrame:
-    """``doc_id, n_words, repeated_share, content_share`` of every document with a repeated run.
+    """``doc_id, n_words, content_share, repeated_share`` of every document.
 
-    ``repeated_share`` is exact; ``content_share`` is the share of words in lines that the field labels content.
-    Documents without a repeated run (null, empty and short texts too) give no row: their shares are 0 and 1.
-    Repeated rows give repeated results, an empty table an empty one; texts of any length are read whole.
+    ``content_share`` is the share of words in lines that the field labels content, 1 for a text without words (null and
+    empty ones too). ``repeated_share`` is the exact share of words in repeated runs, looked up where the content share is
+    at most ``CONTENT_AT_MOST`` and null elsewhere. Repeated rows give repeated results, an empty table an empty one;
+    texts of any length are read whole.
     """
     field = field or fit(documents, doc_id, text, run)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                doc = read_document(t, run)
-                if doc.repeated.any():
-                    for column, value in zip(out, (rid, len(doc.repeated), doc.share, content_share(field, doc))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], names=["doc_id", "n_words", "repeated_share", "content_share"])
+            rows = []
+            for t in b.column(1).to_pylist():
+                doc = read_document(t)
+                content = content_share(field, doc)
+                rows.append((len(doc.words), content, float(repeated_words(doc.words, run).mean()) if content <= CONTENT_AT_MOST else None))
+            types = (pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]], names=["doc_id", "n_words", "content_share", "repeated_share"])
 
     rows = documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`"))
-    return rows.mapInArrow(measure, "doc_id bigint, n_words bigint, repeated_share double, content_share double")
+    return rows.mapInArrow(measure, "doc_id bigint, n_words bigint, content_share double, repeated_share double")
+
+
+def retention(documents: DataFrame, least: float = RETAINED) -> DataFrame:
+    """``doc_id, n_words, content_share, retained`` of every document: whether its content lines hold at least ``least`` of its words."""
+    return repetition(documents).select("doc_id", "n_words", "content_share", (F.col("content_share") >= least).alias("retained"))
 
 
 def p10_found(documents: DataFrame, least: float = 0.3) -> DataFrame:
-    """Documents that the field finds spoilt and of whose words at least ``least`` lie in repeated runs, exactly."""
+    """Documents that the field finds wanting and of whose words at least ``least`` lie in repeated runs, exactly."""
     measured = repetition(documents)
     return measured.filter((F.col("content_share") <= CONTENT_AT_MOST) & (F.col("repeated_share") >= least)).select("doc_id").distinct()

@@ -2,9 +2,10 @@
 
 Plan: components come from alternating large-star and small-star steps over the edges, each a join with one row per node
 and cut by a reliable checkpoint, so a component of any size is never gathered. Each value that a member of a group
-gives is a claim; the observers of a claim are the exports with a member in the group and four tests against the whole
-corpus. Expectation-maximisation infers each observer's sensitivity and specificity over claim patterns (claims observed
-alike count together), and every value judged true is retained. Nothing is collected but the observers' figures.
+gives is a claim; the observers of a claim are the exports with a member in the group and a reader that knows the whole
+corpus and speaks up for a value unless it looks like a stand-in, is cut off, abbreviated or of a wrong form. Expectation-maximisation infers each observer's sensitivity and specificity over claim patterns (claims observed
+alike count together), and it alone judges: every value that is more likely true than not is retained. Nothing is
+collected but the observers' figures.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scriptorium.plans.lineage import reliable
 
 ROUNDS = 8
+#: EM ends when no figure of an observer moves by more than this.
+SETTLED = 1e-3
 MAX_OBSERVERS = 100_000
-#: Sensitivity and specificity at the start: tests against the corpus, exports.
-START = {"test": (0.98, 0.95), "export": (0.6, 0.5)}
+#: Components end within a few rounds, at most about the logarithm of the longest chain; more is an error, not an answer.
+MAX_ROUNDS = 60
+#: Sensitivity and specificity at the start. The four faults exclude each other, so they are one observer's, not four.
+START = {"reader": (0.98, 0.95), "export": (0.6, 0.5)}
 PRIOR = 0.7
 
 # Texts that stand in for a missing publisher or volume, in lower case.
@@ -31,10 +36,11 @@ STAND_INS = (
 LINKING = ("of", "and", "the", "for", "in", "a", "und", "der", "die", "das", "für", "et", "de", "la", "le", "a", "pro", "v")
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``node, component`` of the undirected ``edges``; the component is its smallest node.
 
-    Null ends are ignored, an edge to itself makes a node of its own, repeated edges count once.
+    Null ends are ignored, an edge to itself makes a node of its own, repeated edges count once. An error is raised if
+    ``max_rounds`` don't suffice.
     """
     raw = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).filter("u is not null and v is not null")
     nodes = raw.select("u").unionByName(raw.select(F.col("v").alias("u"))).distinct()
@@ -52,6 +58,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         if tuple(now) == mark:
             break
         mark = tuple(now)
+    else:
+        raise RuntimeError(f"components haven't settled after {max_rounds} rounds")
     return nodes.join(pairs.withColumnRenamed("v", "m"), "u", "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))
 
 
@@ -74,9 +82,13 @@ def shortened(values: DataFrame) -> DataFrame:
     cut = v.join(longer.filter("whole <> plain"), "plain").filter("n_whole >= n").select("value").distinct().withColumn("is_prefix", F.lit(True))
     initials = F.concat_ws("", F.transform("words", lambda w: F.substring(w, 1, 1)))
     keyed = v.filter(F.size("words") > 1).withColumn("initials", initials)
-    full = keyed.select("initials", F.col("words").alias("whole"), F.col("n").alias("n_whole"))
+    # met by the initials and all that is written of the first two words, so common initials are no hot key
+    written = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.substring(w, F.lit(1), k))
+    full = keyed.select("initials", F.col("words").alias("whole"), F.col("n").alias("n_whole"), F.explode(written(F.col("words")[0])).alias("first"))
+    full = full.select("initials", "whole", "n_whole", "first", F.explode(written(F.col("whole")[1])).alias("second"))
+    keyed = keyed.withColumns({"first": F.col("words")[0], "second": F.col("words")[1]})
     fits = F.forall(F.zip_with("words", "whole", lambda a, b: b.startswith(a)), lambda x: x)
-    abbreviated = keyed.join(full, "initials").filter((F.col("n_whole") >= F.col("n")) & (F.size("words") == F.size("whole")) & (F.col("words") != F.col("whole")) & fits)
+    abbreviated = keyed.join(full, ["initials", "first", "second"]).filter((F.col("n_whole") >= F.col("n")) & (F.size("words") == F.size("whole")) & (F.col("words") != F.col("whole")) & fits)
     abbreviated = abbreviated.select("value").distinct().withColumn("is_abbreviation", F.lit(True))
     out = values.select("value").join(cut, "value", "left").join(abbreviated, "value", "left")
     return out.select("value", F.coalesce("is_prefix", F.lit(False)).alias("is_prefix"), F.coalesce("is_abbreviation", F.lit(False)).alias("is_abbreviation"))
@@ -85,43 +97,45 @@ def shortened(values: DataFrame) -> DataFrame:
 def infer_quality(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[dict, dict]:
     """Sensitivity and specificity of each (field, observer) and the share of true claims of each field, by EM.
 
-    ``patterns``: ``field, obs, n`` with ``obs`` an array of ``(observer, kind, said)``. What EM finds is kept off 0 and 1
-    by a few made-up claims at the starting figures.
+    ``patterns``: ``pattern, field, obs, n`` with ``obs`` an array of ``(observer, kind, said)``. What EM finds is kept off
+    0 and 1 by a few made-up claims at the starting figures. Each round is one job: the sums of all observers.
     """
-    spark = patterns.sparkSession
-    seen = patterns.select("field", F.explode("obs").alias("o")).select("field", "o.observer", "o.kind").distinct().limit(MAX_OBSERVERS + 1).collect()
-    if len(seen) > MAX_OBSERVERS:
+    told = patterns.select("field", F.explode("obs").alias("o")).select("field", "o.observer", "o.kind").distinct().limit(MAX_OBSERVERS + 1).collect()
+    if len(told) > MAX_OBSERVERS:
         raise ValueError(f"more than {MAX_OBSERVERS} observers")
-    quality = {(r["field"], r["observer"]): START[r["kind"]] for r in seen}
-    kinds = {(r["field"], r["observer"]): r["kind"] for r in seen}
+    kinds = {(r["field"], r["observer"]): r["kind"] for r in told}
+    quality = {key: START[kind] for key, kind in kinds.items()}
     prior = {f: PRIOR for f, _ in quality}
-    for _ in range(rounds if seen else 0):
-        scored = _posterior(patterns, quality, prior, spark)
-        flat = scored.select("field", "n", "p", F.explode("obs").alias("o"))
-        told = flat.groupBy("field", F.col("o.observer").alias("observer")).agg(
+    for _ in range(rounds if told else 0):
+        flat = _posterior(patterns, quality, prior).select("field", "n", "p", F.explode("obs").alias("o"))
+        sums = flat.groupBy("field", F.col("o.observer").alias("observer")).agg(
             F.sum(F.col("n") * F.col("p")).alias("true"), F.sum(F.col("n") * (1 - F.col("p"))).alias("false"),
             F.sum(F.when(F.col("o.said"), F.col("n") * F.col("p")).otherwise(0.0)).alias("said_true"), F.sum(F.when(~F.col("o.said"), F.col("n") * (1 - F.col("p"))).otherwise(0.0)).alias("kept_false"),
         ).collect()
-        for r in told:
+        moved = 0.0
+        for r in sums:
             key = (r["field"], r["observer"])
-            weight = 20.0 if kinds[key] == "test" else 5.0
+            weight = 20.0 if kinds[key] == "reader" else 5.0
             s, t = START[kinds[key]]
-            quality[key] = ((r["said_true"] + weight * s) / (r["true"] + weight), (r["kept_false"] + weight * t) / (r["false"] + weight))
-        for r in told:  # every claim is tested, so a test's claims are all claims of the field
-            if kinds[r["field"], r["observer"]] == "test":
+            after = (r["said_true"] + weight * s) / (r["true"] + weight), (r["kept_false"] + weight * t) / (r["false"] + weight)
+            moved = max(moved, *(abs(x - y) for x, y in zip(after, quality[key])))
+            quality[key] = after
+            if kinds[key] == "reader":  # it hears every claim of the field
                 prior[r["field"]] = min(0.99, max(0.01, r["true"] / (r["true"] + r["false"])))
+        if moved < SETTLED:
+            break
     return quality, prior
 
 
-def _posterior(patterns: DataFrame, quality: dict, prior: dict, spark) -> DataFrame:
+def _posterior(patterns: DataFrame, quality: dict, prior: dict) -> DataFrame:
     """``patterns`` with ``p``, the probability that such a claim is true."""
-    rows = [(f, o, math.log(s / (1 - t)), math.log((1 - s) / t)) for (f, o), (s, t) in quality.items()]
-    weights = spark.createDataFrame(rows or [("", "", 0.0, 0.0)], "field string, observer string, yes double, no double")
-    base = spark.createDataFrame([(f, math.log(p / (1 - p))) for f, p in prior.items()] or [("", 0.0)], "field string, base double")
+    spark = patterns.sparkSession
+    rows = [(f, o, math.log(s / (1 - t)), math.log((1 - s) / t), math.log(prior[f] / (1 - prior[f]))) for (f, o), (s, t) in quality.items()]
+    weights = spark.createDataFrame(rows or [("", "", 0.0, 0.0, 0.0)], "field string, observer string, yes double, no double, base double")
     flat = patterns.select("pattern", "field", F.explode("obs").alias("o")).select("pattern", "field", "o.observer", "o.said")
-    odds = flat.join(F.broadcast(weights), ["field", "observer"]).groupBy("pattern").agg(F.sum(F.when(F.col("said"), F.col("yes")).otherwise(F.col("no"))).alias("odds"))
-    scored = patterns.join(odds, "pattern").join(F.broadcast(base), "field")
-    return scored.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("odds") + F.col("base")))))).drop("odds", "base")
+    said = F.when(F.col("said"), F.col("yes")).otherwise(F.col("no"))
+    odds = flat.join(F.broadcast(weights), ["field", "observer"]).groupBy("pattern").agg((F.sum(said) + F.max("base")).alias("odds"))
+    return patterns.join(odds, "pattern").withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("odds")))))).drop("odds")
 
 
 def true_values(members: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -147,33 +161,19 @@ def true_values(members: DataFrame, corpus: DataFrame) -> DataFrame:
     )
     facts = claims.groupBy("component", "field", "value").agg(F.collect_set("source").alias("says"))
     heard = claims.groupBy("component", "field").agg(F.collect_set("source").alias("sources"))
-    test = lambda name: F.struct(F.lit(f"test:{name}").alias("observer"), F.lit("test").alias("kind"), F.col(name).alias("said"))
+    reader = F.struct(F.lit("reader").alias("observer"), F.lit("reader").alias("kind"), (F.col("no_stand_in") & F.col("not_cut") & F.col("not_abbreviated") & F.col("right_form")).alias("said"))
     exports = F.transform(F.array_sort("sources"), lambda s: F.struct(F.concat(F.lit("export:"), s).alias("observer"), F.lit("export").alias("kind"), F.array_contains("says", s).alias("said")))
     facts = facts.join(heard, ["component", "field"]).join(tests, ["field", "value"])
-    names = ("no_stand_in", "not_cut", "not_abbreviated", "right_form")
-    facts = facts.select("component", "field", "value", F.concat(F.array(*map(test, names)), exports).alias("obs"), _all(names).alias("exact"))
+    facts = facts.select("component", "field", "value", F.concat(F.array(reader), exports).alias("obs"))
     facts = reliable(facts.withColumn("pattern", F.xxhash64("field", F.to_json("obs"))))
     patterns = reliable(facts.groupBy("pattern", "field").agg(F.first("obs").alias("obs"), F.count("*").cast("double").alias("n")))
     quality, prior = infer_quality(patterns)
-    judged = facts.join(_posterior(patterns, quality, prior, members.sparkSession).select("pattern", "p"), "pattern")
-    return claims.join(judged.select("component", "field", "value", "p", "exact"), ["component", "field", "value"])
-
-
-def _all(names: tuple[str, ...]) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & F.col(n)
-    return out
+    judged = facts.join(_posterior(patterns, quality, prior).select("pattern", "p"), "pattern")
+    return claims.join(judged.select("component", "field", "value", "p"), ["component", "field", "value"])
 
 
-def survivors(records: DataFrame, history: DataFrame) -> DataFrame:
-    """``group_id, publisher_id, volume_id, publishers, volumes``: one surviving record of each merged set.
-
-    Of the members whose value is judged true, and passes the tests exactly, the one accessioned last gives the field
-    (of equals the smaller id); ``publishers`` and ``volumes`` retain every value judged true. A set without a true value
-    has a null there. Null ids are left out, repeated merges count once, an empty log gives an empty result, a member that
-    isn't in ``records`` gives no value. Other columns are ignored.
-    """
+def judged_values(records: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups ``node, component``; claims as in :func:`true_values`) of the sets that ``history`` merges."""
     groups = components(history, "dedup_kept_resource_id", "dedup_other_resource_id")
     rows = records.select(
         F.col("resource_id").cast("bigint").alias("resource_id"), F.coalesce(F.array_join("utb_source", "+"), F.lit("")).alias("source"),
@@ -182,7 +182,19 @@ def survivors(records: DataFrame, history: DataFrame) -> DataFrame:
     members = groups.join(rows, groups["node"] == rows["resource_id"]).drop("node")
     corpus = records.select(F.lit("publisher").alias("field"), F.explode("dc_publisher").alias("value"))
     corpus = corpus.unionByName(members.select(F.lit("volume").alias("field"), F.col("volume").alias("value")))
-    judged = true_values(members, corpus).filter("p >= 0.5 and exact")
+    return groups, true_values(members, corpus)
+
+
+def survivors(records: DataFrame, history: DataFrame) -> DataFrame:
+    """``group_id, publisher_id, volume_id, publishers, volumes``: one surviving record of each merged set.
+
+    Of the members whose value is judged true the one accessioned last gives the field (of equals the smaller id);
+    ``publishers`` and ``volumes`` retain every value judged true. A set without a true value has a null there. Null ids are
+    left out, repeated merges count once, an empty log gives an empty result, a member that isn't in ``records`` gives no
+    value. Other columns are ignored.
+    """
+    groups, claims = judged_values(records, history)
+    judged = claims.filter("p >= 0.5")
     rank = F.struct(F.coalesce("at", F.lit(0).cast("timestamp")), (-F.col("resource_id")).alias("id"))
     last = lambda field: -F.max(F.when(F.col("field") == field, rank))["id"]
     kept = lambda field: F.collect_set(F.when(F.col("field") == field, F.col("value")))
@@ -194,3 +206,9 @@ def survivors(records: DataFrame, history: DataFrame) -> DataFrame:
 def p2_found(records: DataFrame, history: DataFrame) -> DataFrame:
     """Each merged set with the members that its survivor takes publisher and volume from."""
     return survivors(records, history).select("group_id", "publisher_id", "volume_id")
+
+
+def retained_values(records: DataFrame, history: DataFrame) -> DataFrame:
+    """``group_id, field, value, n_records``: every value of a merged set that is judged true, and its holders."""
+    _, claims = judged_values(records, history)
+    return claims.filter("p >= 0.5").groupBy(F.col("component").alias("group_id"), "field", "value").agg(F.countDistinct("resource_id").alias("n_records"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
+import pytest
+
 from scriptorium.llm import survivors as S
 
 
@@ -49,9 +51,27 @@ def test_survivor(spark, records):
     assert kept[1] == ["12", "13"]
 
 
+def test_expectation_maximisation_decides(spark, records, monkeypatch):
+    """Without EM's figures nothing tells a stand-in or an abbreviation from a value; with them the result is another."""
+    full = "Borovice University Press"
+    df = records(*[{"resource_id": i, "dc_publisher": full, "utb_source": "j-wok", "utb_relation_volume": "7"} for i in range(1, 21)], {"resource_id": 30, "dc_publisher": "Bor. Uni. Pre.", "dc_date_accessioned": "2020-01-01T00:00:00Z", "utb_source": "j-riv", "utb_relation_volume": "in press"})
+    log = history(spark, (1, 30), (2, 3))
+    assert sorted(tuple(r) for r in S.p2_found(df, log).collect()) == [(1, 1, 1), (2, 2, 2)]
+    values = sorted(tuple(r) for r in S.retained_values(df, log).collect())
+    assert values == [(1, "publisher", full, 1), (1, "volume", "7", 1), (2, "publisher", full, 2), (2, "volume", "7", 2)]
+    learn = S.infer_quality
+    monkeypatch.setattr(S, "infer_quality", lambda patterns: (dict.fromkeys(learn(patterns)[0], (0.5, 0.5)), {"publisher": 0.7, "volume": 0.7}))
+    assert sorted(tuple(r) for r in S.p2_found(df, log).collect()) == [(1, 30, 30), (2, 2, 2)]
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        S.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int"), "a", "b", max_rounds=1)
+
+
 def test_quality_is_inferred(spark):
     """A source that mostly says what the tests confirm comes out sensitive, one that says wrong things unspecific."""
-    mk = lambda ok, good, bad: [("t", "test", ok), ("good", "export", good), ("bad", "export", bad)]
+    mk = lambda ok, good, bad: [("t", "reader", ok), ("good", "export", good), ("bad", "export", bad)]
     rows = [(1, "f", mk(True, True, False), 40.0), (2, "f", mk(False, False, True), 30.0), (3, "f", mk(True, True, True), 10.0)]
     patterns = spark.createDataFrame(rows, "pattern bigint, field string, obs array<struct<observer:string,kind:string,said:boolean>>, n double")
     quality, prior = S.infer_quality(patterns)

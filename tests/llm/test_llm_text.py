@@ -116,13 +116,43 @@ def test_repeated_words_against_brute_force(words):
     assert R.repeated_words(words).tolist() == brute(words)
 
 
+def test_lines_and_labels():
+    phrase = "this phrase is said again and again without end"
+    doc = R.read_document(f"{phrase}. Fresh words stand here, none of them old. {phrase.upper()}!\n12 go go go")
+    features, labels = R.line_features(doc), R.line_labels(doc)
+    assert len(doc.words) == 29 and doc.starts.tolist() == [0, 8, 9, 17, 25, 26]
+    assert labels.tolist() == [0, 0, 0, 1, 1, 0] and features[3, 1] == 0.875 and features[3, 3] == 1
+    assert R.line_features(R.read_document(None)).shape == (0, R.FEATURES)
+
+
 def test_field_learns_and_decodes():
     again = [1, 0.95, 1, 1, 1, 0]
     fresh = [1, 0.0, 0, 0, 1, 0]
     features = np.array([[fresh] * 5 + [again] * 5] * 20, dtype=float)
     field = R.train(features, (features[..., 2] > 0).astype(int), np.ones(features.shape[:2]))
     assert R.decode(field, features[0]).tolist() == [0] * 5 + [1] * 5
-    assert R.decode(field, np.zeros((0, 6))).tolist() == []
+    assert R.decode(field, np.zeros((0, R.FEATURES))).tolist() == []
+
+
+def test_the_chain_decides():
+    """A doubtful line is repetition among such lines and content among others; without transitions it is the same in both."""
+    w = np.zeros((R.FEATURES, 2))
+    w[0, 1], w[1, 1] = -2.0, 4.0
+    chain, single = R.Field(w, np.array([[1.0, -1.0], [-1.0, 1.0]])), R.Field(w, np.zeros((2, 2)))
+    line = lambda share: [1, share, 0, 0, 1, 0]
+    old, new = np.array([line(1), line(0.4), line(1)]), np.array([line(0), line(0.4), line(0)])
+    assert R.decode(chain, old).tolist() == [1, 1, 1] and R.decode(chain, new).tolist() == [0, 0, 0]
+    assert R.decode(single, old).tolist() == [1, 0, 1]
+
+
+def test_retention_follows_the_content_share(spark, monkeypatch):
+    phrase = "this phrase is said again and again without any end or reason. "
+    fresh = " ".join("abcdefghijklmnopqrstuvwxyz"[i % 26] * (2 + i // 26) for i in range(100))
+    df = spark.createDataFrame([(i, phrase * 5 if i % 10 == 7 else fresh) for i in range(100)] + [(200, None), (201, "")], "doc_id bigint, text string")
+    gone = {r.doc_id for r in R.retention(df).filter("not retained").collect()}
+    assert gone == {i for i in range(100) if i % 10 == 7} == {r.doc_id for r in R.p10_found(df).collect()}
+    monkeypatch.setattr(R, "fit", lambda *a: R.Field(np.array([[0, -50.0], *[[0, 0]] * (R.FEATURES - 1)]), np.zeros((2, 2))))
+    assert R.p10_found(df).count() == 0 and R.retention(df).filter("not retained").count() == 0
 
 
 def test_p10(spark):
@@ -142,6 +172,6 @@ def test_spoilt_texts_outside_the_sample_are_found(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     expected = {i for i in range(1000) if i % 100 == 7}
     for docs in (3, 20, 80, 800):
-        got = R.repetition(df, field=R.fit(df, train_docs=docs)).filter(f"content_share <= {R.CONTENT_AT_MOST}")
+        got = R.repetition(df, field=R.fit(df, train_docs=docs)).filter(f"content_share <= {R.CONTENT_AT_MOST} and repeated_share >= 0.3")
         assert {r.doc_id for r in got.collect()} == expected
     assert {r.doc_id for r in R.p10_found(df).collect()} == expected
