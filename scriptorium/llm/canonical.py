@@ -1,9 +1,11 @@
 """Free-entered values mapped to the closest entry of a reference list.
 
-Plan: values are made distinct first, so that each is matched once however often it occurs; an Arrow pass retrieves
-candidates from an inverted index of character trigrams over the reference list, scores them by weighted cosine, and
-accepts above a threshold and a margin, with an exact word-by-word check. The result is joined back on the value; a hot
-value is one row on the matched side, and adaptive execution splits it on the other.
+Plan: values are made distinct first, so that each is matched once however often it occurs. What people add behind the
+entries of the list (the name of the house, say) is learnt from the values: tails that follow many different entries. An
+Arrow pass retrieves candidates from an inverted index of character trigrams over the reference list (every entry that
+shares one), scores them by weighted cosine, and accepts above a threshold and a margin, with an exact word-by-word check.
+The result is joined back on the value; a hot value is one row on the matched side, and adaptive execution splits it on
+the other.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-THRESHOLD, MARGIN, CANDIDATES = 0.35, 0.01, 40
+THRESHOLD, MARGIN = 0.4, 0.01
+#: A tail is an addition if it follows at least so many different entries, and this share of a kind's entries.
+TAIL_ENTRIES, TAIL_SHARE = 3, 0.05
+MAX_TAIL_WORDS, MAX_TAILS = 8, 10_000
 #: Largest reference list that is held by every task; a longer one is refused (it wouldn't be a list of canonical names).
 MAX_REFERENCE = 100_000
 
-# Words without weight; heads that may be left out; usual contractions that are no prefixes; additions.
+# Words without weight; heads that may be left out; usual contractions that are no prefixes; forms of additions.
 STOP = frozenset("of in and for on the a an to at v ve na".split())
 HEADS = frozenset("faculty department institute centre studio laboratory fakulta ustav centrum atelier laborator".split())
 CONTRACTIONS = {"dept": "department", "dpt": "department", "ctr": "centre", "center": "centre", "jnl": "journal", "jrnl": "journal", "intl": "international", "natl": "national", "univ": "university"}
 ADDITIONS = (
-    r"[\(\[][^\)\]]*[\)\]]\s*$", r"\s:\s.*$", r",?\s*vol\.?\s*\d+\s*$", r",?\s*university of technology in borovice\s*$", r",?\s*utb(\s+borovice)?\s*$",
+    r"[\(\[][^\)\]]*[\)\]]\s*$", r"\s:\s.*$", r",?\s*vol\.?\s*\d+\s*$",
 )
 
 _ADDITIONS = [re.compile(p) for p in ADDITIONS]
@@ -41,19 +46,29 @@ def plain(text: str) -> str:
     return " ".join(text.replace("&", " and ").split())
 
 
-def stripped(text: str) -> str:
-    """Plain text without usual additions, an inverted head put first."""
+def stripped(text: str, tails: frozenset[str] = frozenset()) -> str:
+    """Plain text without additions (usual forms, and those of ``tails``), an inverted head put first."""
     text = plain(text).strip(" .,;:")
     before = None
     while text != before:
         before = text
         for p in _ADDITIONS:
             text = p.sub("", text).strip(" ,;:") or text
+        for head, tail in heads_and_tails(text) if tails else ():
+            if tail in tails:
+                text = head
+                break
     if m := _INVERTED.match(text):
         text = f"{m[2]} {m[1]}"
     return text
 
 
+def heads_and_tails(text: str) -> list[tuple[str, str]]:
+    """Every division of a plain text into a beginning and at most ``MAX_TAIL_WORDS`` words behind it, longest tail first."""
+    starts = [m.start() for m in re.finditer(r"\S+", text)][1:][-MAX_TAIL_WORDS:]
+    return [(text[:i].strip(" ,;:-"), text[i:].strip(" ,;:-")) for i in starts]
+
+
 def words(text: str) -> list[str]:
     """Words with weight of a stripped text, contractions spelt out."""
     return [CONTRACTIONS.get(w, w) for w in re.findall(r"[^\W_]+", text)]
@@ -100,7 +115,8 @@ def grams(tokens: tuple[str, ...] | list[str]) -> list[str]:
 class Matcher:
     """Inverted index over one kind of entries."""
 
-    def __init__(self, entries: list[tuple[int, list[str | None], str | None]], drop_heads: bool) -> None:
+    def __init__(self, entries: list[tuple[int, list[str | None], str | None]], drop_heads: bool, tails: frozenset[str] = frozenset()) -> None:
+        self.tails = tails
         self.codes: dict[str, int] = {}
         seen: dict[tuple[int, tuple[str, ...]], Variant] = {}
         for ref_id, names, code in entries:
@@ -109,7 +125,7 @@ class Matcher:
             for name in names:
                 if not name or not name.strip():
                     continue
-                full = stripped(name)
+                full = stripped(name)  # an entry is written as it is meant
                 tokens = tuple(w for w in words(full) if w not in STOP)
                 for t in {tokens, tokens[1:] if drop_heads and tokens[0] in HEADS and len(tokens) > 1 else tokens}:
                     seen.setdefault((ref_id, t), Variant(ref_id, full if t == tokens else " ".join(t), t))
@@ -140,7 +156,7 @@ class Matcher:
 
     def match(self, value: str) -> tuple[int, float]:
         """(entry, score); entry 0 if none is close enough or two are equally close."""
-        full = stripped(value)
+        full = stripped(value, self.tails)
         code = re.sub(r"[^a-z0-9]", "", full)
         if code in self.codes:
             return self.codes[code], 1.0
@@ -150,13 +166,9 @@ class Matcher:
         for tokens in readings:
             if not tokens:
                 continue
-            hits: dict[int, float] = defaultdict(float)
-            for g in set(grams(tokens)):
-                for k in self.postings.get(g, ()):
-                    hits[k] += self.weight[g] ** 2
-            for k in sorted(hits, key=lambda k: (-hits[k], k))[:CANDIDATES]:
+            for k in sorted({k for g in set(grams(tokens)) for k in self.postings.get(g, ())}):
                 v = self.variants[k]
-                if not self.fits(full, list(tokens), v):
+                if len(tokens) != len(v.words) and abs(len(full) - len(v.full)) > 2 or not self.fits(full, list(tokens), v):
                     continue
                 if "the" in every and v.words[0] != "the":  # an article, unless the other words are cut short too
                     cut = len(tokens) == len(v.words) and any(a != b and b.startswith(a) and a != "the" for a, b in zip(tokens, v.words))
@@ -185,23 +197,52 @@ def map_to_reference(values: DataFrame, reference: DataFrame) -> DataFrame:
     for r in sorted((r for r in rows if r["ref_id"] is not None), key=lambda r: r["ref_id"]):
         by_kind[r["kind"]].append((r["ref_id"], [r["canonical_name"], r["alt_name"]], r["short_code"]))
 
+    entries = dict(by_kind)
+    distinct = values.select("kind", "value").filter(F.trim("value") != "").distinct()
+    # few bytes but much work: spread by number, or adaptive execution would put them all into one task
+    distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tails = additions(distinct, entries)
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers: dict[str, Matcher] = {}
         for b in batches:
             found = []
             for kind, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if kind not in matchers:
-                    matchers[kind] = Matcher(entries.get(kind, []), kind != "journal")
+                    matchers[kind] = Matcher(entries.get(kind, []), kind != "journal", tails.get(kind, frozenset()))
                 found.append(matchers[kind].match(value))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64())], names=["kind", "value", "ref_id", "score"])
 
-    entries = dict(by_kind)
-    distinct = values.select("kind", "value").filter(F.trim("value") != "").distinct()
-    # few bytes but much work: spread by number, or adaptive execution would put them all into one task
-    distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return distinct.mapInArrow(match, "kind string, value string, ref_id int, score double")
 
 
+def additions(distinct: DataFrame, entries: dict[str, list]) -> dict[str, frozenset[str]]:
+    """For each kind the tails that follow many different entries of the list in ``distinct`` (``kind, value``).
+
+    A tail counts once for an entry, however many values have both; values that are entries themselves tell nothing.
+    More than ``MAX_TAILS`` tails are an error.
+    """
+    known = {kind: {plain(n).strip(" .,;:"): rid for rid, names, _ in rows for n in names if n and n.strip()} for kind, rows in entries.items()}
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: set[tuple[str, str, int]] = set()
+            for kind, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                names, text = known.get(kind, {}), plain(value).strip(" .,;:")
+                if text not in names:
+                    out |= {(kind, tail, names[head]) for head, tail in heads_and_tails(text) if tail and head in names}
+            rows = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["kind", "tail", "entry"])
+
+    least = F.greatest(F.lit(TAIL_ENTRIES), F.ceil(F.lit(TAIL_SHARE) * F.col("entries")))
+    sizes = distinct.sparkSession.createDataFrame([(kind, len(rows)) for kind, rows in entries.items()] or [("", 0)], "kind string, entries int")
+    counted = distinct.mapInArrow(divide, "kind string, tail string, entry int").groupBy("kind", "tail").agg(F.countDistinct("entry").alias("n"))
+    rows = counted.join(F.broadcast(sizes), "kind").filter(F.col("n") >= least).select("kind", "tail").limit(MAX_TAILS + 1).collect()
+    if len(rows) > MAX_TAILS:
+        raise ValueError(f"more than {MAX_TAILS} additions")
+    return {kind: frozenset(r["tail"] for r in rows if r["kind"] == kind) for kind in entries}
+
+
 def p7_found(entries: DataFrame, records: DataFrame, reference: DataFrame) -> DataFrame:
     """Values of faculty, ou and journal that aren't canonical names, with the entry meant or 0."""
     people = entries.select("resource_id", "entry_pos", F.inline(F.array(

@@ -19,6 +19,7 @@ from scriptorium.plans.lineage import reliable
 BUCKETS = 1024
 #: How far the weights move over time: 0 keeps them constant, 1 as far as no weight falls below 0.
 TILT = 0.5
+#: Most targets; a longer list is refused. Sources without a target may be as many as they are.
 MAX_SOURCES = 100_000
 
 
@@ -57,13 +58,18 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
     Sources without a target, and null sources, aren't used. A target with a null or non-positive share or cap, or whose
     source has no tokens, is left out and the other shares are taken in proportion; texts without tokens aren't used;
     repeated rows are documents of their own; without targets or documents the result is empty. Other columns are ignored.
+    More than ``MAX_SOURCES`` targets are an error.
     """
     spark = documents.sparkSession
     sizes = token_sizes(documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")), keys=("doc_id", "source"), vocabulary=vocabulary)
     sizes = reliable(sizes.filter("source is not null and n_tokens > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")))
     sums = sizes.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
-    have = {r["source"]: r["tokens"] for r in sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES).collect()}
-    wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.limit(MAX_SOURCES).collect() if r["source"] in have and (r["target_share"] or 0) > 0 and (r["max_repeats"] or 0) > 0}
+    listed = targets.select("source", "target_share", "max_repeats").filter("source is not null").limit(MAX_SOURCES + 1).collect()
+    if len(listed) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} targets")
+    named = F.broadcast(targets.select("source").distinct())  # at most MAX_SOURCES, as just counted
+    have = {r["source"]: r["tokens"] for r in sums.join(named, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in listed if r["source"] in have and (r["target_share"] or 0) > 0 and (r["max_repeats"] or 0) > 0}
     whole = sum(share for share, _ in wanted.values())
     wanted = {s: (share / whole, cap) for s, (share, cap) in wanted.items()}
     total = reachable_total({s: have[s] for s in wanted}, wanted)

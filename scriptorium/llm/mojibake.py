@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import html.entities
+import math
 import re
 import unicodedata
 import zlib
@@ -25,9 +26,9 @@ BUCKETS = 1 << 20
 MARGIN = 2.0
 #: The same for Central European letters that would have to be Western ones, the rarer error.
 RARE_MARGIN = 5.0
-MAX_STATES = 60
-#: No step of a repair makes a word less plausible than it was by more than this.
-SLACK = 8.0
+#: A word may have been decoded and unescaped any number of times (each step makes it shorter), but was read with a wrong
+#: single-byte encoding at most so often: what makes the search finite. Within it nothing is cut but paths that can't win.
+SINGLE_BYTE_STEPS = 2
 #: What an entity or escape that stands for a character costs: more than any one character does.
 UNRESOLVED = 40.0
 
@@ -158,18 +159,18 @@ def unresolved(text: str) -> int:
     return n + (sum(len(m[0]) // 6 for m in _ESCAPE.finditer(text) if _characters(m[0]) != m[0].lower()) if "\\u" in text else 0)
 
 
-def steps(text: str) -> Iterator[tuple[str, float]]:
-    """Texts one operation away, with what the operation itself costs."""
+def steps(text: str) -> Iterator[tuple[str, float, int]]:
+    """Texts one operation away, what the operation itself costs, and whether it rereads single bytes."""
     if (plain := unescape(text)) != text:
-        yield plain, 0.5
+        yield plain, 0.5, 0
     if "\\u" in text and (plain := _ESCAPE.sub(lambda m: _characters(m[0]), text)) != text:
-        yield plain, 0.5
+        yield plain, 0.5, 0
     foreign = [ch for ch in text if ch > "\x7f"]
     if not foreign:
         return
     for wrong, _ in MULTIBYTE if _any_sequence().search(text) else ():
         if (fixed := _decode_runs(text, wrong)) != text:
-            yield fixed, 1.0
+            yield fixed, 1.0, 0
     mostly = 2 * len(foreign) > len(text)
     odd = any(not ch.isalpha() for ch in foreign)
     for wrong, true, needs in SINGLE_BYTE:
@@ -178,7 +179,7 @@ def steps(text: str) -> Iterator[tuple[str, float]]:
         able, changed = _rereading(wrong, true)
         n = sum(ord(ch) in changed for ch in foreign)
         if n and all(ch in able for ch in foreign):
-            yield text.translate(changed), (MARGIN if true != "cp1252" else RARE_MARGIN) * n
+            yield text.translate(changed), (MARGIN if true != "cp1252" else RARE_MARGIN) * n, 1
 
 
 class Plausibility:
@@ -215,24 +216,25 @@ class Plausibility:
         return cost + 4 * odd + 30 * max(0, len(scripts) - 1)
 
     def restore(self, chunk: str) -> str:
-        """Cheapest text reachable from ``chunk``: best-first, states visited once."""
+        """Cheapest text reachable from ``chunk``: best-first, a state visited again only on a cheaper path."""
         if (known := self._memo.get(chunk)) is not None:
             return known
-        start = self(chunk)
-        best, best_cost = chunk, start
-        heap: list[tuple[float, int, str, float]] = [(start, 0, chunk, 0.0)]
-        seen, order = {chunk}, 0
-        while heap and order < MAX_STATES:
-            cost, _, text, paid = heapq.heappop(heap)
+        best, best_cost = chunk, self(chunk)
+        heap: list[tuple[float, int, str, float, int]] = [(best_cost, 0, chunk, 0.0, 0)]
+        paid_for = {(chunk, 0): 0.0}
+        order = 0
+        while heap:
+            cost, _, text, paid, reread = heapq.heappop(heap)
             if cost < best_cost:
                 best, best_cost = text, cost
-            for after, price in steps(text):
-                if after in seen or paid + price >= best_cost or len(seen) >= MAX_STATES:
+            for after, price, single in steps(text):
+                state = after, reread + single
+                # a text costs at least 0, so a path that has paid the best cost can't win
+                if state[1] > SINGLE_BYTE_STEPS or paid + price >= min(best_cost, paid_for.get(state, math.inf)):
                     continue
-                seen.add(after)
-                if (total := self(after) + paid + price) < start + SLACK:
-                    order += 1
-                    heapq.heappush(heap, (total, order, after, paid + price))
+                paid_for[state] = paid + price
+                order += 1
+                heapq.heappush(heap, (self(after) + paid + price, order, after, paid + price, state[1]))
         if len(self._memo) > 200_000:
             self._memo.clear()
         self._memo[chunk] = best

@@ -30,11 +30,19 @@ TRY_EVERY = 50
 SALTS = 64
 
 
+#: Most capacities; a longer list is refused.
+MAX_CAPACITIES = 10_000
+
+
 class Use(NamedTuple):
-    """A pattern (length class to number of items) and how many containers are filled by it."""
+    """A pattern (length class to number of items), how many containers are filled by it, and the step it comes from.
+
+    Steps: ``program`` (rounded configuration program), ``priced`` (pricing of what is left), ``first_fit``.
+    """
 
     pattern: dict[int, int]
     times: int
+    step: str = "first_fit"
 
 
 def price(values: dict[int, float], counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -124,7 +132,7 @@ def price_rest(counts: dict[int, int], capacity: int) -> list[Use]:
                 return out + rest
         pattern = price({l: float(l) ** POWER for l in left}, left, capacity)
         times = min(left[l] // a for l, a in pattern.items())
-        out.append(Use(pattern, times))
+        out.append(Use(pattern, times, "priced"))
         for l, a in pattern.items():
             left[l] -= a * times
             if not left[l]:
@@ -144,21 +152,24 @@ def solve(counts: dict[int, int], capacity: int) -> list[Use]:
     for pattern, amount in sorted(fractional(counts, capacity), key=lambda px: (-fill(px[0]), -px[1], sorted(px[0].items()))):
         times = min(math.floor(amount + 1e-9), *(left[l] // a for l, a in pattern.items()))
         if times > 0:
-            uses.append(Use(pattern, times))
+            uses.append(Use(pattern, times, "program"))
             for l, a in pattern.items():
                 left[l] -= a * times
     uses += price_rest(left, capacity)
     return min(uses, fill_rest(counts, capacity), key=lambda u: sum(x.times for x in u))
 
 
-def _places(uses: list[Use]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: first rank, first container and items in one container of its runs of places."""
-    runs: dict[int, list[tuple[int, int, int]]] = {}
+STEPS = ("program", "priced", "first_fit")
+
+
+def _places(uses: list[Use]) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each length: first rank, first container, items in one container and step (number) of its runs of places."""
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}
     filled: dict[int, int] = {}
     container = 0
-    for pattern, times in uses:
+    for pattern, times, step in uses:
         for l, a in pattern.items():
-            runs.setdefault(l, []).append((filled.get(l, 0), container, a))
+            runs.setdefault(l, []).append((filled.get(l, 0), container, a, STEPS.index(step)))
             filled[l] = filled.get(l, 0) + a * times
         container += times
     return {l: tuple(np.array(x, dtype=np.int64) for x in zip(*r)) for l, r in runs.items()}
@@ -178,7 +189,10 @@ def _ranked(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def pieces_of(documents: DataFrame, capacities: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``capacity_id, capacity_tokens, doc_id, piece_no, start_token, n_tokens, class``: texts, split only where larger than the capacity."""
     sizes = token_sizes(documents.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")), vocabulary=vocabulary)
-    caps = [(r["capacity_id"], r["capacity_tokens"]) for r in capacities.select("capacity_id", "capacity_tokens").distinct().collect() if r["capacity_tokens"] and r["capacity_tokens"] > 0]
+    rows = capacities.select("capacity_id", "capacity_tokens").distinct().limit(MAX_CAPACITIES + 1).collect()
+    if len(rows) > MAX_CAPACITIES:
+        raise ValueError(f"more than {MAX_CAPACITIES} capacities")
+    caps = [(r["capacity_id"], r["capacity_tokens"]) for r in rows if r["capacity_tokens"] and r["capacity_tokens"] > 0]
     listed = F.array(*[F.struct(F.lit(i).cast("int").alias("capacity_id"), F.lit(c).cast("bigint").alias("capacity_tokens")) for i, c in sorted(caps)])
     if not caps:
         listed = listed.cast("array<struct<capacity_id:int,capacity_tokens:bigint>>")
@@ -192,12 +206,13 @@ def pieces_of(documents: DataFrame, capacities: DataFrame, *, doc_id: str = "doc
 
 
 def pack(documents: DataFrame, capacities: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """``capacity_id, container_id, doc_id, piece_no, start_token, n_tokens``: every text in containers of every capacity.
+    """``capacity_id, container_id, doc_id, piece_no, start_token, n_tokens, step``: every text in containers of every capacity.
 
     Containers of one capacity are numbered from 0. No container holds more than its capacity; a text within the capacity
     is never split, a larger one into full pieces and a rest. Texts without tokens (null and empty ones) go into
     container 0. Repeated rows are items of their own; ties go by id and piece; an empty table of either kind gives an
-    empty result. A capacity that is null or not above 0 is left out. Other columns are ignored.
+    empty result. A capacity that is null or not above 0 is left out; more than ``MAX_CAPACITIES`` are an error. ``step``
+    tells which step filled the container (``program``, ``priced``, ``first_fit``). Other columns are ignored.
     """
     pieces = reliable(pieces_of(documents, capacities, doc_id=doc_id, text=text, vocabulary=vocabulary))
     histogram: dict[int, dict[int, int]] = {}
@@ -214,27 +229,34 @@ def pack(documents: DataFrame, capacities: DataFrame, *, doc_id: str = "doc_id",
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             caps, classes, ranks = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("capacity_id", "class", "rank"))
-            out = np.zeros(len(caps), dtype=np.int64)
+            out, steps = np.zeros(len(caps), dtype=np.int64), np.zeros(len(caps), dtype=np.int64)
             for cap in np.unique(caps):
                 for cls in np.unique(classes[caps == cap]):
                     if cls > 0:
                         at = (caps == cap) & (classes == cls)
-                        first, container, items = places[int(cap)][int(cls)]
+                        first, container, items, step = places[int(cap)][int(cls)]
                         run = np.searchsorted(first, ranks[at], side="right") - 1
                         out[at] = container[run] + (ranks[at] - first[run]) // items[run]
+                        steps[at] = step[run]
             keep = ["capacity_id", "doc_id", "piece_no", "start_token", "n_tokens"]
             columns = [b.column(b.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([columns[0], pa.array(out), *columns[1:]], names=["capacity_id", "container_id", *keep[1:]])
+            yield pa.RecordBatch.from_arrays([columns[0], pa.array(out), *columns[1:], pa.array([STEPS[k] for k in steps.tolist()], pa.string())], names=["capacity_id", "container_id", *keep[1:], "step"])
 
     real = pieces.filter("class > 0")
     ranked = _ranked(real, ["capacity_id", "class"], ["doc_id", "piece_no"])
-    ddl = "capacity_id int, container_id bigint, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint"
-    nothing = pieces.filter("class = 0").select("capacity_id", F.lit(0).cast("bigint").alias("container_id"), "doc_id", "piece_no", "start_token", "n_tokens")
+    ddl = "capacity_id int, container_id bigint, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint, step string"
+    nothing = pieces.filter("class = 0").select("capacity_id", F.lit(0).cast("bigint").alias("container_id"), "doc_id", "piece_no", "start_token", "n_tokens", F.lit("first_fit").alias("step"))
     return ranked.mapInArrow(assign, ddl).unionByName(nothing)
 
 
 def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """``capacity_id, n_containers, least_containers, fill``: containers used, the least that the tokens need, the share filled."""
-    by = packed.groupBy("capacity_id").agg((F.max("container_id") + 1).alias("n_containers"), F.sum("n_tokens").alias("tokens"))
-    by = by.join(F.broadcast(capacities.select("capacity_id", "capacity_tokens").distinct().limit(10_000)), "capacity_id")
-    return by.select("capacity_id", "n_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"), F.round(F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("fill"))
+    """``capacity_id, n_containers, by_program, by_pricing, by_first_fit, least_containers, fill`` of each capacity.
+
+    Containers used, how many of them each step filled, the least that the tokens need, the share filled.
+    """
+    boxes = packed.groupBy("capacity_id", "container_id").agg(F.max("step").alias("step"), F.sum("n_tokens").alias("tokens"))
+    made = lambda step, name: F.count_if(F.col("step") == step).alias(name)
+    by = boxes.groupBy("capacity_id").agg(F.count("*").alias("n_containers"), made("program", "by_program"), made("priced", "by_pricing"), made("first_fit", "by_first_fit"), F.sum("tokens").alias("tokens"))
+    by = by.join(capacities.select("capacity_id", "capacity_tokens").distinct(), "capacity_id")
+    fill = F.round(F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("fill")
+    return by.select("capacity_id", "n_containers", "by_program", "by_pricing", "by_first_fit", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"), fill)

@@ -13,10 +13,11 @@ from scriptorium.llm import canonical as C, mixing as X, packing as P, tokens
 
 REFERENCE = [
     (1, "faculty", "Faculty of Visual Arts", "Fakulta výtvarných umění", "FVA"), (2, "faculty", "Faculty of Social Sciences", "Fakulta společenských věd", "FSS"),
-    (10, "ou", "Department of Art Theory", "Ústav teorie umění", None), (20, "journal", "Journal of Modern Rubber Composites", None, None), (21, "journal", "Theoretical Signal Filtering Review", None, None), (22, "journal", "Signal Filtering Review", None, None),
+    (3, "faculty", "Faculty of Economics", "Ekonomická fakulta", None), (10, "ou", "Department of Art Theory", "Ústav teorie umění", None), (20, "journal", "Journal of Modern Rubber Composites", None, None), (21, "journal", "Theoretical Signal Filtering Review", None, None), (22, "journal", "Signal Filtering Review", None, None),
 ]
 CASES = {
-    "faculty": {"Faculty of Visual Arts.": 1, "fac. of visual arts": 1, "Visual Arts, Faculty of": 1, "F.V.A.": 1, "fva utb": 1, "fakulta vytvarnych umeni": 1, "Fac Vis Arts": 1, "Facutly of Visual Atrs": 1, "Visual Arts": 1, "Social Sciences UTB Borovice": 2, "Rectorate": 0, "?": 0, "Faculty of Veterinary Hygiene": 0},
+    "faculty": {"Faculty of Visual Arts.": 1, "fac. of visual arts": 1, "Visual Arts, Faculty of": 1, "F.V.A.": 1, "fva utb": 1, "fakulta vytvarnych umeni": 1, "Fac Vis Arts": 1, "Facutly of Visual Atrs": 1, "Visual Arts": 1, "Social Sciences UTB Borovice": 2, "Rectorate": 0, "?": 0, "Faculty of Veterinary Hygiene": 0,
+                **{f"Faculty of {name}{tail}": k for k, name in ((1, "Visual Arts"), (2, "Social Sciences"), (3, "Economics")) for tail in (", UTB", " UTB Borovice")}},
     "ou": {"Dept. of Art Theory": 10, "Dpt. of Art Theory": 10, "Art Theory": 10, "Department off Art Theory": 10, "Department of Theology": 0},
     "journal": {"Jnl Of Modern Rubber Composites": 20, "Jou. Mod. Rub. Com.": 20, "The Journal of Modern Rubber Composites (Online)": 20, "Journal of Rubber Composites": 0, "The. Sig. Fil. Rev.": 21, "The Signal Filtering Review": 22, "Journal of Modern Rubber Composites, vol. 12": 20},
     "nothing": {"x": 0},
@@ -43,6 +44,23 @@ def test_near():
     assert C.near("abcd", "abdc", 1) and C.near("abcd", "abc", 1) and not C.near("abcd", "badc", 1) and C.near("abcd", "badc", 2)
 
 
+def test_every_candidate_is_looked_at():
+    """Sixty entries share more with the value than the one meant."""
+    entries = [(i, [f"Annals of Polymers {'abcdefghijklmnopqrst'[i % 20] * 3}{i} Polymer Annals"], None) for i in range(1, 61)]
+    m = C.Matcher([*entries, (99, ["Annals of Polymers"], None)], False)
+    assert m.match("Anals of Polymers")[0] == 99 and m.match("Annals of Polymer")[0] == 99
+
+
+def test_additions_are_learnt_from_the_values(spark):
+    ref = spark.createDataFrame([(i, "faculty", f"Faculty of {x}", None, None, 9) for i, x in enumerate(("Arts", "Law", "Economics", "Chemistry"), 1)], "ref_id int, kind string, canonical_name string, alt_name string, short_code string, value int")
+    house = ", Elbonian State College"
+    told = [f"Faculty of {x}{house}" for x in ("Arts", "Law", "Economics")]
+    values = spark.createDataFrame([("faculty", v, 1) for v in [*told, f"Fac. of Chemistry{house}", "Faculty of Law in Space", "Faculty of Arts and Law"]], "kind string, value string, ref_id int")
+    got = {r.value: r.ref_id for r in C.map_to_reference(values, ref).collect()}
+    assert [got[t] for t in told] == [1, 2, 3] and got[f"Fac. of Chemistry{house}"] == 4
+    assert got["Faculty of Law in Space"] == 0 and got["Faculty of Arts and Law"] == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12), st.integers(40, 60))
 def test_every_item_is_held_once_and_nothing_overflows(counts, capacity):
@@ -114,9 +132,24 @@ def test_packing(spark):
     assert {r.capacity_id for r in out} == {1, 2}
     report = {r.capacity_id: r for r in P.fill_report(P.pack(documents(spark), caps), caps).collect()}
     assert report[2].n_containers >= report[2].least_containers
+    assert all(r.by_program + r.by_pricing + r.by_first_fit == r.n_containers for r in report.values()) and report[1].by_program + report[1].by_pricing > 0
     assert P.pack(documents(spark).limit(0), caps).count() == 0 and P.pack(documents(spark), caps.limit(0)).count() == 0
 
 
+def test_too_long_lists_are_refused(spark, monkeypatch):
+    caps = spark.createDataFrame([(i, 100 + i) for i in range(5)], "capacity_id int, capacity_tokens int")
+    targets = spark.createDataFrame([(f"s{i}", 0.2, 1) for i in range(5)], "source string, target_share double, max_repeats int")
+    df = spark.createDataFrame([(i, f"text of {i}", f"s{i}") for i in range(9)], "doc_id bigint, text string, source string")
+    assert {r.source for r in X.mix(df, targets).collect()} == {f"s{i}" for i in range(5)}
+    monkeypatch.setattr(P, "MAX_CAPACITIES", 4)
+    monkeypatch.setattr(X, "MAX_SOURCES", 5)  # more sources than that, but no more targets
+    assert {r.source for r in X.mix(df, targets).collect()} == {f"s{i}" for i in range(5)}
+    monkeypatch.setattr(X, "MAX_SOURCES", 4)
+    for call in (lambda: P.pack(df, caps), lambda: X.mix(df, targets)):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_ranks_are_dense_with_a_hot_length(spark):
     df = spark.range(5000).selectExpr("1 as k", "id % 700 as doc_id", "0 as piece_no")
     got = sorted(r["rank"] for r in P._ranked(df, ["k"], ["doc_id", "piece_no"]).collect())

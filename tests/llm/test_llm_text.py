@@ -50,6 +50,35 @@ def test_entities_and_escapes(plausible, text):
         assert plausible.repair(damaged) == text
 
 
+def every_text(plausible, chunk):
+    """Cheapest text by trying all paths, as brute force."""
+    best, todo, paid = (plausible(chunk), chunk), [(chunk, 0.0, 0)], {(chunk, 0): 0.0}
+    while todo:
+        text, cost, reread = todo.pop()
+        best = min(best, (plausible(text) + cost, text))
+        for after, price, single in M.steps(text):
+            state = after, reread + single
+            if state[1] <= M.SINGLE_BYTE_STEPS and cost + price < paid.get(state, best[0] + 1e-9):
+                paid[state] = cost + price
+                todo.append((after, cost + price, state[1]))
+    return best[0]
+
+
+@pytest.mark.parametrize("text", ["Možnosti", "účetních", "zařízení", "Přístupy", "Über", "плёнок"])
+def test_the_search_finds_the_cheapest_text(plausible, text):
+    """Against brute force over all paths; nothing is cut after a number of states."""
+    once = misread(text, "utf-8", "cp1252")
+    for damaged in (text, once, misread(once, "utf-8", "cp1252"), misread(once, "utf-8", "cp1250"), *([misread(text, "iso8859_2", "cp1252")] if text[0] != "п" else [])):
+        found = plausible.restore(damaged)
+        assert plausible(found) <= every_text(plausible, damaged) + 1e-9
+
+
+def test_long_damage_is_searched_whole(plausible):
+    text = "účetních" * 300
+    assert plausible.repair(misread(misread(text, "utf-8", "cp1252"), "utf-8", "cp1252")) == text
+    assert plausible.repair("\ufffd" * 2000 + "Ã" * 2000)  # ends
+
+
 def test_entities_mixed_with_misreading(plausible):
     assert plausible.repair("Dvo&Aring;&#153;&aacute;k") == "Dvořák" and plausible.repair("AT&amp;T x &lt; y; R&D; &nosuch; \\u0000 \\ud800 a&b") == "AT&T x < y; R&D; &nosuch; \\u0000 \\ud800 a&b"
     assert plausible.repair("\\ud835\\udc00") == "\U0001d400"
