@@ -8,6 +8,7 @@ mappings are built by rule from the Unicode tables and hold a few thousand entri
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -16,18 +17,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from scriptorium.llm import mojibake
 
 # Letters of other alphabets that look like a Latin letter (symbols such as alpha, beta, omega do not).
-CYRILLIC_LOOKALIKES = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ЗЗ аa еe ѕs іi јj оo рp сc уy хx һh ԁd ԛq ԝw ѵv"
-GREEK_LOOKALIKES = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv"
-LOOKALIKES = {pair[0]: pair[1] for pair in (CYRILLIC_LOOKALIKES + " " + GREEK_LOOKALIKES).split() if pair[0] != pair[1]}
+CYRILLIC_LOOKALIKES = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ԌG ԚQ ԜW ӀI аa еe ѕs іi јj оo рp сc уy хx ѵv үy һh ӏl ԁd ԛq ԝw"
+GREEK_LOOKALIKES = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ οo νv ϲc ϳj"
+ARMENIAN_LOOKALIKES = "ՍU ՏS ՕO աw հh յj ոn ռn սu ցg օo"
+CHEROKEE_LOOKALIKES = "ᎠD ᎡR ᎢT ᎥI ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG ᏃZ ᏔW ᏕS ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏩG ᏴB"
+LOOKALIKES = {pair[0]: pair[1] for pair in " ".join((CYRILLIC_LOOKALIKES, GREEK_LOOKALIKES, ARMENIAN_LOOKALIKES, CHEROKEE_LOOKALIKES)).split()}
 # Hyphens that stand in for the ordinary one (dashes are ordinary text).
 HYPHENS = "‐‑"
 
 _COMPAT = ("<wide>", "<narrow>", "<font>", "<noBreak>")
-_LAST = 0x1FFFF
+# Conjoining letters of the Korean alphabet (first and last code point) and the syllables made of them.
+LEADS, VOWELS, TAILS, SYLLABLES = (0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2), (0xAC00, 0xD7A3)
 
 
 def _hidden(ch: str) -> bool:
-    return unicodedata.category(ch) == "Cf" or "︀" <= ch <= "️" or ch == "͏"
+    return unicodedata.category(ch) == "Cf" or "\ufe00" <= ch <= "\ufe0f" or "\U000e0100" <= ch <= "\U000e01ef" or ch == "\u034f"
 
 
 @lru_cache(maxsize=1)
@@ -38,8 +42,8 @@ def mapping() -> list[tuple[str, list[str], list[int], str]]:
     ``blank`` (a space other than U+0020), ``hidden`` (no visible form), ``hyphen``.
     """
     out = []
-    for cp in range(0x80, _LAST):
-        if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
+    for cp in range(0x80, sys.maxunicode + 1):
+        if SYLLABLES[0] <= cp <= SYLLABLES[1] or 0xD800 <= cp <= 0xDFFF:  # syllables are composed by rule
             continue
         ch = chr(cp)
         cat = unicodedata.category(ch)
@@ -69,7 +73,7 @@ def mapping() -> list[tuple[str, list[str], list[int], str]]:
 def compositions() -> dict[str, str]:
     """Base and mark to their primary composite."""
     out = {}
-    for cp in range(0x80, _LAST):
+    for cp in range(0x80, sys.maxunicode + 1):
         ch = chr(cp)
         how = unicodedata.decomposition(ch)
         if how and not how.startswith("<") and len(parts := how.split()) == 2:
@@ -97,6 +101,23 @@ def _mapping_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(mapping(), schema)
 
 
+def _of(ch: Column, *ranges: tuple[int, int]) -> Column:
+    """Whether a character lies in one of the ranges of code points."""
+    out = F.lit(False)
+    for low, high in ranges:
+        out = out | ch.between(chr(low), chr(high))
+    return out
+
+
+def _syllable(base: Column, part: Column) -> Column:
+    """Korean syllable of a leading consonant and a vowel, or of a syllable without a tail and a tail; else null."""
+    b, p = F.ascii(base), F.ascii(part)
+    begun = (b - LEADS[0]) * 588 + (p - VOWELS[0]) * 28 + SYLLABLES[0]
+    open_ = _of(base, SYLLABLES) & ((b - SYLLABLES[0]) % 28 == 0)
+    code = F.when(_of(base, LEADS) & _of(part, VOWELS), begun).when(open_ & _of(part, TAILS), b + p - (TAILS[0] - 1))
+    return F.decode(F.unhex(F.hex(code.cast("bigint"))), "UTF-16BE")
+
+
 def _compose(group: Column) -> Column:
     """Canonical composition of one base character with its marks, which are in canonical order.
 
@@ -106,7 +127,8 @@ def _compose(group: Column) -> Column:
     start = F.struct(F.element_at(group, 1)["part"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
 
     def fold(acc: Column, mark: Column) -> Column:
-        made = F.when((acc["rest"] == "") | (acc["last"] < mark["ccc"]), F.try_element_at(pairs, F.concat(acc["base"], mark["part"])))
+        free = (acc["rest"] == "") | (acc["last"] < mark["ccc"])
+        made = F.when(free & _of(mark["part"], VOWELS, TAILS), _syllable(acc["base"], mark["part"])).when(free, F.try_element_at(pairs, F.concat(acc["base"], mark["part"])))
         return F.when(made.isNotNull(), F.struct(made.alias("base"), acc["rest"].alias("rest"), acc["last"].alias("last"))).otherwise(
             F.struct(acc["base"].alias("base"), F.concat(acc["rest"], mark["part"]).alias("rest"), mark["ccc"].alias("last"))
         )
@@ -125,12 +147,12 @@ def _parts(elements: DataFrame) -> DataFrame:
     """
     some = elements.select(*_KEYS, "text").filter(F.col("row_id").isNotNull() & suspicious(F.col("text"))).dropDuplicates(_KEYS)
     other = rf"[\p{{L}}&&[^\p{{IsLatin}}]&&[^{_ALIKE[1:-1]}]]"
-    inside = r"[\p{L}\p{M}\p{Cf}]"
+    inside = "[\\p{L}\\p{M}\\p{Cf}\U0001d400]"  # a letter beyond the first plane makes the engine look behind by whole characters
     text = F.col("text")
     parts = some.select(
         *_KEYS,
         (text.rlike(_LATIN) & ~text.rlike(other)).alias("latin_text"),
-        F.posexplode(F.split("text", rf"(?<!{inside})|(?!{inside})")).alias("part_no", "part_text"),
+        F.posexplode(F.split("text", rf"(?![\uDC00-\uDFFF])(?:(?<!{inside})|(?!{inside}))")).alias("part_no", "part_text"),
     )
     part = F.col("part_text")
     latin_word = part.rlike(_LATIN) | (F.col("latin_text") & ~part.rlike(other))
@@ -149,8 +171,8 @@ def _rebuilt(parts: DataFrame) -> DataFrame:
     made_of = F.when(F.col("swap"), F.array("latin")).otherwise(F.coalesce("parts", F.array("cp")))
     classes = F.when(F.col("swap"), F.array(F.lit(0))).otherwise(F.coalesce("classes", F.array(F.lit(0))))
     flat = rows.select(*_PART_KEYS, "pos", "cp", stands.alias("stands"), F.posexplode_outer(F.arrays_zip(made_of.alias("part"), classes.alias("ccc"))).alias("sub", "x"))
-    # A group is a base character with the marks behind it; hidden characters left no part and join the group before.
-    starts = F.when((F.coalesce("x.ccc", F.lit(0)) == 0) & F.col("x").isNotNull(), 1).otherwise(0)
+    # A group is a base character with the marks and Korean vowels and tails behind it; hidden characters left no part and join the group before.
+    starts = F.when((F.coalesce("x.ccc", F.lit(0)) == 0) & F.col("x").isNotNull() & ~_of(F.col("x.part"), VOWELS, TAILS), 1).otherwise(0)
     flat = flat.withColumn("group", F.sum(starts).over(Window.partitionBy(*_PART_KEYS).orderBy("pos", "sub")))
     piece = F.when(F.col("x").isNotNull(), F.struct(F.col("x.ccc").alias("ccc"), "pos", "sub", F.col("x.part").alias("part")))
     written = F.collect_list(F.when(F.col("sub").isNull() | (F.col("sub") == 0), F.struct("pos", "cp")))

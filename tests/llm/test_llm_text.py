@@ -123,6 +123,14 @@ def test_canonical_order_against_the_library(spark):
     assert {i: unicodedata.normalize("NFC", t) for i, t in enumerate(texts) if unicodedata.normalize("NFC", t) != t} == got
 
 
+def test_korean_letters_and_all_planes(spark):
+    jamo = unicodedata.normalize("NFD", "한국어 강 값이 가")
+    texts = [jamo, "\u1100\u1161\u11a8\u11a8 a\u1161 \u1161\u11a8 \uac01\u11a8", "tag\U000e0041ged", "select\U000e0101or", "\U0002f800", "Ꭺbstract հouse", "한국어 값", "\U0001f600 a\u00a0b \U00020000\U0001d400\U0001d41b"]
+    got = {r.row_id: r.unified for r in L.unify_text(elements(spark, texts)).collect()}
+    expected = {0: unicodedata.normalize("NFC", jamo), 1: unicodedata.normalize("NFC", texts[1]), 2: "tagged", 3: "selector", 4: unicodedata.normalize("NFC", "\U0002f800"), 5: "Abstract house", 7: "\U0001f600 a b \U00020000Ab"}
+    assert got == expected
+
+
 def test_p5(records):
     df = records({"resource_id": 1, "dc_title": ["a b", "plain"], "utb_scopus_affiliation": ["Тown x"], "dc_description_abstract": None}, {"resource_id": 2}, {"resource_id": 1, "dc_title": ["a b", "plain"]})
     assert sorted(tuple(r) for r in L.p5_found(df).collect()) == [(1, "dc_title", 1), (1, "utb_scopus_affiliation", 1)]
