@@ -2,13 +2,16 @@
 
 Plan: names are made distinct, so that a name counts once however often it is typed. An Arrow pass on each side writes
 every canonical rewriting of a name (order of parts, titles, accents and transliterations, nicknames, abbreviations,
-initials, one dropped letter) as a 64-bit form; names and registry meet in one equi-join on forms. Forms that several
-persons share say nothing about which is meant and leave before the join, so no group of the join can grow with the
-registry; the rest are scored by rarity less what the rewriting costs, and typing errors are checked exactly.
+initials, legal forms of organisations, one dropped letter) as a 64-bit form; names and registry meet in an equi-join on
+forms. Forms that several persons share say nothing about which is meant and leave before the join, so no group of the
+join can grow with the registry; the rest are scored by rarity less what the rewriting costs, and typing errors are
+checked exactly. Forms with a dropped letter, the many ones, are only written for the names that the other forms leave
+open: where a cheaper rewriting meets a person, a typing error can neither win nor come near.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,6 +28,9 @@ from scriptorium.plans.lineage import reliable
 
 # Academic titles.
 TITLES = frozenset("ing mgr phdr rndr mudr judr mvdr paeddr thdr bc mga dr doc prof phd csc drsc dis mba msc thd artd dipl univ hc jr sr".split())
+# Legal forms of organisations, without blanks and full stops; those of the second line only where written with full stops.
+LEGAL_FORMS = frozenset("sro spolsro gmbh mbh ltd limited inc incorporated llc corp corporation plc kgaa vvi ops zs oyj srl sarl spzoo doo".split())
+DOTTED_LEGAL_FORMS = frozenset("as sa ag bv nv kg ks co se oy ab zu pbc spa".split())
 # Nicknames and the names that they stand for.
 NICKNAMES = """
 Jirka:Jiří Jura:Jiří Jíra:Jiří Honza:Jan Jenda:Jan Pepa:Josef Jožka:Josef Joska:Josef Franta:František Fanda:František Tonda:Antonín Toník:Antonín
@@ -44,9 +50,10 @@ Hynda:Hynek Cyrda:Cyril Petruška:Petra Šimi:Šimon Šimonek:Šimon Igorek:Igor
 
 #: What a rewriting costs, in the nats of the rarity score.
 COST = {"fold": 0.0, "nick": 1.0, "cut": 2.0, "typo": 3.0, "initial": 4.0}
+HOWS = tuple(COST)
 MARGIN = 0.4
-BITS = 25
-_MASK = (1 << BITS) - 1
+#: Bits of the bitmap of known forms: eight for each form, from 8 kB to at most 16 MB whatever the registry.
+LEAST_BITS, MOST_BITS = 16, 27
 
 
 #: Marks and hidden characters are dropped; letters that have no decomposition are spelt simply.
@@ -119,6 +126,22 @@ def readings(name: str) -> list[Reading]:
     return out
 
 
+_SPACED_FORM = re.compile(r"\b(?:spol\.?\s*s\s*r\.?\s*o|sp\.?\s*z\s*o\.?\s*o)\b\.?")
+
+
+def organisation(name: str) -> str | None:
+    """Words of an organisation's name in one order, its legal form left out; None for a name without a legal form at its end."""
+    text = _SPACED_FORM.sub(" spolsro", plain(name)).replace("&", " and ")
+    words = re.findall(r"[^\W_](?:[^\W_]|[.'’-])*", text)
+    kept = list(words)
+    while kept and ((bare := kept[-1].replace(".", "")) in LEGAL_FORMS or bare in DOTTED_LEGAL_FORMS and "." in kept[-1]):
+        kept.pop()
+    if not kept or len(kept) == len(words):
+        return None
+    kept = [w.replace(".", "") for w in kept]
+    return " ".join(sorted(fold(w) for w in kept if w not in ("and", "a", "the", "of")) or kept)
+
+
 def _drops(text: str) -> set[str]:
     return {text[:i] + text[i + 1 :] for i in range(len(text))}
 
@@ -133,31 +156,34 @@ def typo_key(r: Reading) -> str:
     return r.surname + " " + r.given
 
 
-def forms(name: str, of_person: bool, known: bytes | None = None) -> list[tuple[int, str, str]]:
-    """(form, rewriting, text that typing errors are checked on) of a name, cheapest rewriting first.
+def forms(name: str, of_person: bool, known: bytes | None = None, dropped: bool | None = None) -> list[tuple[int, int, str]]:
+    """(form, number of the rewriting in ``HOWS``, text that is compared) of a name, cheapest rewriting first.
 
     A person's name is also written with every abbreviation of the given name, a typed name with every name that its
-    given name may be short for; both with one letter dropped. Of
-    the forms in the bitmap ``known`` only, if one is given.
+    given name may be short for; both with one letter dropped. Forms outside the bitmap ``known`` are left out, if one is
+    given; ``dropped`` asks for only the forms with a dropped letter, or only the others.
     """
-    out: dict[int, tuple[str, str]] = {}
+    out: dict[int, tuple[int, str]] = {}
+    mask = (len(known) << 3) - 1 if known is not None else 0
 
     def put(kind: str, text: str, how: str, check: str = "") -> None:
         f = form(kind, text)
-        if known is None or known[(f & _MASK) >> 3] >> (f & 7) & 1:
-            out.setdefault(f, (how, check))
+        if known is None or known[(f & mask) >> 3] >> (f & 7) & 1:
+            out.setdefault(f, (HOWS.index(how), check))
 
+    house = organisation(name)
+    if house and dropped is not True:
+        put("house", house, "fold", house)
     for r in readings(name):
         bare = r.surname.replace("?", "").replace("�", ""), r.given.replace("?", "").replace("�", "")
         lost = bare != (r.surname, r.given)
-        s = fold(r.surname)
-        if not lost:
-            if len(r.given) == 1:
-                put("initial", f"{s} {r.given}", "initial")
-                continue
-            if r.cut:
-                put("cut", f"{s} {r.given}", "cut")
-                continue
+        if not lost and (len(r.given) == 1 or r.cut):
+            if dropped is not True:
+                how = "initial" if len(r.given) == 1 else "cut"
+                put(how, f"{fold(r.surname)} {r.given}", how)
+            continue
+        if not lost and dropped is not True:
+            s = fold(r.surname)
             put("fold", fold(typo_key(r)), "fold", typo_key(r))
             for g in (r.given, *nicknames().get(r.given, ())):
                 if g != r.given:
@@ -166,8 +192,8 @@ def forms(name: str, of_person: bool, known: bytes | None = None) -> list[tuple[
                 put("initial", f"{s} {r.given[0]}", "initial")
                 for k in range(2, len(r.given)):
                     put("cut", f"{s} {r.given[:k]}", "cut")
-        key = typo_key(Reading(*bare, False)) if lost else typo_key(r)
-        if len(key) > 7 and len(bare[1]) > 1:
+        if dropped is not False and len(bare[1]) > 1:
+            key = typo_key(Reading(*bare, False))
             put("drop", key, "typo", key)
             if not lost:
                 for d in _drops(key):
@@ -182,7 +208,7 @@ def split_names(text: str | None) -> list[str]:
     return [n.strip() for n in (text.split("||") if "||" in text else text.split(";")) if n.strip()]
 
 
-_FORMS = "form bigint, how string, check string"
+_FORMS = "form bigint, how tinyint, check string"
 
 
 @lru_cache(maxsize=1)
@@ -192,8 +218,8 @@ def _damage() -> re.Pattern:
     return re.compile(mojibake._any_sequence().pattern + "|[" + re.escape("".join(sorted(changed))) + "]")
 
 
-def _write_forms(names: DataFrame, of_person: bool, counts=None, known: bytes | None = None) -> DataFrame:
-    """``names`` (id, name) with every form of each name; of those in the bitmap ``known`` only, if one is given."""
+def _write_forms(names: DataFrame, of_person: bool, counts=None, known: bytes | None = None, dropped: bool | None = None) -> DataFrame:
+    """``names`` (id, name) with every form of each name (see :func:`forms`), damaged names repaired first if ``counts`` are given."""
     head = names.columns[0]
     kind = dict(names.dtypes)[head]
 
@@ -204,11 +230,11 @@ def _write_forms(names: DataFrame, of_person: bool, counts=None, known: bytes |
             rows: list = []
             for rid, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 damaged = plausible is not None and not name.isascii() and _damage().search(name)
-                found = forms(plausible.repair(name) if damaged else name, of_person, known)
+                found = forms(plausible.repair(name) if damaged else name, of_person, known, dropped)
                 rows += found
                 ids += [rid] * len(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, b.column(0).type), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
+                [pa.array(ids, b.column(0).type), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int8()), pa.array([r[2] for r in rows], pa.string())],
                 names=[head, "form", "how", "check"],
             )
 
@@ -216,16 +242,18 @@ def _write_forms(names: DataFrame, of_person: bool, counts=None, known: bytes |
 
 
 def _bitmap(written: DataFrame) -> bytes:
-    """Which forms occur, one bit for each of ``1 << BITS`` classes: 4 MB, whatever the registry.
+    """Which forms occur, one bit for each class of forms; the size follows the number of forms up to ``MOST_BITS``.
 
     Typed forms outside it meet no person and needn't be shuffled. A full bitmap only filters less.
     """
-    size, piece = 1 << (BITS - 3), 1 << 16
+    bits_wanted = min(MOST_BITS, max(LEAST_BITS, (8 * written.count()).bit_length()))
+    size, piece = 1 << (bits_wanted - 3), 1 << 13
+    mask = (1 << bits_wanted) - 1
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, dtype=np.uint8)
         for b in batches:
-            at = b.column(0).to_numpy() & _MASK
+            at = b.column(0).to_numpy() & mask
             np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         some = [k for k in range(size // piece) if bits[k * piece : (k + 1) * piece].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([bits[k * piece : (k + 1) * piece].tobytes() for k in some], pa.binary())], names=["piece", "bits"])
@@ -270,34 +298,48 @@ def link_names(names: DataFrame, registry: DataFrame, counts=None) -> DataFrame:
     Null, empty and one-word names mean none; repeated rows count once; an empty side gives an empty result; names of
     any length are read whole. Other columns are ignored.
     """
-    known = registry_names(registry)
+    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes but much work: spread by number, or adaptive execution would put them all into one task
+    known = registry_names(registry).select("author_id", "name").distinct().repartition(spread)
     persons = max(2, registry.agg(F.approx_count_distinct("author_id", 0.01)).first()[0])
-    theirs = _write_forms(known.select("author_id", "name").distinct(), of_person=True)
+    theirs = _write_forms(known, of_person=True)
     theirs = theirs.groupBy("form", "author_id", "check").agg(F.min(F.struct(_cost("how").alias("cost"), "how")).alias("r"))
     # Rarity: a form of several persons tells nothing, but for typing errors, where the exact check tells persons apart.
     per_form = theirs.groupBy("form").agg(F.min("author_id").alias("a"), F.max("author_id").alias("b"), F.approx_count_distinct("author_id").alias("about"))
     per_form = per_form.select("form", F.when(F.col("a") == F.col("b"), 1).otherwise(F.greatest("about", F.lit(2))).alias("df"))
-    theirs = theirs.join(per_form, "form").filter("df = 1 or r.how = 'typo'").select("form", "df", "author_id", F.struct("r.cost", "r.how", "check").alias("r"))
-    theirs = reliable(theirs)  # read twice: for the bitmap, for the join
-    typed = names.select("name").filter(F.trim("name") != "").distinct()
-    ours = _write_forms(typed.select("name", F.col("name").alias("n")), of_person=False, counts=counts, known=_bitmap(theirs))
-    met = ours.join(theirs, "form")
-    # a dropped letter on either side is a typing error only within one edit, checked on the whole
-    far = F.levenshtein("check", "r.check", 2)
-    right = F.when(F.col("how") != "typo", True).when(far.isin(0, 1), True).when((far == 2) & (F.length("check") == F.length("r.check")), _is_swap(F.col("check"), F.col("r.check"))).otherwise(False)
-    less = F.when(F.col("check") == F.col("r.check"), 0.0).when(F.col("how") == "typo", 0.2).when(F.col("how") == "fold", 0.5).otherwise(0.0)
-    cost = _cost("how") + F.when(F.col("how") == "typo", 0.0).otherwise(F.col("r.cost")) + less
-    score = F.log(F.lit(persons) / F.col("df")) - cost
-    met = met.filter(right).select("name", "author_id", score.alias("score"))
-    best = met.groupBy("name", "author_id").agg(F.max("score").alias("score"))
+    theirs = theirs.join(per_form, "form").filter((F.col("df") == 1) | (F.col("r.how") == _TYPO)).select("form", "df", "author_id", F.col("r.cost").alias("cost"), F.col("check").alias("their_check"))
+    theirs = reliable(theirs)  # read for the bitmap and both joins
+    bitmap = _bitmap(theirs)
+    typed = reliable(names.select("name").filter(F.trim("name") != "").distinct())
+    plainly = reliable(_scored(_write_forms(typed.select("name", F.col("name").alias("n")), False, counts, bitmap, dropped=False), theirs, persons))
+    # what a typing error can score at most, and still be told apart from
+    settled = plainly.groupBy("name").agg(F.max("score").alias("best")).filter(F.col("best") >= math.log(persons) - COST["typo"] + MARGIN)
+    left = typed.join(settled.select("name"), "name", "left_anti").repartition(spread)
+    mistyped = _scored(_write_forms(left.select("name", F.col("name").alias("n")), False, counts, bitmap, dropped=True), theirs, persons)
+    best = plainly.unionByName(mistyped).groupBy("name", "author_id").agg(F.max("score").alias("score"))
     top = best.groupBy("name").agg(F.max(F.struct("score", "author_id")).alias("top"), F.sort_array(F.collect_list("score"), False).alias("scores"))
     clear = (F.size("scores") == 1) | (F.element_at("scores", 1) - F.try_element_at("scores", F.lit(2)) >= MARGIN)
     return top.filter(clear).select("name", "top.author_id", "top.score")
 
 
+_TYPO = HOWS.index("typo")
+
+
+def _scored(ours: DataFrame, theirs: DataFrame, persons: int) -> DataFrame:
+    """``name, author_id, score`` of names and persons that share a form, typing errors checked exactly."""
+    met = ours.join(theirs, "form")
+    # a dropped letter on either side is a typing error only within one edit, checked on the whole
+    typo, far = F.col("how") == _TYPO, F.levenshtein("check", "their_check", 2)
+    right = F.when(~typo, True).when(far.isin(0, 1), True).when((far == 2) & (F.length("check") == F.length("their_check")), _is_swap(F.col("check"), F.col("their_check"))).otherwise(False)
+    less = F.when(F.col("check") == F.col("their_check"), 0.0).when(typo, 0.2).when(F.col("how") == HOWS.index("fold"), 0.5).otherwise(0.0)
+    cost = _cost("how") + F.when(typo, 0.0).otherwise(F.col("cost")) + less
+    score = F.log(F.lit(persons) / F.col("df")) - cost
+    return met.filter(right).groupBy("name", "author_id").agg(F.max(score).alias("score"))
+
+
 def _cost(how: str) -> Column:
     out = F.lit(0.0)
-    for k, c in COST.items():
+    for k, c in enumerate(COST.values()):
         out = F.when(F.col(how) == k, c).otherwise(out)
     return out
 
@@ -317,6 +359,7 @@ def p1_found(records: DataFrame, registry: DataFrame) -> DataFrame:
     linked = link_names(names, registry, counts)
     shown = registry_names(registry).filter("is_display").select("author_id", "name")
     shown = shown.unionByName(shown.withColumn("name", F.trim("name"))).distinct()
-    linked = linked.join(shown, ["author_id", "name"], "left_anti")
-    found = names.join(linked, "name").select("resource_id", (F.col("p") + 1).cast("int").alias("author_pos"), "author_id")
+    # both sides grow with the tables: neither is broadcast
+    linked = linked.join(shown.hint("merge"), ["author_id", "name"], "left_anti")
+    found = names.join(linked.hint("merge"), "name").select("resource_id", (F.col("p") + 1).cast("int").alias("author_pos"), "author_id")
     return found.distinct()

@@ -77,3 +77,35 @@ def test_native_check_equals_one_edit(spark):
     lev = F.levenshtein("a", "b", 2)
     ok = lev.isin(0, 1) | ((lev == 2) & (F.length("a") == F.length("b")) & N._is_swap(F.col("a"), F.col("b")))
     assert all(r.ok == one_edit(r.a, r.b) for r in df.select("a", "b", ok.alias("ok")).collect())
+
+
+def people(spark, *names):
+    return spark.createDataFrame([(i, n, None, None, None, None) for i, n in enumerate(names, 1)], "author_id bigint, display_name string, other_name string, surname string, given_name string, middle_name string")
+
+
+def linked(spark, typed, registry):
+    return {r.name: r.author_id for r in N.link_names(spark.createDataFrame([(t, 0) for t in typed], "name string, author_id int"), registry).collect()}
+
+
+def test_short_names_with_an_error(spark):
+    registry = people(spark, "Ha, Eva", "Novák, Jan", "Dlouhý, Petr", "Ós, Ivo")
+    assert linked(spark, ["Hla, Eva", "Ha Evva", "Ha, Iva", "Ós, Ivvo", "Xx, Yyy"], registry) == {"Hla, Eva": 1, "Ha Evva": 1, "Ha, Iva": 1, "Ós, Ivvo": 4}
+
+
+def test_legal_forms_of_organisations(spark):
+    registry = people(spark, "Borovice Plastics, s.r.o.", "Alfa Rubber Ltd.", "Novák, Jan", "Sa, Maria")
+    typed = ["BOROVICE PLASTICS spol. s r. o.", "Plastics Borovice GmbH", "Alfa & Rubber Limited", "Alfa Rubber Inc", "The Alfa Rubber Corp.", "Maria Sa", "Beta Rubber Ltd", "s.r.o."]
+    assert linked(spark, typed, registry) == {**dict.fromkeys(typed[:2], 1), **dict.fromkeys(typed[2:5], 2), "Maria Sa": 4}
+    assert N.organisation("Novák, a.s.") == "novak" and N.organisation("Novák as") is None and N.organisation("Ltd") is None
+
+
+def test_settled_names_need_no_dropped_letters(spark):
+    """The result is the same whether dropped letters are written for all names or only for those left open."""
+    registry = people(spark, "Novák, Jan", "Novák, Jana", "Horák, Petr", "Dvořák, Karel", "Dvořáková, Karla")
+    typed = ["Novak Jan", "J. Novák", "Jan Novk", "Petr Horak", "Hork, Petr", "Dvorak K.", "Karel Dvořk", "Jana Novák"]
+    got = linked(spark, typed, registry)
+    assert got == {"Novak Jan": 1, "Jan Novk": 1, "Petr Horak": 3, "Hork, Petr": 3, "Dvorak K.": 4, "Karel Dvořk": 4, "Jana Novák": 2}
+    for t in typed:
+        every = dict((f, h) for f, h, _ in N.forms(t, False))
+        parts = {f: h for d in (False, True) for f, h, _ in N.forms(t, False, None, d)}
+        assert every == parts
