@@ -51,8 +51,9 @@ Hynda:Hynek Cyrda:Cyril Petruška:Petra Šimi:Šimon Šimonek:Šimon Igorek:Igor
 #: What a rewriting costs, in the nats of the rarity score.
 COST = {"fold": 0.0, "nick": 1.0, "cut": 2.0, "typo": 3.0, "initial": 4.0}
 HOWS = tuple(COST)
+_TYPO = HOWS.index("typo")
 MARGIN = 0.4
-#: Bits of the bitmap of known forms: eight for each form, from 8 kB to at most 16 MB whatever the registry.
+#: Bits of the bitmap of known forms: sixteen for each form, two of which it sets; from 8 kB to at most 16 MB whatever the registry.
 LEAST_BITS, MOST_BITS = 16, 27
 
 
@@ -129,8 +130,13 @@ def readings(name: str) -> list[Reading]:
 _SPACED_FORM = re.compile(r"\b(?:spol\.?\s*s\s*r\.?\s*o|sp\.?\s*z\s*o\.?\s*o)\b\.?")
 
 
+_ENDS = LEGAL_FORMS | DOTTED_LEGAL_FORMS | {"o"}  # the last word of every legal form
+
+
 def organisation(name: str) -> str | None:
     """Words of an organisation's name in one order, its legal form left out; None for a name without a legal form at its end."""
+    if name.rstrip(" .,").rpartition(" ")[2].replace(".", "").lower() not in _ENDS:
+        return None
     text = _SPACED_FORM.sub(" spolsro", plain(name)).replace("&", " and ")
     words = re.findall(r"[^\W_](?:[^\W_]|[.'’-])*", text)
     kept = list(words)
@@ -143,12 +149,15 @@ def organisation(name: str) -> str | None:
 
 
 def _drops(text: str) -> set[str]:
-    return {text[:i] + text[i + 1 :] for i in range(len(text))}
+    return {text[:i] + text[i + 1 :] for i in range(len(text)) if not i or text[i] != text[i - 1]}
+
+
+_digest, _HALF = xxhash.xxh64_intdigest, 1 << 63
 
 
 def form(kind: str, text: str) -> int:
     """64-bit number of a form."""
-    return xxhash.xxh64_intdigest(f"{kind}:{text}") - (1 << 63)
+    return _digest(f"{kind}:{text}") - _HALF
 
 
 def typo_key(r: Reading) -> str:
@@ -168,11 +177,10 @@ def forms(name: str, of_person: bool, known: bytes | None = None, dropped: bool
 
     def put(kind: str, text: str, how: str, check: str = "") -> None:
         f = form(kind, text)
-        if known is None or known[(f & mask) >> 3] >> (f & 7) & 1:
+        if known is None or known[(f & mask) >> 3] >> (f & 7) & 1 and known[(f >> 32 & mask) >> 3] >> (f >> 32 & 7) & 1:
             out.setdefault(f, (HOWS.index(how), check))
 
-    house = organisation(name)
-    if house and dropped is not True:
+    if dropped is not True and (house := organisation(name)):
         put("house", house, "fold", house)
     for r in readings(name):
         bare = r.surname.replace("?", "").replace("�", ""), r.given.replace("?", "").replace("�", "")
@@ -194,10 +202,10 @@ def forms(name: str, of_person: bool, known: bytes | None = None, dropped: bool
                     put("cut", f"{s} {r.given[:k]}", "cut")
         if dropped is not False and len(bare[1]) > 1:
             key = typo_key(Reading(*bare, False))
-            put("drop", key, "typo", key)
-            if not lost:
-                for d in _drops(key):
-                    put("drop", d, "typo", key)
+            for d in (key,) if lost else (key, *_drops(key)):  # the many: written out for speed
+                f = _digest(f"drop:{d}") - _HALF
+                if known is None or known[(f & mask) >> 3] >> (f & 7) & 1 and known[(f >> 32 & mask) >> 3] >> (f >> 32 & 7) & 1:
+                    out.setdefault(f, (_TYPO, key))
     return [(f, how, check) for f, (how, check) in out.items()]
 
 
@@ -246,15 +254,16 @@ def _bitmap(written: DataFrame) -> bytes:
 
     Typed forms outside it meet no person and needn't be shuffled. A full bitmap only filters less.
     """
-    bits_wanted = min(MOST_BITS, max(LEAST_BITS, (8 * written.count()).bit_length()))
+    bits_wanted = min(MOST_BITS, max(LEAST_BITS, (16 * written.count()).bit_length()))
     size, piece = 1 << (bits_wanted - 3), 1 << 13
     mask = (1 << bits_wanted) - 1
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, dtype=np.uint8)
         for b in batches:
-            at = b.column(0).to_numpy() & mask
-            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+            forms_ = b.column(0).to_numpy()
+            for at in (forms_ & mask, (forms_ >> 32) & mask):
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         some = [k for k in range(size // piece) if bits[k * piece : (k + 1) * piece].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([bits[k * piece : (k + 1) * piece].tobytes() for k in some], pa.binary())], names=["piece", "bits"])
 
@@ -307,14 +316,14 @@ def link_names(names: DataFrame, registry: DataFrame, counts=None) -> DataFrame:
     # Rarity: a form of several persons tells nothing, but for typing errors, where the exact check tells persons apart.
     per_form = theirs.groupBy("form").agg(F.min("author_id").alias("a"), F.max("author_id").alias("b"), F.approx_count_distinct("author_id").alias("about"))
     per_form = per_form.select("form", F.when(F.col("a") == F.col("b"), 1).otherwise(F.greatest("about", F.lit(2))).alias("df"))
-    theirs = theirs.join(per_form, "form").filter((F.col("df") == 1) | (F.col("r.how") == _TYPO)).select("form", "df", "author_id", F.col("r.cost").alias("cost"), F.col("check").alias("their_check"))
+    theirs = theirs.join(per_form.hint("merge"), "form").filter((F.col("df") == 1) | (F.col("r.how") == _TYPO)).select("form", "df", "author_id", F.col("r.cost").alias("cost"), F.col("check").alias("their_check"))
     theirs = reliable(theirs)  # read for the bitmap and both joins
     bitmap = _bitmap(theirs)
     typed = reliable(names.select("name").filter(F.trim("name") != "").distinct())
     plainly = reliable(_scored(_write_forms(typed.select("name", F.col("name").alias("n")), False, counts, bitmap, dropped=False), theirs, persons))
     # what a typing error can score at most, and still be told apart from
     settled = plainly.groupBy("name").agg(F.max("score").alias("best")).filter(F.col("best") >= math.log(persons) - COST["typo"] + MARGIN)
-    left = typed.join(settled.select("name"), "name", "left_anti").repartition(spread)
+    left = typed.join(settled.select("name").hint("merge"), "name", "left_anti").repartition(spread)
     mistyped = _scored(_write_forms(left.select("name", F.col("name").alias("n")), False, counts, bitmap, dropped=True), theirs, persons)
     best = plainly.unionByName(mistyped).groupBy("name", "author_id").agg(F.max("score").alias("score"))
     top = best.groupBy("name").agg(F.max(F.struct("score", "author_id")).alias("top"), F.sort_array(F.collect_list("score"), False).alias("scores"))
@@ -322,12 +331,9 @@ def link_names(names: DataFrame, registry: DataFrame, counts=None) -> DataFrame:
     return top.filter(clear).select("name", "top.author_id", "top.score")
 
 
-_TYPO = HOWS.index("typo")
-
-
 def _scored(ours: DataFrame, theirs: DataFrame, persons: int) -> DataFrame:
     """``name, author_id, score`` of names and persons that share a form, typing errors checked exactly."""
-    met = ours.join(theirs, "form")
+    met = ours.join(theirs.hint("merge"), "form")
     # a dropped letter on either side is a typing error only within one edit, checked on the whole
     typo, far = F.col("how") == _TYPO, F.levenshtein("check", "their_check", 2)
     right = F.when(~typo, True).when(far.isin(0, 1), True).when((far == 2) & (F.length("check") == F.length("their_check")), _is_swap(F.col("check"), F.col("their_check"))).otherwise(False)
