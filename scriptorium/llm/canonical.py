@@ -2,8 +2,9 @@
 
 Plan: values are made distinct first, so that each is matched once however often it occurs. What people add behind the
 entries of the list (the name of the house, say) is learnt from the values: tails that follow many different entries. An
-Arrow pass retrieves candidates from an inverted index of character trigrams over the reference list (every entry that
-shares one), scores them by weighted cosine, and accepts above a threshold and a margin, with an exact word-by-word check.
+Arrow pass retrieves candidates from an inverted index: the words of the list that share a character trigram with a word,
+and from them the entries that have such words in their places, or a part of the whole; no candidate that could pass is
+left out. They are scored by weighted cosine and accepted above a threshold and a margin, with an exact word-by-word check.
 The result is joined back on the value; a hot value is one row on the matched side, and adaptive execution splits it on
 the other.
 """
@@ -75,11 +76,18 @@ def words(text: str) -> list[str]:
 
 
 class Variant(NamedTuple):
-    """One way to write an entry."""
+    """One way to write an entry. ``parts`` divide it so that one of them outlasts any two edits."""
 
     ref_id: int
     full: str
     words: tuple[str, ...]
+    parts: tuple[str, ...]
+
+
+def divided(text: str, most: int) -> tuple[str, ...]:
+    """``text`` in so many equal parts that ``most`` edits, each of which touches two at most, leave one as it is."""
+    n = 2 * most + 1
+    return tuple(text[len(text) * k // n : len(text) * (k + 1) // n] for k in range(n))
 
 
 def near(a: str, b: str, most: int) -> bool:
@@ -88,6 +96,18 @@ def near(a: str, b: str, most: int) -> bool:
         return False
     if a == b:
         return True
+    n, i, j = min(len(a), len(b)), 0, 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]  # what differs
+    if max(len(a), len(b)) <= most:
+        return True
+    if most < 2:
+        return most == 1 and len(a) == len(b) == 2 and a == b[::-1]
+    if len(set(a) ^ set(b)) > 2 * most:  # an edit brings one character and takes one
+        return False
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
@@ -102,6 +122,11 @@ def near(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
+def word_fits(a: str, b: str) -> bool:
+    """Whether a word equals or abbreviates one of the list, or is a typing error away from it."""
+    return b.startswith(a) or len(b) > 3 and near(a, b, 1 if len(b) < 9 else 2)
+
+
 def grams(tokens: tuple[str, ...] | list[str]) -> list[str]:
     """Character trigrams of words, the beginnings of words marked."""
     out = []
@@ -128,15 +153,50 @@ class Matcher:
                 full = stripped(name)  # an entry is written as it is meant
                 tokens = tuple(w for w in words(full) if w not in STOP)
                 for t in {tokens, tokens[1:] if drop_heads and tokens[0] in HEADS and len(tokens) > 1 else tokens}:
-                    seen.setdefault((ref_id, t), Variant(ref_id, full if t == tokens else " ".join(t), t))
+                    whole = full if t == tokens else " ".join(t)
+                    seen.setdefault((ref_id, t), Variant(ref_id, whole, t, divided(whole, 2)))
         self.variants = list(seen.values())
-        self.postings: dict[str, list[int]] = defaultdict(list)
+        self.words_with: dict[str, set[str]] = defaultdict(set)  # trigram to words of the list
+        self.at: dict[tuple[int, int, str], set[int]] = defaultdict(set)  # number of words, place and word to variants
+        self.pieces: dict[tuple[int, int, str], set[int]] = defaultdict(set)  # length, place and part to variants
+        counts: Counter[str] = Counter()
         for k, v in enumerate(self.variants):
-            for g in set(grams(v.words)):
-                self.postings[g].append(k)
+            counts.update(set(grams(v.words)))
+            for i, w in enumerate(v.words):
+                self.at[len(v.words), i, w].add(k)
+                for g in grams([w]):
+                    self.words_with[g].add(w)
+            for i, part in enumerate(v.parts):
+                self.pieces[len(v.full), i, part].add(k)
         n = len(self.variants)
-        self.weight = {g: math.log(1 + n / len(p)) for g, p in self.postings.items()}
+        self.weight = {g: math.log(1 + n / c) for g, c in counts.items()}
         self.unseen = math.log(1 + n)
+        self._alike: dict[str, frozenset[str]] = {}
+
+    def alike(self, word: str) -> frozenset[str]:
+        """Words of the list that ``word`` equals, abbreviates or nearly equals, found through their trigrams."""
+        if (known := self._alike.get(word)) is None:
+            if len(self._alike) > 200_000:
+                self._alike.clear()
+            met = set().union(*(self.words_with.get(g, ()) for g in set(grams([word]))))
+            known = self._alike[word] = frozenset(b for b in met if word_fits(word, b))
+        return known
+
+    def candidates(self, full: str, tokens: tuple[str, ...]) -> set[int]:
+        """Variants whose every word is met by the word in its place, or that share a part with the whole at about its place."""
+        found: set[int] | None = None
+        for i, word in enumerate(tokens):
+            here = set().union(*(self.at.get((len(tokens), i, b), ()) for b in self.alike(word)))
+            found = here if found is None else found & here
+            if not found:
+                break
+        found = found or set()
+        for length in range(max(8, len(full) - 2), len(full) + 3):
+            for i in range(5):
+                start, end = length * i // 5, length * (i + 1) // 5
+                for shift in range(max(-2, -start), 3):
+                    found = found | self.pieces.get((length, i, full[start + shift : end + shift]), set())
+        return found
 
     def cosine(self, a: list[str] | tuple[str, ...], b: list[str] | tuple[str, ...]) -> float:
         """Weighted cosine of trigrams; a word of b that a abbreviates counts as abbreviated likewise."""
@@ -150,9 +210,9 @@ class Matcher:
 
     def fits(self, full: str, tokens: list[str], v: Variant) -> bool:
         """Exact check: every word equals, abbreviates or nearly equals its partner, or the whole is within two edits."""
-        if len(tokens) == len(v.words) and all(b.startswith(a) or near(a, b, 1 if len(b) < 9 else 2) and len(b) > 3 for a, b in zip(tokens, v.words)):
+        if len(tokens) == len(v.words) and all(map(word_fits, tokens, v.words)):
             return True
-        return len(v.full) > 7 and near(full, v.full, 2)
+        return len(v.full) > 7 and abs(len(full) - len(v.full)) <= 2 and any(part in full for part in v.parts) and near(full, v.full, 2)
 
     def match(self, value: str) -> tuple[int, float]:
         """(entry, score); entry 0 if none is close enough or two are equally close."""
@@ -166,9 +226,9 @@ class Matcher:
         for tokens in readings:
             if not tokens:
                 continue
-            for k in sorted({k for g in set(grams(tokens)) for k in self.postings.get(g, ())}):
+            for k in sorted(self.candidates(full, tokens)):
                 v = self.variants[k]
-                if len(tokens) != len(v.words) and abs(len(full) - len(v.full)) > 2 or not self.fits(full, list(tokens), v):
+                if not self.fits(full, list(tokens), v):
                     continue
                 if "the" in every and v.words[0] != "the":  # an article, unless the other words are cut short too
                     cut = len(tokens) == len(v.words) and any(a != b and b.startswith(a) and a != "the" for a, b in zip(tokens, v.words))

@@ -51,6 +51,39 @@ def test_every_candidate_is_looked_at():
     assert m.match("Anals of Polymers")[0] == 99 and m.match("Annals of Polymer")[0] == 99
 
 
+def brute_near(a, b):
+    """Edits between two words, swaps of neighbours count once."""
+    d = {(i, j): i or j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="abc", max_size=9), st.text(alphabet="abc", max_size=9))
+def test_near_against_brute_force(a, b):
+    assert [C.near(a, b, most) for most in (1, 2)] == [brute_near(a, b) <= most for most in (1, 2)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_no_candidate_that_fits_is_left_out(data):
+    names = [f"{a} {b} of {c}" for a in ("annals", "journal") for b in ("applied polymers", "rubber", "signal filtering") for c in ("letters", "europe")]
+    m = C.Matcher([(i, [n], None) for i, n in enumerate(names)], False)
+    text = list(data.draw(st.sampled_from(names)))
+    for _ in range(data.draw(st.integers(0, 3))):
+        i = data.draw(st.integers(0, len(text) - 1))
+        text[i : i + data.draw(st.integers(0, 1))] = data.draw(st.sampled_from(["", "x", "a", "r"]))
+        text = text or ["a"]
+    full = C.stripped("".join(text))
+    tokens = tuple(w for w in C.words(full) if w not in C.STOP)
+    if tokens:
+        assert {k for k, v in enumerate(m.variants) if m.fits(full, list(tokens), v)} <= m.candidates(full, tokens)
+
+
 def test_additions_are_learnt_from_the_values(spark):
     ref = spark.createDataFrame([(i, "faculty", f"Faculty of {x}", None, None, 9) for i, x in enumerate(("Arts", "Law", "Economics", "Chemistry"), 1)], "ref_id int, kind string, canonical_name string, alt_name string, short_code string, value int")
     house = ", Elbonian State College"
