@@ -127,6 +127,83 @@ def match_names(candidates: DataFrame, registry: DataFrame, settings: Settings =
     return out.withColumn("matched", accepted)
 
 
+def identity(author_id: Column, name: Column) -> Column:
+    """What tells persons apart: ``id:`` with the number, else ``name:`` with the normalised name."""
+    return F.when(author_id.isNotNull(), F.concat(F.lit("id:"), author_id.cast("string"))).otherwise(F.concat(F.lit("name:"), X.normalise(name)))
+
+
+def with_surnames(registry: DataFrame) -> DataFrame:
+    """``registry`` with missing surnames and given names taken from the first display name, divided at its comma."""
+    shown = F.split(F.col("display_name"), r"\|\|")[0]
+    left, right = X.utrim(F.substring_index(shown, ",", 1)), X.utrim(F.regexp_extract(shown, r"(?s)^[^,]*,(.*)$", 1))
+    bare = F.coalesce(X.utrim(F.col("surname")), F.lit("")) == ""
+    split = bare & F.coalesce(shown.contains(","), F.lit(False))
+    return registry.withColumns({"surname": F.when(split, left).otherwise(F.col("surname")), "given_name": F.when(split, F.nullif(right, F.lit(""))).otherwise(F.col("given_name"))})
+
+
+def ambiguous_names(records: DataFrame, matches: DataFrame, registry: DataFrame, n: int = 5) -> DataFrame:
+    """``resource_id, pos, name, match_type, candidates``: names of a record that several persons could be, with them.
+
+    Candidates are the persons of the registry that share a signature's surname, the ``n`` smallest numbers of them (a
+    report for a person or a completer to choose from).
+    """
+    names = records.select("resource_id", F.posexplode("dc_contributor_author").alias("pos", "name"))
+    open_ = names.join(matches.filter(F.col("match_type").isin("ambiguous_initials", "ambiguous_surname")).select("name", "match_type"), "name")
+    theirs = registry_forms(registry).select("author_id", F.explode(signatures(F.col("name"))).alias("s")).select("author_id", "s.surname").distinct()
+    first = theirs.withColumn("k", F.row_number().over(Window.partitionBy("surname").orderBy("author_id"))).filter(F.col("k") <= n).drop("k")
+    mine = open_.select("name").distinct().select("name", F.explode(signatures(F.col("name"))).alias("s")).select("name", "s.surname").distinct()
+    meant = mine.join(first, "surname").groupBy("name").agg(F.slice(F.array_sort(F.collect_set("author_id")), 1, n).alias("candidates"))
+    return open_.join(meant, "name").select("resource_id", "pos", "name", "match_type", "candidates")
+
+
+def english_names(units: DataFrame, translations: DataFrame) -> DataFrame:
+    """``id, name``: the English name of each unit, else what its Czech name is translated to, else null.
+
+    ``units``: ``id, name_en, name_cs``; ``translations``: ``czech, english``, compared in normal form. Names that begin
+    with ``EN_`` stand for none.
+    """
+    good = (X.utrim(F.col("name_en")) != "") & ~F.col("name_en").startswith("EN_")
+    known = translations.select(X.normalise(F.col("czech")).alias("key"), "english").groupBy("key").agg(F.min("english").alias("english"))
+    rows = units.select("id", F.when(good, X.utrim(F.col("name_en"))).alias("name"), X.normalise(F.col("name_cs")).alias("key"))
+    return rows.join(known, "key", "left").select("id", F.coalesce("name", "english").alias("name"))
+
+
+def person_data(registry: DataFrame, units: DataFrame, translations: DataFrame) -> DataFrame:
+    """``author_id, faculties, ou`` from the workplaces of a person: faculties translated and in order, the longest real unit.
+
+    ``units``: ``id, name, parent_id``; a unit without a parent is a faculty or the house itself, one with a parent is real.
+    A faculty field may hold several, divided by ``||``; what is no name of a unit without a parent is left out.
+    """
+    tops = units.filter("parent_id is null").select(X.normalise(F.col("name")).alias("key"), F.col("name").alias("faculty"))
+    czech = translations.select(X.normalise(F.col("czech")).alias("key"), F.col("english").alias("faculty")).join(tops.select("faculty"), "faculty", "left_semi").select("key", "faculty")
+    names = tops.unionByName(czech).groupBy("key").agg(F.min("faculty").alias("faculty"))
+    told = registry.select("author_id", F.explode(X.split_display(F.col("faculty"))).alias("x")).select("author_id", X.normalise(F.col("x")).alias("key"))
+    by = told.join(names, "key").groupBy("author_id").agg(F.array_sort(F.collect_set("faculty")).alias("faculties"))
+    real = registry.select("author_id", F.col("organization_id").alias("id")).join(units.filter("parent_id is not null").select("id", "name"), "id")
+    longest = real.groupBy("author_id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("ou"))
+    every = registry.select("author_id").distinct()
+    return every.join(by, "author_id", "left").join(longest, "author_id", "left").select("author_id", F.coalesce("faculties", F.array().cast("array<string>")).alias("faculties"), "ou")
+
+
+def author_records(records: DataFrame, people: DataFrame, attributions: DataFrame, ambiguous: DataFrame, warnings: DataFrame) -> DataFrame:
+    """``resource_id, names, faculties, ous, flags, needs_llm, status``: what the author stage says of every record.
+
+    ``flags`` is JSON: names that several persons could be, persons whose found faculty isn't their usual one, those
+    without any, whether the WoS texts could be read, and the ``duplicates`` that the record's own flags already had. A
+    record needs a completer if a WoS text has no block, a name is ambiguous or a person has no workplace.
+    ``warnings``: ``resource_id, ok`` of WoS texts.
+    """
+    person = F.struct("author_id", "faculty")
+    told = attributions.groupBy("resource_id").agg(F.array_sort(F.collect_list(F.when(F.col("conflict"), person))).alias("conflicts"), F.array_sort(F.collect_list(F.when(F.col("method") == "unresolved", F.col("author_id")))).alias("unresolved"))
+    open_ = ambiguous.groupBy("resource_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("ambiguous"))
+    rows = author_payload(records, people, attributions).join(told, "resource_id", "left").join(open_, "resource_id", "left").join(warnings.select("resource_id", F.col("ok").alias("wos_ok")), "resource_id", "left")
+    rows = rows.join(records.select("resource_id", F.get_json_object("author_flags", "$.duplicates").alias("duplicates")), "resource_id", "left")
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    needs = ~F.coalesce("wos_ok", F.lit(True)) | some("ambiguous") | some("unresolved")
+    flags = F.to_json(F.struct(F.nullif("ambiguous", F.array().cast("array<string>")).alias("ambiguous"), F.when(some("conflicts"), F.col("conflicts")).alias("conflicts"), F.when(some("unresolved"), F.col("unresolved")).alias("unresolved"), F.coalesce("wos_ok", F.lit(True)).alias("wos_ok"), "duplicates"))
+    return rows.select("resource_id", "names", "faculties", "ous", flags.alias("flags"), needs.alias("needs_llm"), F.lit("processed").alias("status"))
+
+
 def resolve_authors(records: DataFrame, matches: DataFrame) -> DataFrame:
     """``resource_id, author_id, name, pos``: each matched person of a record once, under the first name that matches."""
     names = records.select("resource_id", F.posexplode("dc_contributor_author").alias("pos", "name"))
@@ -211,18 +288,22 @@ def source_lists(records: DataFrame, history: DataFrame | None = None) -> DataFr
     alone = current.join(known, "resource_id", "left_anti").filter(F.col("w") != F.col("s"))
     tagged = past.unionByName(alone)
     wos, scopus = tagged.filter("w").select("resource_id", F.lit("wos").alias("source"), "pos", "name"), tagged.filter("s").select("resource_id", F.lit("scopus").alias("source"), "pos", "name")
-    step = F.when(F.col("source") == "wos", 0).otherwise(100_000)
-    repo = wos.unionByName(scopus).select("resource_id", (F.col("pos") + step).alias("pos"), "name").unionByName(current.select("resource_id", (F.col("pos") + 200_000).alias("pos"), "name"))
+    step = F.when(F.col("source") == "wos", 0).otherwise(1_000_000_000)
+    repo = wos.unionByName(scopus).select("resource_id", (F.col("pos") + step).alias("pos"), "name").unionByName(current.select("resource_id", (F.col("pos") + 2_000_000_000).alias("pos"), "name"))
     return wos.unionByName(scopus).unionByName(repo.select("resource_id", F.lit("repo").alias("source"), "pos", "name"))
 
 
+#: Room for the positions of one source in a merged order.
+_SHELF = 10**15
+
+
 def author_inputs(records: DataFrame, blocks: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """``resource_id, names``: one list of authors from repository, WoS, Scopus, and both kinds of affiliation blocks, in this order."""
     lists = source_lists(records, history)
     order = F.when(F.col("source") == "repo", 0).when(F.col("source") == "wos", 1).otherwise(2)
-    rows = lists.select("resource_id", (order * 1_000_000 + F.col("pos")).alias("pos"), "name")
+    rows = lists.select("resource_id", (order * _SHELF + F.col("pos")).alias("pos"), "name")
     place = F.when(F.col("source") == "scopus", 3).otherwise(4)
-    named = blocks.filter("author is not null").select("resource_id", (place * 1_000_000 + F.col("pos")).alias("pos"), F.col("author").alias("name"))
+    named = blocks.filter("author is not null").select("resource_id", (place * _SHELF + F.col("pos")).alias("pos"), F.col("author").alias("name"))
     return merge_names(rows.unionByName(named))
 
 

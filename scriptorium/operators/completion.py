@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.functions.fulltext_dates import MILESTONES
 from scriptorium.functions.similarity import jaro_winkler
-from scriptorium.sources.providers import Completer, with_retries
+from scriptorium.sources.providers import Completer, calls_at_once, with_retries
 
 FIRST_YEAR, LAST_YEAR = 1990, 2035
 
@@ -75,7 +75,7 @@ def date_prompt(rows: DataFrame, text: str = "raw") -> DataFrame:
     return rows.withColumn("prompt", F.concat_ws("\n", F.lit(head), F.concat(F.lit("Record "), F.col("resource_id").cast("string")), F.col(text)))
 
 
-def complete_dates(rows: DataFrame, completer: Completer, *, partitions: int = 1, retries: int = 1) -> DataFrame:
+def complete_dates(rows: DataFrame, completer: Completer, *, partitions: int | None = None, retries: int = 1) -> DataFrame:
     """``resource_id, status, <milestones>, error`` of rows with a ``prompt`` and ``raw``; a breach of the contract isn't tried again."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def complete_dates(rows: DataFrame, completer: Completer, *, partitions: int = 1
             yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("resource_id", pa.int64()), ("status", pa.string()), *[(m, pa.string()) for m in MILESTONES], ("error", pa.string())]))
 
     ddl = "resource_id bigint, status string, " + ", ".join(f"{m} string" for m in MILESTONES) + ", error string"
-    return rows.select(F.col("resource_id").cast("bigint"), "prompt", "raw").coalesce(partitions).mapInArrow(ask, ddl)
+    return rows.select(F.col("resource_id").cast("bigint"), "prompt", "raw").repartition(calls_at_once(rows, partitions)).mapInArrow(ask, ddl)
 
 
 def author_prompt(rows: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def author_prompt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("prompt", F.concat_ws("\n", F.lit(head), F.concat(F.lit("Record "), F.col("resource_id").cast("string")), line("Authors: ", "names"), line("Affiliations: ", "affiliations"), line("Candidates: ", "candidates")))
 
 
-def complete_authors(rows: DataFrame, completer: Completer, faculties: dict[str, str], units: list[str], *, partitions: int = 1, retries: int = 1) -> DataFrame:
+def complete_authors(rows: DataFrame, completer: Completer, faculties: dict[str, str], units: list[str], *, partitions: int | None = None, retries: int = 1) -> DataFrame:
     """``resource_id, status, names, faculties, ous, error`` (aligned arrays) of rows with a ``prompt`` and ``candidates``."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ def complete_authors(rows: DataFrame, completer: Completer, faculties: dict[str,
             yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("resource_id", pa.int64()), ("status", pa.string()), ("names", listed), ("faculties", listed), ("ous", listed), ("error", pa.string())]))
 
     ddl = "resource_id bigint, status string, names array<string>, faculties array<string>, ous array<string>, error string"
-    return rows.select(F.col("resource_id").cast("bigint"), "prompt", "candidates").coalesce(partitions).mapInArrow(ask, ddl)
+    return rows.select(F.col("resource_id").cast("bigint"), "prompt", "candidates").repartition(calls_at_once(rows, partitions)).mapInArrow(ask, ddl)
 
 
 def lay_over(heuristic: DataFrame, completed: DataFrame) -> DataFrame:

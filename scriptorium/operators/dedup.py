@@ -176,23 +176,34 @@ def plan_merges(actions: DataFrame) -> DataFrame:
     return rows.groupBy("component").applyInArrow(fold, "seq bigint, kept_id bigint, deleted_id bigint, component bigint")
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """``node, component`` (smallest node) by hooking and shortcutting; each round is two joins and a reliable checkpoint."""
-    pairs = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).filter("u is not null and v is not null")
-    both = reliable(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    label = reliable(nodes.select("node", F.col("node").alias("label")))
+MAX_ROUNDS = 60
+
+
+def components(edges: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """``node, component`` (smallest node) of the undirected ``edges``.
+
+    Each round links the neighbours above a node to the least one it knows, then halves the way of every node to its
+    least; chains shrink by half, so rounds are about the logarithm of the longest. An error if ``max_rounds`` don't do.
+    """
+    raw = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).filter("u is not null and v is not null")
+    nodes = raw.select(F.col("u").alias("node")).unionByName(raw.select(F.col("v").alias("node"))).distinct()
+    links = reliable(raw.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
-        least = both.join(label, both["v"] == label["node"]).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
-        hooked = label.join(least, "node", "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        label = reliable(hooked.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label")))
-        now = label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        upward = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        below = upward.groupBy("u").agg(F.min("v").alias("m"))
+        moved = upward.join(below, "u")
+        links = reliable(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    return label.withColumnRenamed("label", "component")
+    else:
+        raise RuntimeError(f"components haven't settled after {max_rounds} rounds")
+    found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def merge_records(records: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,8 @@ MAX_NODES = 20_000
 def closure(nodes: DataFrame, *, node: str = "id", parent: str = "parent_id", max_depth: int = MAX_DEPTH) -> DataFrame:
     """``node, ancestor, depth`` of every node and every ancestor, itself at depth 0; a cycle is followed once.
 
-    Doubles the known paths in each round, so a tree of depth d takes log2(d) joins.
+    Doubles the known paths in each round, so a tree of depth d takes log2(d) joins. A tree deeper than ``max_depth`` is an
+    error.
     """
     base = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")).filter("node is not null").distinct()
     paths = base.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
@@ -26,7 +27,7 @@ def closure(nodes: DataFrame, *, node: str = "id", parent: str = "parent_id", ma
     known = base.select(F.col("node").alias("ancestor"))
     paths = paths.unionByName(step.join(known, "ancestor").select("node", "ancestor", "depth"))
     reach, before = 1, -1
-    while reach < max_depth:
+    while reach < 4 * max_depth:  # one more round shows that nothing is left
         left, right = paths.alias("l"), paths.alias("r")
         longer = left.join(right, F.col("l.ancestor") == F.col("r.node")).select("l.node", "r.ancestor", (F.col("l.depth") + F.col("r.depth")).alias("depth"))
         paths = reliable(longer.groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
@@ -35,6 +36,8 @@ def closure(nodes: DataFrame, *, node: str = "id", parent: str = "parent_id", ma
         if now == before:
             break
         before = now
+    else:
+        raise ValueError(f"the tree is deeper than {max_depth}")
     return paths
 
 

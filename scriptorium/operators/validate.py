@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from scriptorium.functions import text as X
 
 TEXT_FIELDS = ("dc_title", "dc_description_abstract", "dc_contributor_author", "utb_wos_affiliation", "utb_scopus_affiliation", "dc_publisher", "dc_relation_ispartof")
+URL_FIELDS = ("dc_identifier_uri",)
 PIPE_FIELDS = ("utb_wos_affiliation", "utb_scopus_affiliation")
 
 #: Rule on one text to the test of a text.
@@ -66,19 +67,29 @@ def suggested_fixes(records: DataFrame, *, text_fields: tuple[str, ...] = TEXT_F
     doi = F.transform("dc_identifier_doi", X.clean_doi)
     mended = F.exists(F.arrays_zip(F.col("dc_identifier_doi").alias("a"), doi.alias("b")), lambda p: ~X.is_doi(p["a"]) & p["b"].rlike(X.DOI_FORM))
     rows.append(F.struct(F.lit("dc_identifier_doi").alias("field_name"), F.col("dc_identifier_doi").alias("original"), F.when(mended, doi).otherwise(F.col("dc_identifier_doi")).alias("suggested"), F.lit("doi").alias("fix_type")))
+    for f in (f for f in URL_FIELDS if f in records.columns):  # a fix without an issue
+        rows.append(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("original"), F.transform(F.col(f), X.clean_url).alias("suggested"), F.lit("url_query").alias("fix_type")))
     flat = records.select("resource_id", F.inline(F.array(*rows)))
     return flat.filter(F.col("original").isNotNull() & (F.col("original") != F.col("suggested")))
 
 
 def apply_fixes(records: DataFrame, fixes: DataFrame) -> DataFrame:
     """New version of ``records`` with the suggested values of ``fixes``."""
-    fields = [f for f in (*TEXT_FIELDS, "dc_identifier_doi") if f in records.columns]
+    fields = [f for f in (*TEXT_FIELDS, "dc_identifier_doi", *URL_FIELDS) if f in records.columns]
     by = fixes.groupBy("resource_id").pivot("field_name", fields).agg(F.first("suggested"))
     by = by.select("resource_id", *[F.col(f).alias(f"__{f}") for f in fields])
     out = records.join(by, "resource_id", "left")
     return out.withColumns({f: F.coalesce(F.col(f"__{f}"), F.col(f)) for f in fields}).select(*records.columns)
 
 
+def after_fixes(issues: DataFrame, fixes: DataFrame) -> DataFrame:
+    """``issues`` with status ``not_checked`` and no issues for the records that ``fixes`` changed: they are to be looked at again."""
+    mark = fixes.select("resource_id").distinct().withColumn("__f", F.lit(True))
+    rows = issues.join(mark, "resource_id", "left")
+    fixed = F.coalesce("__f", F.lit(False))
+    return rows.select("resource_id", F.when(~fixed, F.col("issues")).alias("issues"), F.when(fixed, "not_checked").otherwise(F.col("status")).alias("status"))
+
+
 def missing_ids(records: DataFrame, known: DataFrame, *, column: str = "utb_identifier_obdid", key: str = "id") -> DataFrame:
     """``resource_id, missing``: identifiers of a record that ``known`` hasn't, sorted."""
     ids = records.select("resource_id", F.explode(column).alias("x")).filter(F.trim("x") != "")

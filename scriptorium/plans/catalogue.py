@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scriptorium.functions import text as X
 from scriptorium.functions.similarity import jaro_winkler_udf
 from scriptorium.operators import affiliations, authors, crossref, dates, dedup, journals, packed, review, timestamps, tree, validate
-from scriptorium.plans import oracles
+from scriptorium.plans import catalogue_stages, oracles, oracles_stages
 from scriptorium.sources import snapshots
 from scriptorium.sources.tables import table
 
@@ -166,9 +166,9 @@ def queries() -> dict[str, Query]:
         "crossref_fields": _works,
         "queue_missing": lambda s, d: snapshots.missing_rows(_records(s, d), table(s, d, "documents").filter("resource_id is not null"), {"validation_status": "not_checked"}),
         "json_props": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("total")),
-    }
+    } | catalogue_stages.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return oracles.sql()
+    return oracles.sql() | oracles_stages.sql()

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 class Lookup(Protocol):
@@ -32,31 +32,46 @@ def retry_delay(attempt: int, status: int | None, headers: dict[str, str] | None
     return max(10.0, base * 2**attempt) if status == 429 else base * (attempt + 1)
 
 
+class ProviderError(OSError):
+    """A refusal of a provider, with the status and headers that say how long to wait."""
+
+    def __init__(self, message: str, status: int | None = None, headers: dict[str, str] | None = None) -> None:
+        super().__init__(message)
+        self.status, self.headers = status, headers
+
+
 def with_retries(call: Callable[[], str], retries: int = 3, base: float = 1.5, sleep: Callable[[float], None] | None = None) -> str:
-    """Result of ``call``, tried again after transient errors (``OSError``); others pass at once."""
+    """Result of ``call``, tried again after transient errors (``OSError``), others pass at once; a refusal says how long to wait."""
     import time
 
     for attempt in range(retries + 1):
         try:
             return call()
-        except OSError:
+        except OSError as e:
             if attempt == retries:
                 raise
-            (sleep or time.sleep)(retry_delay(attempt, None, base=base))
+            (sleep or time.sleep)(retry_delay(attempt, getattr(e, "status", None), getattr(e, "headers", None), base=base))
     raise AssertionError
 
 
-def static_lookup(spark: SparkSession, answers: dict[str, tuple[str | None, str | None]], tier: int = 0) -> DataFrame:
+def calls_at_once(rows: DataFrame, partitions: int | None) -> int:
+    """How many tasks ask a provider at one time: what is given, else the session's shuffle partitions. A provider limits its own calls."""
+    return partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def static_lookup(spark: SparkSession, answers: dict[str, tuple[str | None, str | None]], provider: str = "crossref") -> DataFrame:
     """Offline provider: a table of answers."""
-    return spark.createDataFrame([(k.lower(), tier, p, j) for k, (p, j) in answers.items()], "key string, tier int, publisher string, journal string")
+    return spark.createDataFrame([(provider, k.lower(), p, j) for k, (p, j) in answers.items()], "provider string, key string, publisher string, journal string")
 
 
-def ask_lookup(keys: DataFrame, lookup: Lookup, tier: int = 0, partitions: int = 1) -> DataFrame:
-    """``key, tier, publisher, journal`` of distinct ``keys`` through a provider; ``partitions`` bounds the calls at one time."""
+def ask_lookup(keys: DataFrame, lookup: Lookup, provider: str, partitions: int | None = None) -> DataFrame:
+    """``provider, key, publisher, journal`` of distinct ``keys`` of one provider; ``partitions`` bounds the calls at one time."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, *answer) for k in b.column(0).to_pylist() if (answer := lookup(k))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([tier] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["key", "tier", "publisher", "journal"])
+            rows = [(k, *answer) for k in b.column(0).to_pylist() if (answer := with_retries(lambda k=k: lookup(k)))]
+            columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([provider] * len(rows), pa.string()), *columns], names=["provider", "key", "publisher", "journal"])
 
-    return keys.select("key").distinct().coalesce(partitions).mapInArrow(ask, "key string, tier int, publisher string, journal string")
+    mine = keys.filter(F.col("provider") == provider) if "provider" in keys.columns else keys
+    return mine.select("key").distinct().repartition(calls_at_once(keys, partitions)).mapInArrow(ask, "provider string, key string, publisher string, journal string")

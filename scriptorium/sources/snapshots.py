@@ -18,6 +18,42 @@ def missing_rows(main: DataFrame, queue: DataFrame, defaults: dict[str, object],
     return main.select(key).distinct().join(queue.select(key).distinct(), key, "left_anti").withColumns({k: F.lit(v) for k, v in defaults.items()})
 
 
+def due(records: DataFrame, queue: DataFrame, column: str, statuses: list[str], *, limit: int | None = None, again: bool = False, key: str = "resource_id") -> DataFrame:
+    """Records whose ``column`` of the queue is one of ``statuses``, all of the queue if ``again``; at most ``limit`` in order of the key.
+
+    Each record is due once; records that the queue hasn't are not.
+    """
+    chosen = queue if again else queue.filter(F.col(column).isin(statuses))
+    rows = records.join(chosen.select(key).distinct(), key, "left_semi")
+    return rows.orderBy(key).limit(limit) if limit else rows
+
+
+def fetch(records: DataFrame, ids: DataFrame, key: str = "resource_id") -> DataFrame:
+    """Records of a batch of ids, each once."""
+    return records.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def page(rows: DataFrame, limit: int, key: str = "resource_id", most: int = 500) -> DataFrame:
+    """First rows by key; a page has 1 to ``most`` rows, whatever is asked for."""
+    return rows.orderBy(key).limit(max(1, min(limit, most)))
+
+
+def valid_units(units: DataFrame, on: str, column: str = "valid_to") -> DataFrame:
+    """Units that are valid on a day: without an end or with a later one."""
+    return units.filter(F.col(column).isNull() | (F.col(column) > F.lit(on).cast("date")))
+
+
+# What the history says of a merge besides the record itself.
+AUDIT_COLUMNS = {
+    "dedup_merged_at": "timestamp", "dedup_match_type": "string", "dedup_match_score": "double", "dedup_match_details": "string", "dedup_kept_resource_id": "bigint", "dedup_other_resource_id": "bigint",
+}
+
+
+def with_audit(history: DataFrame) -> DataFrame:
+    """``history`` with all audit columns, null where a merge left none."""
+    return history.withColumns({c: F.col(c).cast(t) if c in history.columns else F.lit(None).cast(t) for c, t in AUDIT_COLUMNS.items()})
+
+
 def orphans(main: DataFrame, queue: DataFrame, key: str = "resource_id") -> DataFrame:
     """Queue rows without a record."""
     return queue.join(main.select(key), key, "left_anti")
