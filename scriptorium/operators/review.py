@@ -83,11 +83,11 @@ def _plain(query: str) -> str:
 
 
 def ordered(rows: DataFrame, sort: str = "id", group_key: str | None = None) -> DataFrame:
-    """Rows in one of the list orders, nulls last; with ``group_key`` members of a group stand together first."""
+    """Rows in one of the list orders, nulls last, ties by id; with ``group_key`` members of a group stand together first."""
     keys = [F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in SORTS[sort]]
     if group_key:
         keys = [F.coalesce(group_key, F.concat(F.lit("~"), F.col("resource_id").cast("string"))), *keys]
-    return rows.orderBy(*keys)
+    return rows.orderBy(*keys, F.asc_nulls_last("resource_id"))
 
 
 def pending_changes(events: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.operators import affiliations, authors
+from scriptorium.operators import affiliations, authors, dedup
 from scriptorium.plans.lineage import reliable
+from scriptorium.sources import snapshots
 from scriptorium.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +65,18 @@ def _english_units(s: SparkSession, d: str) -> DataFrame:
     return authors.english_names(units.select(F.col("ref_id").alias("id"), written.alias("name_en"), F.col("alt_name").alias("name_cs")), _translations(s, d))
 
 
+def _history(s: SparkSession, d: str) -> DataFrame:
+    records = _records(s, d)
+    links = dedup.survivor(dedup.content_links(records), records)
+    plan = dedup.plan_merges(links.select(F.struct("id_a", "id_b", "match_type").alias("seq"), "kept_id", "deleted_id"))
+    past = snapshots.with_audit(dedup.merge_records(records, plan)[1])
+    return past.groupBy("resource_id", "dedup_kept_resource_id", "dedup_other_resource_id").agg(F.count("*").alias("copies"))
+
+
 def queries() -> dict[str, Query]:
     """Query name to a function of session and folder."""
     return {
+        "dedup_history": _history,
         "preferred_names": _preferred,
         "ambiguous_authors": _ambiguous,
         "author_records": _author_records,

@@ -80,6 +80,16 @@ _COMPARABLE = f"""
     coalesce({_trim("utb_relation_volume")} <> '', false) or coalesce({_trim("utb_relation_issue")} <> '', false) as pages
   from {_M}"""
 
+# The engine compares bytes: characters beyond ASCII are first replaced, the same in both texts, by single-byte ones.
+_ALPHABET = "".join(chr(c) for c in range(48, 123) if chr(c) not in "'\\\\")
+
+
+def similarity(a: str, b: str) -> str:
+    """Jaro-Winkler similarity of two texts by characters."""
+    chars = f"array_to_string(list_distinct(string_split({a} || {b}, '')), '')"
+    return f"case when regexp_matches({a} || {b}, '[^\\x00-\\x7F]') then jaro_winkler_similarity(translate({a}, {chars}, '{_ALPHABET}'), translate({b}, {chars}, '{_ALPHABET}')) else jaro_winkler_similarity({a}, {b}) end"
+
+
 _KEYS = """
   list_distinct(list_filter([
     'p16:' || substr(title, 1, 16), 'p24:' || substr(title, 1, 24),
@@ -96,7 +106,7 @@ pairs as (
   from keyed a join keyed b on a.k = b.k and a.rep < b.rep
   where (a.authors = '' or b.authors = '' or a.authors = b.authors) and (a.abstract = '' or b.abstract = '' or a.abstract = b.abstract)
     and ((a.authors <> '' and a.authors = b.authors) or (a.abstract <> '' and a.abstract = b.abstract) or (a.issn <> '' and a.issn = b.issn))),
-scored as (select *, jaro_winkler_similarity(ta, tb) as score from pairs),
+scored as (select *, {similarity('ta', 'tb')} as score from pairs),
 links as (
   select c.rep as id_a, r.resource_id as id_b, case when r.issn <> '' then 'exact:content' else 'autoplagiat' end as match_type, 1.0::double as score
   from rows r join classes c using (title, authors, abstract, issn, doctype, pages)

@@ -152,11 +152,73 @@ open_names as (select l.resource_id, l.pos::int as pos, l.name, m.match_type, ar
 _TRANSLATIONS = "(select alt_name as czech, canonical_name as english from canonical_ref where kind = 'faculty' and alt_name is not null)"
 
 
+_SURVIVORS = base._CONTENT + f""", f as (select resource_id, pages, doctype = 'article' as article from ({base._COMPARABLE}) t),
+x as (select l.*, case when match_type = 'early_access' and b.pages and not a.pages then id_b when match_type = 'merged_type' and b.article and not a.article then id_b else id_a end as special from links l join f a on a.resource_id = id_a join f b on b.resource_id = id_b),
+y as (select id_a, id_b, match_type, score, case when match_type in ('early_access', 'merged_type') then special else least(id_a, id_b) end as kept_id from x),
+chosen as (select *, case when kept_id = least(id_a, id_b) then greatest(id_a, id_b) else least(id_a, id_b) end as deleted_id from y)"""
+_PLAN = _SURVIVORS.replace("with rows as", "with recursive rows as", 1) + """,
+two_way as (select kept_id as a, deleted_id as b from chosen union select deleted_id, kept_id from chosen),
+reach as (select a as node, a as r from two_way union select reach.node, e.b from reach join two_way e on e.a = reach.r),
+component_of as (select node, min(r) as component from reach group by 1),
+acts as (select component, kept_id as keep, deleted_id as gone, row_number() over (partition by component order by id_a, id_b, match_type) as n from chosen join component_of on node = kept_id),
+fold as (
+  select component, 0::bigint as n, [0::bigint] as old_ids, [0::bigint] as new_ids, null::bigint as k, null::bigint as d from (select distinct component from acts) t
+  union all
+  select component, n, case when d is null then old_ids else list_concat(list_filter(old_ids, lambda o: o <> d and o <> gone), [d, gone]) end,
+    case when d is null then new_ids else list_concat(list_transform(list_filter(old_ids, lambda o: o <> d and o <> gone), lambda o: case when new_ids[list_position(old_ids, o)] = d then k else new_ids[list_position(old_ids, o)] end), [k, case when gone = k then gone else k end]) end, k, d
+  from (select component, n, old_ids, new_ids, gone, case when kk = dd then null when dd <> gone and kk = keep then dd when dd <> gone then least(kk, dd) else kk end as k, case when kk = dd then null when dd <> gone and kk = keep then kk when dd <> gone then greatest(kk, dd) else dd end as d
+    from (select f.component, a.n, f.old_ids, f.new_ids, a.keep, a.gone, coalesce(new_ids[list_position(old_ids, keep)], keep) as kk, coalesce(new_ids[list_position(old_ids, gone)], gone) as dd from fold f join acts a on a.component = f.component and a.n = f.n + 1) q) r),
+plan as (select row_number() over (partition by component order by n) - 1 as seq, k as kept_id, d as deleted_id, component from fold where d is not null)"""
+_MERGED = _PLAN + f""",
+roots as (select distinct component, kept_id as root from plan where kept_id not in (select deleted_id from plan)),
+members as (select c.node as resource_id, r.root, case when c.node = r.root then 0 else (select min(seq) + 1 from plan p where p.deleted_id = c.node) end as o from component_of c join roots r using (component) where c.node in (select kept_id from plan union select deleted_id from plan)),
+"""
+
+
+def _united(column: str) -> str:
+    """Values of a column of all members of a merge in order, once each, for every record that is left."""
+    return f"""u_{column} as (select root as resource_id, array_to_string(list(v order by o, resource_id, i), '||') as x from (
+  select *, row_number() over (partition by root, {_norm("v")} order by o, resource_id, i) as k from (select m.root, m.o, m.resource_id, unnest(r.{column}) as v, generate_subscripts(r.{column}, 1) as i from members m join {_M} r using (resource_id)) t where {_trim("v")} <> '') z where k = 1 group by 1)"""
+
+
+_FUZZY = f"""
+with r as (select resource_id, {base._title(_trim("dc_title[1]"))} as title, coalesce(try_cast(nullif(regexp_extract(dc_date_issued[1], '\\b((?:19|20)\\d{{2}})\\b', 1), '') as int), -1) as year,
+  coalesce(lower(regexp_replace(dc_identifier_issn[1], '[^0-9xX]', '', 'g')), '') as issn, coalesce(lower(regexp_replace(dc_identifier_isbn[1], '[^0-9xX]', '', 'g')), '') as isbn from {_M}),
+c as (select title, year, issn, isbn, min(resource_id) as rep, count(*) as n from r where title <> '' group by 1, 2, 3, 4),
+p as (select a.rep as id_a, b.rep as id_b, a.issn <> '' and a.issn = b.issn as same_issn, a.isbn <> '' and a.isbn = b.isbn as same_isbn, {base.similarity("a.title", "b.title")} as score from c a join c b on a.rep < b.rep and (a.year = b.year or a.year >= 0 and b.year >= 0 and abs(a.year - b.year) <= 1))
+select id_a, id_b, case when same_issn then 'fuzzy_title+issn' when same_isbn then 'fuzzy_title+isbn' else 'fuzzy_title' end as match_type, round(score, 4) as score from p where score >= 0.85
+union all select rep, resource_id, case when issn <> '' then 'fuzzy_title+issn' when isbn <> '' then 'fuzzy_title+isbn' else 'fuzzy_title' end, 1.0 from r join c using (title, year, issn, isbn) where n > 1 and resource_id <> rep
+"""
+
+
+def _fixes() -> str:
+    """Suggested fixes of all text fields and DOIs."""
+    parts = []
+    for f in base._TEXT_FIELDS:
+        sql, at = f"select resource_id, x as s0, i from (select resource_id, unnest({f}) as x, generate_subscripts({f}, 1) as i from {_M}) t", 0
+        for _, expr in base._FIX:
+            sql, at = f"select *, {expr.replace('{x}', f's{at}')} as s{at + 1} from ({sql}) t{at}", at + 1
+        sql = f"select *, {_trim(f's{at}')} as s{at + 1} from ({sql}) t{at}"
+        kinds = [(k, f"bool_or(s{n + 1} <> s{n})") for n, k in enumerate([*(k for k, _ in base._FIX), "trailing_spaces"])]
+        told = ", ".join(f"case when {test} then '{k}' end" for k, test in sorted(kinds))
+        parts.append(f"select resource_id, '{f}' as field_name, array_to_string(list(s{at + 1} order by i), '||') as suggested, array_to_string(list_filter([{told}], lambda k: k is not null), '+') as fix_type from ({sql}) z group by 1 having bool_or(s{at + 1} is distinct from s0)")
+    form = "10\\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+"
+    parts.append(f"""select resource_id, 'dc_identifier_doi', array_to_string(list(c order by i), '||'), 'doi' from (select *, {base._CLEAN_DOI} as c from (select resource_id, unnest(dc_identifier_doi) as x, generate_subscripts(dc_identifier_doi, 1) as i from {_M}) t) u
+      group by 1 having bool_or(coalesce({_trim("x")}, '') <> '' and not regexp_full_match(x, '{form}') and regexp_full_match(c, '{form}')) and bool_or(c is distinct from x)""")
+    return " union all ".join(parts)
+
+
 def sql() -> dict[str, str]:
     """Query name to SQL."""
     return {
         "date_extraction": _DATES + "select * from result",
         "date_status": _DATES + "select status, count(*) as n, count(received) as n_received, count(accepted) as n_accepted, count(published) as n_published, sum(needs_llm::int)::bigint as n_needs_llm from result group by 1",
+        "dedup_fuzzy_links": _FUZZY,
+        "dedup_merge_plan": _PLAN + "select * from plan",
+        "dedup_merged_records": _MERGED + _united("dc_contributor_author") + "," + _united("utb_source") + f""" select m.resource_id, coalesce(nullif(a.x, ''), array_to_string(m.dc_contributor_author, '||')) as names, coalesce(nullif(b.x, ''), array_to_string(m.utb_source, '||')) as sources
+            from {_M} m left join u_dc_contributor_author a using (resource_id) left join u_utb_source b using (resource_id) where m.resource_id not in (select deleted_id from plan)""",
+        "dedup_history": _PLAN + f"select x.id as resource_id, kept_id as dedup_kept_resource_id, deleted_id as dedup_other_resource_id, (select count(*) from {_M} m where m.resource_id = x.id) as copies from (select *, unnest([kept_id, deleted_id]) as id from plan) x",
+        "validation_fixes": _fixes(),
         "author_matches": _MATCH_ROWS + "select * from matches",
         "preferred_names": _PEOPLE + "select resource_id, 'id:' || author_id as identity, name, pos from people",
         "ambiguous_authors": _PEOPLE + "," + _AMBIGUOUS + "select * from open_names",
