@@ -10,6 +10,7 @@ no length, however common, is numbered in one task.
 from __future__ import annotations
 
 import bisect
+import heapq
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,7 +24,10 @@ from scriptorium.plans.lineage import reliable
 
 #: Lengths are told apart on a grid of this many steps up to the capacity, and rounded up to it.
 GRID = 2048
-ROUNDS, STEP, RATE = 60, 0.3, 4.0
+#: Rounds of the program at most; it ends sooner once this share of the tokens is covered.
+ROUNDS, COVERED, STEP, RATE = 1200, 0.75, 1.0, 0.05
+#: The longest lengths left and those with the most tokens are priced, so many of each: by the program, on what it leaves.
+PRICED, PRICED_REST = 128, 512
 #: Worth of a length on what rounding leaves is this power of it: long items, which fit fewest places, go first.
 POWER = 1.1
 TRY_EVERY = 50
@@ -70,22 +74,33 @@ def price(values: dict[int, float], counts: dict[int, int], capacity: int) -> di
     return out
 
 
+def worth_pricing(left: dict[int, float], most: int) -> list[int]:
+    """The ``most`` longest lengths and the ``most`` with the most tokens left: enough to fill any container."""
+    if len(left) <= 2 * most:
+        return list(left)
+    return list(dict.fromkeys([*heapq.nlargest(most, left), *heapq.nlargest(most, left, key=lambda l: (l * left[l], l))]))
+
+
 def fractional(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
     """Patterns and amounts of the configuration program, by multiplicative weights.
 
     The weight of a length is its share of the container, less the more of its items are covered; each round prices the
-    pattern of greatest weight and takes as much of it as covers at most ``STEP`` of any of its lengths.
+    pattern of greatest weight and takes as much of it as covers at most ``STEP`` of what is left of any of its lengths.
     """
     covered = dict.fromkeys(counts, 0.0)
     found: dict[tuple, float] = {}
+    enough = COVERED * sum(l * n for l, n in counts.items())
+    done = 0.0
     for _ in range(rounds if counts else 0):
-        values = {l: l * math.exp(-RATE * covered[l] / n) for l, n in counts.items() if covered[l] < n}
-        if not values:
+        left = {l: n - covered[l] for l, n in counts.items() if n - covered[l] >= 1}
+        if not left or done >= enough:
             break
-        pattern = price(values, counts, capacity)
+        values = {l: l * math.exp(-RATE * covered[l] / counts[l]) for l in worth_pricing(left, PRICED)}
+        pattern = price(values, {l: math.ceil(left[l]) for l in values}, capacity)
         if not pattern:
             break
-        amount = max(1.0, STEP * min(counts[l] / a for l, a in pattern.items()))
+        amount = float(max(1, math.floor(STEP * min(left[l] / a for l, a in pattern.items()))))
+        done += amount * sum(l * a for l, a in pattern.items())
         for l, a in pattern.items():
             covered[l] += a * amount
         key = tuple(sorted(pattern.items()))
@@ -130,7 +145,7 @@ def price_rest(counts: dict[int, int], capacity: int) -> list[Use]:
             rest = fill_rest(left, capacity)
             if sum(u.times for u in out + rest) == least:
                 return out + rest
-        pattern = price({l: float(l) ** POWER for l in left}, left, capacity)
+        pattern = price({l: float(l) ** POWER for l in worth_pricing(left, PRICED_REST)}, left, capacity)
         times = min(left[l] // a for l, a in pattern.items())
         out.append(Use(pattern, times, "priced"))
         for l, a in pattern.items():
@@ -143,13 +158,15 @@ def price_rest(counts: dict[int, int], capacity: int) -> list[Use]:
 def solve(counts: dict[int, int], capacity: int) -> list[Use]:
     """Patterns that hold every item of the histogram exactly once.
 
-    The fractional amounts are rounded down, the best-filled patterns first, and the rest is priced again; only should
-    plain first-fit decreasing need fewer containers (not as many), it is taken.
+    Of the program's patterns the fullest are used, their amounts rounded down; what they leave, with the items of the
+    others, is priced again. Only should plain first-fit decreasing need fewer containers (not as many), it is taken.
     """
     left = dict(counts)
     uses: list[Use] = []
     fill = lambda p: sum(l * a for l, a in p.items())
-    for pattern, amount in sorted(fractional(counts, capacity), key=lambda px: (-fill(px[0]), -px[1], sorted(px[0].items()))):
+    found = fractional(counts, capacity)
+    fullest = max((fill(p) for p, _ in found), default=0)
+    for pattern, amount in sorted((px for px in found if fill(px[0]) == fullest), key=lambda px: (-px[1], sorted(px[0].items()))):
         times = min(math.floor(amount + 1e-9), *(left[l] // a for l, a in pattern.items()))
         if times > 0:
             uses.append(Use(pattern, times, "program"))
