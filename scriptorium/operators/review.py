@@ -111,7 +111,7 @@ def save_field(events: DataFrame, change: DataFrame, baseline: DataFrame) -> Dat
 
     ``baseline``: ``resource_id, field_key, value``.
     """
-    back = change.join(baseline, ["resource_id", "field_key"]).filter(F.col("new_value").eqNullSafe(F.col("value"))).select("resource_id", "field_key", F.lit(True).alias("__back"))
+    back = change.join(baseline, ["resource_id", "field_key"]).filter(F.col("new_value").eqNullSafe(F.col("value"))).select("resource_id", "field_key", F.lit(True).alias("__back")).distinct()
     marked = events.join(back, ["resource_id", "field_key"], "left")
     pending = F.col("approved_at").isNull() & F.col("discarded_at").isNull()
     marked = marked.withColumn("discarded_at", F.when(F.col("__back") & pending, F.current_timestamp()).otherwise(F.col("discarded_at"))).select(*events.columns)

@@ -208,6 +208,96 @@ def _fixes() -> str:
     return " union all ".join(parts)
 
 
+_CLEAN = base._CLEAN_DOI
+_LOOKUPS = f"""
+{base._GROUPS},
+ids as (select resource_id, list_filter(list_transform(coalesce(dc_identifier_doi, []), lambda x: lower({_CLEAN})), lambda x: x <> '') as doi, {base._ordered_distinct(f"({base._ISSNS})")} as issn, {base._ordered_distinct(f"({base._ISBNS})")} as isbn from {_M}),
+flat as (select resource_id, id_kind, group_id, 'doi' as key_kind, 0 as step, unnest(doi) as key, generate_subscripts(doi, 1) as place from groups join ids using (resource_id) where group_id is not null
+  union all select resource_id, id_kind, group_id, 'issn', 1, unnest(issn), generate_subscripts(issn, 1) from groups join ids using (resource_id) where id_kind = 'issn'
+  union all select resource_id, id_kind, group_id, 'isbn', 1, unnest(isbn), generate_subscripts(isbn, 1) from groups join ids using (resource_id) where id_kind = 'isbn'),
+once as (select id_kind, group_id, key_kind, step, key, min((resource_id, place)) as pos from flat group by all),
+providers as (select * from (values ('issn', 'doi', 'crossref', 0), ('issn', 'issn', 'crossref', 0), ('issn', 'issn', 'openalex', 1), ('isbn', 'doi', 'crossref', 0), ('isbn', 'isbn', 'google', 0), ('isbn', 'isbn', 'openlibrary', 1)) v(id_kind, key_kind, provider, rank)),
+keys as (select * from once join providers using (id_kind, key_kind)),
+told as (select 'crossref' as provider, lower({_CLEAN}) as key, dc_publisher[1] as publisher, case when resource_id % 2 = 0 then dc_relation_ispartof[1] end as journal from (select *, dc_identifier_doi[1] as x from {_M}) m where resource_id % 3 = 0
+  union all select 'openalex', unnest({base._ordered_distinct(f"({base._ISSNS})")}), dc_publisher[1], case when resource_id % 2 = 0 then dc_relation_ispartof[1] end from {_M} where resource_id % 3 = 0),
+answers as (select provider, key, nullif({_trim("min(publisher)")}, '') as publisher, nullif({_trim("min(journal)")}, '') as journal from told where key <> '' group by 1, 2),
+good as (select * from answers where journal is not null or publisher is not null and provider = 'crossref'),
+looked as (select id_kind, group_id, publisher, journal, provider from (select *, row_number() over (partition by id_kind, group_id order by step, pos, rank) as k from keys join good using (provider, key)) t where k = 1)"""
+_LOOKED_PROPOSALS = base._PROPOSALS.replace(base._GROUPS, _LOOKUPS.strip(), 1).replace("proposals as (", "canon_looked as (select c.id_kind, c.group_id, coalesce(l.publisher, p) as p, coalesce(l.journal, j) as j from canon c left join looked l using (id_kind, group_id)),\nproposals as (", 1).replace("left join canon c on", "left join canon_looked c on")
+_LISTED = f"(select resource_id, dc_title[1] as title, dc_date_issued[1] as issued, array_to_string(dc_contributor_author, '||') as names, dc_relation_ispartof[1] as journal, lower(dc_identifier_doi[1]) as dup_key from {_M})"
+_PENDING_OLD = base._PENDING.replace("target_table, new_value from", "target_table, new_value, old_value from")
+
+
+def _small() -> dict[str, str]:
+    """SQL of the queries over one step each."""
+    blank = lambda c: f"coalesce({_trim(c)}, '') = ''"
+    shown = " union all ".join(f"select resource_id, '{k}' as field_key, array_to_string({c}, '||') as value from {_M}" for k, c in base._SHOWN.items())
+    overlay = f"select s.resource_id, s.field_key, case when p.id is not null and p.new_value is not null then p.new_value else s.value end as shown from ({shown}) s left join (select * from ({base._PENDING}) q where target_table = '{_M}') p using (resource_id, field_key)"
+    approved = lambda key, column: f"case when resource_id % 2 = 0 and p_{column}.v is not null then array_to_string(list_filter(list_transform(regexp_split_to_array(p_{column}.v, '\\s*\\|\\|\\s*'), lambda x: {_trim('x')}), lambda x: x <> ''), '||') else array_to_string({column}, '||') end"
+    pivot = lambda key, column: f"left join (select resource_id, new_value as v from ({base._PENDING}) q where target_table = '{_M}' and field_key = '{key}') p_{column} using (resource_id)"
+    edited = {"dc.publisher": ("dc_publisher", "publisher"), "dc.contributor.author": ("dc_contributor_author", "names"), "utb.ou": ("utb_ou", "ou")}
+    iso = lambda t: f"case when regexp_full_match({t}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast({t} as date) when regexp_full_match({t}, '[0-9]{{8}}') then try_cast({t}[1:4] || '-' || {t}[5:6] || '-' || {t}[7:8] as date) end"
+    told = lambda t: f"case when resource_id % 10 < 2 then null when coalesce(year({iso(t)}) between 1990 and 2035, false) and not ({t} like '%-01-01' and coalesce(raw, '') <> '' and not regexp_matches(raw, '(?i)\\b0?1[.\\-/ ]|jan')) then {t} else '' end"
+    parts = f"list_filter(list_transform(string_split(affiliation, ','), lambda p: {_trim('p')}), lambda p: p <> '')"
+    types = "('id', 'bigint', false), ('resource_id', 'bigint', true), ('field_key', 'string', true), ('target_table', 'string', true), ('old_value', 'string', true), ('new_value', 'string', true), ('created_at', 'timestamp', true), ('approved_at', 'timestamp', true), ('discarded_at', 'timestamp', true), ('tags', 'array<string>', true), ('sizes', 'array<int>', true)"
+    return {
+        "validation_registry": f"select resource_id, array_to_string(list_sort(list(distinct name)), '||') as names from (select resource_id, unnest(utb_contributor_internalauthor) as name from {_M}) t where name is not null and name not in (select unnest(string_split(display_name, '||')) from utb_authors where display_name is not null) group by 1",
+        "url_fixes": f"select resource_id, array_to_string(list(c order by i), '||') as suggested from (select resource_id, i, x, string_split(x, '?')[1] as c from (select resource_id, unnest(dc_identifier_doi) as x, generate_subscripts(dc_identifier_doi, 1) as i from {_M}) t) u group by 1 having bool_or(c is distinct from x)",
+        "validation_due": f"select resource_id from {_M} where resource_id % 3 <> 0",
+        "validation_again": f"with fixed as (select distinct resource_id from ({_fixes()}) f), bad as (select distinct resource_id from ({base._rules()}) r) select m.resource_id, case when f.resource_id is not null then 'not_checked' when b.resource_id is not null then 'has_issues' else 'ok' end as status from {_M} m left join fixed f using (resource_id) left join bad b using (resource_id)",
+        "records_fetched": f"select resource_id, len(dc_title)::int as n_titles from {_M} where resource_id in (select resource_id from llm_author_entry)",
+        "records_first_page": f"select resource_id from {_M} order by 1 limit 500",
+        "records_smallest_page": f"select resource_id from {_M} order by 1 limit 1",
+        "units_valid": f"select id, name from {base._UNITS} u where id % 4 <> 0 or id > 110",
+        "journal_lookup_keys": f"with {_LOOKUPS} select id_kind, group_id, key_kind, provider, key, step, rank from keys",
+        "journal_lookups": f"with {_LOOKUPS} select * from looked",
+        "journal_proposals_looked_up": _LOOKED_PROPOSALS + "select * from proposals",
+        "journal_applied": base._PROPOSALS + "select case when status = 'has_proposal' and group_id < '5' then 'applied' else status end as status, count(*) as n from proposals group by 1",
+        "journal_statuses_set": base._PROPOSALS + "select case when resource_id % 5 = 0 then 'error' else status end as status, count(*) as n from proposals group by 1",
+        "journal_records_applied": base._PROPOSALS + f"select resource_id, coalesce(proposed_publisher, array_to_string(dc_publisher, '||')) as publisher, coalesce(proposed_journal, array_to_string(dc_relation_ispartof, '||')) as journal from {_M} join proposals using (resource_id)",
+        "journal_limited": base._PROPOSALS + "select group_id, count(*) as n from proposals where group_id is null or group_id in (select distinct group_id from proposals where group_id is not null order by 1 limit 20) group by 1",
+        "record_page": f"select resource_id, issued from {_LISTED} t order by issued desc nulls last, resource_id limit 200",
+        "record_page_grouped": f"select resource_id, title from {_LISTED} t order by coalesce(dup_key, '~' || resource_id::varchar), title nulls last, resource_id limit 200",
+        "record_relevance": f"select resource_id, score from (select resource_id, (coalesce(contains(lower(title), 'polymer'), false)::int * 2 + coalesce(contains(lower(names), 'polymer'), false)::int + coalesce(contains(lower(journal), 'polymer'), false)::int) as score from {_LISTED} t) u where score > 0",
+        "author_candidates": f"select resource_id, name, score, rank from (select *, row_number() over (partition by resource_id order by score desc, name nulls first)::int as rank from (select distinct resource_id, name, (case when contains(name, ',') then length(name) % 7 else 0 end)::int as score from (select resource_id, unnest(dc_contributor_author) as name from {_M}) t) u) v where score > 0 and rank <= 3 or rank <= 2",
+        "field_rows": f"select resource_id, field_key, row_number() over (partition by resource_id order by place = 0, place, blank, field_key)::int as row from (select *, coalesce(list_position(['dc.title', 'utb.ou', 'dc.publisher'], field_key), 0) as place, coalesce(shown, '') = '' as blank from ({overlay}) o where resource_id % 4 = 0) t",
+        "changes_saved": f"""with p as (select * from ({_PENDING_OLD}) q where id % 3 = 0), change as (select resource_id, field_key, case when id % 2 = 0 then old_value else new_value || '!' end as v from p),
+            back as (select distinct c.resource_id, c.field_key from change c join (select distinct resource_id, field_key, old_value from p) b on b.resource_id = c.resource_id and b.field_key = c.field_key where c.v is not distinct from b.old_value),
+            saved as (select e.resource_id, case when approved_at is not null then 'approved' when discarded_at is not null or b.resource_id is not null then 'discarded' else 'pending' end as state from (select distinct * from utb_change_buffer) e left join back b on b.resource_id = e.resource_id and b.field_key = e.field_key
+              union all select c.resource_id, 'pending' from change c left join back b on b.resource_id = c.resource_id and b.field_key = c.field_key where b.resource_id is null)
+            select resource_id, state, count(*) as n from saved group by 1, 2""",
+        "changes_approved": f"select resource_id, {', '.join(f'{approved(k, c)} as {n}' for k, (c, n) in edited.items())} from {_M} m {' '.join(pivot(k, c) for k, (c, _) in edited.items())}",
+        "records_checked": f"select resource_id in (select resource_id from dedup_histoire) as is_checked, count(*) as n from {_M} group by 1",
+        "duplicate_matches": base._CONTENT + "select id_a as resource_id, id_b as other, match_type, score from links union select id_b, id_a, match_type, score from links",
+        "values_proposed": f"select resource_id, entry_pos, case when not {blank('ou')} then ou when not {blank('faculty')} then faculty end as proposed, case when not {blank('ou')} then 'llm' when not {blank('faculty')} then 'heuristic' end as proposed_by from llm_author_entry",
+        "display_values": f"select resource_id, shown, len(list_filter(list_transform(regexp_split_to_array(shown, '\\s*\\|\\|\\s*'), lambda x: {_trim('x')}), lambda x: x <> ''))::int as n from (select resource_id, array_to_string(dc_contributor_author, '||') as shown from {_M}) t where shown is not null",
+        "jats_stripped": f"""select resource_id, {_trim("regexp_replace('<jats:p>' || dc_description_abstract[1] || ' </jats:p>', '(?i)</?jats:[^>]*>', '', 'g')")} as text from {_M} where dc_description_abstract[1] is not null""",
+        "external_ids": "select author_id, poradie, t, nullif(regexp_extract(t, '([0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X])', 1), '') as orcid, nullif(regexp_extract(t, '(?:^|[^0-9])([0-9]{8,11})(?:[^0-9]|$)', 1), '') as scopus, nullif(regexp_extract(t, '\\b([A-Z]{1,3}-[0-9]{4}-[0-9]{4})\\b', 1), '') as wos from (select distinct author_id, poradie, concat_ws(' ', display_name, orcid, 'id ' || scopusid, wos_id) as t from utb_authors) u",
+        "json_migrated": "select distinct resource_id, dedup_other_resource_id, case when resource_id % 3 = 0 then '{\"raw\":\"' || coalesce(dedup_match_type, '') || '\"}' when resource_id % 3 = 1 then coalesce(dedup_match_details, '{}') else '{}' end as details from dedup_histoire",
+        "legacy_columns": f"select resource_id, author_flags, len(utb_faculty)::int as author_faculty from {_M}",
+        "increments": f"select resource_id, count(*) as n from (select resource_id from {_M} union all select resource_id from dedup_histoire) t group by 1",
+        "columns_synced": f"select dedup_match_type, no_volume, count(*) as n from (select null::varchar as dedup_match_type, utb_relation_volume is null as no_volume from {_M} union all select dedup_match_type, true from dedup_histoire) t group by 1, 2",
+        "bootstrap_rows": "select field_key, count(distinct id) as n from utb_change_buffer group by 1",
+        "typed_columns": f"select * from (values {types}) v(name, spark_type, nullable)",
+        "salvaged_answers": "select distinct dedup_match_details, json_extract_string(dedup_match_details, '$.by') as basis from dedup_histoire",
+        "authors_completed": f"""with e as (select resource_id, entry_pos, {_trim("name")} as name, coalesce({_trim("faculty")}, '') as faculty, coalesce({_trim("ou")}, '') as ou, lower({base._squeeze("name")}) as key from llm_author_entry where name is not null),
+            c as (select resource_id, lower({base._squeeze("name")}) as key, max(name) as preferred from llm_author_entry where name is not null and entry_pos % 2 = 1 group by 1, 2),
+            f as (select *, row_number() over (partition by resource_id, key order by entry_pos) as k from e join c using (resource_id, key)),
+            bad as (select distinct resource_id from e where length(name) < 3), faculties as (select distinct canonical_name from canonical_ref where kind = 'faculty'),
+            pairs as (select o.ou, r.canonical_name as unit, r.ref_id, {base.similarity("lower(r.canonical_name)", "lower(o.ou)")} as score from (select distinct ou from f where ou <> '') o, canonical_ref r where r.kind = 'ou'),
+            snapped as (select ou, unit from (select *, row_number() over (partition by ou order by score desc, ref_id) as k from pairs) t where k = 1 and score >= 0.92),
+            g as (select f.resource_id, f.entry_pos, f.preferred, case when f.faculty in (select * from faculties) then f.faculty else '' end as faculty, coalesce(s.unit, '') as unit from f left join snapped s using (ou) where k = 1)
+            select a.resource_id, case when b.resource_id is null then 'processed' else 'validation_error' end as status, case when b.resource_id is null then coalesce(names, '') end as names, case when b.resource_id is null then coalesce(faculties, '') end as faculties, case when b.resource_id is null then coalesce(ous, '') end as ous
+            from (select distinct resource_id from e) a left join bad b using (resource_id) left join (select resource_id, array_to_string(list(preferred order by entry_pos), '||') as names, array_to_string(list(faculty order by entry_pos), '||') as faculties, array_to_string(list(unit order by entry_pos), '||') as ous from g group by 1) h using (resource_id)""",
+        "dates_completed": f"select resource_id, case when resource_id % 10 < 2 then 'validation_error' else 'processed' end as status, {told('a')} as accepted, {told('p')} as published from (select resource_id, array_to_string(utb_fulltext_dates, ' ') as raw, coalesce({_trim('dc_date_accessioned[1][1:10]')}, '') as a, coalesce({_trim('dc_date_issued[1]')}, '') as p from {_M}) t",
+        "prompts": f"select resource_id, concat_ws(chr(10), 'Return a JSON object with the key authors: a list of objects with name, faculty and ou. Use only the candidates.', 'Record ' || resource_id, 'Authors: ' || array_to_string(coalesce(dc_contributor_author, []), '; '), 'Affiliations: ' || array_to_string(coalesce(utb_wos_affiliation, []), '; '), 'Candidates: ' || array_to_string(coalesce(utb_contributor_internalauthor, []), '; ')) as prompt from {_M}",
+        "crossref_details": f"""select resource_id, case when resource_id % 2 = 0 then y || '-' || m || '-' || lpad(d::varchar, 2, '0') when resource_id % 3 = 0 then y || '-' || m else y end as dc_date_issued, case when resource_id % 3 = 0 then y || '-' || m end as dc_date_available,
+            nullif({_trim("dc_publisher[1] || case when len(dc_type) > 0 then ' (' || array_to_string(dc_type, ', ') || ')' else '' end")}, '') as funders, nullif({_trim("dc_identifier_doi[1]")}, '') as dc_rights_uri, dc_identifier_issn[1] || ' (print)' as issn_types, dc_identifier_doi[1] as dc_identifier_uri, case when instr(page, '-') > 0 then substr(page, instr(page, '-') + 1) end as dc_citation_epage
+            from (select *, (resource_id % 30 + 1990)::varchar as y, lpad(((resource_id % 28 + 1) % 12 + 1)::varchar, 2, '0') as m, resource_id % 28 + 1 as d, concat_ws('-', dc_citation_spage[1], dc_citation_epage[1]) as page from {_M}) t""",
+        "scopus_parts": f"with {_SCOPUS} select affiliation, p[1] as department, p[2] as faculty, list_filter(p, lambda x: regexp_matches(x, '(?i)univ|institute of|academy|college'))[1] as institution from (select distinct affiliation, {parts} as p from scopus) t",
+    }
+
+
 def sql() -> dict[str, str]:
     """Query name to SQL."""
     return {
@@ -245,4 +335,4 @@ def sql() -> dict[str, str]:
             units as (select a.author_id, arg_max(u.name, (length(u.name), u.name)) as ou from utb_authors a join u on u.id = a.organization_id where u.parent_id is not null group by 1)
             select author_id, coalesce(array_to_string(fs, '||'), '') as faculties, ou from (select distinct author_id from utb_authors) e left join told using (author_id) left join units using (author_id)""",
         "scopus_blocks": f"with {_SCOPUS} select resource_id, author, affiliation, is_home from scopus",
-    }
+    } | _small()
