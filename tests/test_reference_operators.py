@@ -303,9 +303,81 @@ def test_commands_and_stream(records, spark, tmp_path):
     w = str(tmp_path / "w")
     for command in (["bootstrap-local-db", "--source", source], ["setup-processing-queue"], ["validate-metadata"], ["extract-dates"], ["normalize-journals"], ["deduplicate-records"], ["metadata-validation-status"]):
         pipeline.main([*command, "--workspace", w], spark)
-    assert [r.resource_id for r in spark.read.parquet(f"{w}/records").collect()] == [1]
-    assert spark.read.parquet(f"{w}/history").count() == 2
+    space = pipeline.Workspace(spark, w)
+    assert [r.resource_id for r in space.read("records").collect()] == [1]
+    past = space.read("history").select("resource_id", "dedup_match_type", "dedup_kept_resource_id", "dedup_other_resource_id").collect()
+    assert sorted(tuple(r) for r in past) == [(1, "exact:content", 1, 2), (2, "exact:content", 1, 2)] and not space.read("history").filter("dedup_merged_at is null").count()
+    spark.range(1).write.parquet(f"{w}/records/v99")
+    (tmp_path / "w" / "records" / "v99" / "_SUCCESS").unlink()  # a write that was cut off
+    assert [r.resource_id for r in space.read("records").collect()] == [1]
     stream = incremental.record_stream(spark, source, spark.read.parquet(source).schema)
     q = incremental.run_stage(stream, validate.validation_issues, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_life_of_statuses(records, spark, tmp_path, monkeypatch):
+    import sys
+    import types
+
+    from scriptorium.plans import pipeline
+
+    asked = types.ModuleType("asked")  # what commands are told to ask
+    asked.dates = lambda prompt: 'Sure: {"published": "2011-02-03"}'
+    asked.journal = lambda key: ("Press", "Asked Journal") if key == "1111-2222" else None
+    monkeypatch.setitem(sys.modules, "asked", asked)
+    w, source = str(tmp_path / "w"), str(tmp_path / "source")
+    records({"resource_id": 1, "dc_title": "Fine", "dc_identifier_issn": "1111-2222", "dc_relation_ispartof": "J", "utb_fulltext_dates": "Published somewhen"}, {"resource_id": 2, "dc_title": "Blank ", "dc_identifier_issn": "3333-4444", "dc_relation_ispartof": "K"}).write.parquet(source)
+    run = lambda *c: pipeline.main([*c, "--workspace", w], spark)
+    space = pipeline.Workspace(spark, w)
+    status = lambda name: {r.resource_id: r.status for r in space.read(name).collect()}
+    run("bootstrap-local-db", "--source", source)
+    run("validate-metadata", "--limit", "1")
+    assert status("validation") == {1: "ok"}
+    run("validate-metadata")
+    assert status("validation") == {1: "ok", 2: "has_issues"}
+    run("apply-validation-fixes")
+    assert status("validation") == {1: "ok", 2: "not_checked"} and space.read("fixes").count() == 0
+    run("validate-metadata")
+    assert status("validation") == {1: "ok", 2: "ok"}
+    run("extract-dates")
+    run("extract-dates-llm", "--completer", "asked:dates")
+    assert str(space.read("dates_merged").filter("resource_id = 1").first().published) == "2011-02-03"
+    run("normalize-journals", "--lookup", "openalex=asked:journal")
+    assert status("journals") == {1: "has_proposal", 2: "no_change"}
+    monkeypatch.setattr(pipeline, "ask_user", lambda group: False)
+    run("apply-journal-normalization", "--interactive")
+    assert status("journals") == {1: "has_proposal", 2: "no_change"}
+    run("apply-journal-normalization")
+    assert status("journals") == {1: "applied", 2: "no_change"}
+    assert space.read("records").filter("resource_id = 1").first().dc_relation_ispartof == ["Asked Journal"]
+    with pytest.raises(SystemExit):
+        run("detect-authors-llm")
+
+
+def test_waiting_is_what_the_provider_says():
+    waits, answers = [], iter([providers.ProviderError("slow", 429), providers.ProviderError("slow", 503, {"Retry-After": "3"}), OSError("gone"), "done"])
+
+    def call():
+        if isinstance(x := next(answers), Exception):
+            raise x
+        return x
+
+    assert providers.with_retries(call, 3, 1.5, waits.append) == "done" and waits == [10.0, 3.0, 4.5]
+
+
+def test_long_chains_are_one_component(spark):
+    edges = [(0, 200), *[(i, i - 1) for i in range(200, 1, -1)]]
+    got = dedup.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").agg(F.min("component"), F.max("component"), F.count("*")).first()
+    assert tuple(got) == (0, 0, 201)
+    with pytest.raises(RuntimeError):
+        dedup.components(spark.createDataFrame(edges, "a long, b long"), "a", "b", max_rounds=1)
+
+
+def test_english_names_and_person_data(spark):
+    units = spark.createDataFrame([(1, "EN_1", "Fakulta umění"), (2, "Faculty of Law", "Právo"), (3, "", "Neznámá"), (4, None, "fakulta  UMENI")], "id int, name_en string, name_cs string")
+    words = spark.createDataFrame([("Fakulta umění", "Faculty of Arts")], "czech string, english string")
+    assert rows(authors.english_names(units, words)) == [(1, "Faculty of Arts"), (2, "Faculty of Law"), (3, None), (4, "Faculty of Arts")]
+    tree_ = spark.createDataFrame([(1, "Faculty of Arts", None), (5, "Studio", 1), (6, "Large Studio", 1)], "id int, name string, parent_id int")
+    registry = spark.createDataFrame([(7, "fakulta umeni || Nowhere", 5), (7, None, 6), (8, None, 1)], "author_id long, faculty string, organization_id int")
+    assert rows(authors.person_data(registry, tree_, words)) == [(7, ["Faculty of Arts"], "Large Studio"), (8, [], None)]
