@@ -14,14 +14,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scriptorium.operators.dedup import components
 from scriptorium.plans.lineage import reliable
 
 ROUNDS = 8
 #: EM ends when no figure of an observer moves by more than this.
 SETTLED = 1e-3
 MAX_OBSERVERS = 100_000
-#: Components end within a few rounds, at most about the logarithm of the longest chain; more is an error, not an answer.
-MAX_ROUNDS = 60
 #: Sensitivity and specificity at the start. The four faults exclude each other, so they are one observer's, not four.
 START = {"reader": (0.98, 0.95), "export": (0.6, 0.5)}
 PRIOR = 0.7
@@ -36,33 +35,6 @@ STAND_INS = (
 LINKING = ("of", "and", "the", "for", "in", "a", "und", "der", "die", "das", "für", "et", "de", "la", "le", "a", "pro", "v")
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """``node, component`` of the undirected ``edges``; the component is its smallest node.
-
-    Null ends are ignored, an edge to itself makes a node of its own, repeated edges count once. An error is raised if
-    ``max_rounds`` don't suffice.
-    """
-    raw = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).filter("u is not null and v is not null")
-    nodes = raw.select("u").unionByName(raw.select(F.col("v").alias("u"))).distinct()
-    pairs = reliable(raw.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    for _ in range(max_rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(small_least, "u")
-        small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        pairs = reliable(small)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-    else:
-        raise RuntimeError(f"components haven't settled after {max_rounds} rounds")
-    return nodes.join(pairs.withColumnRenamed("v", "m"), "u", "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))
-
-
 def _plain(value: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")))
 
