@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions.similarity import jaro_winkler_udf, may_reach
+from scriptorium.plans.lineage import reliable
 from scriptorium.settings import Settings
 
 # Order of the stages of the cascade.
@@ -101,19 +102,25 @@ def match_names(candidates: DataFrame, registry: DataFrame, settings: Settings =
 
     mine = names.select("name", "norm", F.explode(signatures(F.col("name"))).alias("s")).select("name", "norm", "s.surname", "s.initials")
     theirs = forms.select("author_id", "norm", F.explode(signatures(F.col("name"))).alias("s")).select("author_id", F.col("norm").alias("their_norm"), "s.surname", F.col("s.initials").alias("their_initials")).distinct()
-    near = mine.join(theirs, "surname")
-    fits = (F.col("initials") != "") & (F.col("their_initials") != "") & (F.col("their_initials").startswith(F.col("initials")) | F.col("initials").startswith(F.col("their_initials")))
-    by_initials = near.filter(fits).groupBy("name").agg(F.min("author_id").alias("author_id"), (F.min("author_id") != F.max("author_id")).alias("several"))
+    # Names with initials meet persons by surname and first initial, only those without any meet all of a surname; what is
+    # asked of a surname as a whole comes from one row for each surname. So a common surname makes no pairs of its own.
+    initial = lambda c: F.substring(c, 1, 1)
+    first = mine.filter("initials <> ''").withColumn("letter", initial("initials"))
+    known = theirs.filter("their_initials <> ''").withColumn("letter", initial("their_initials"))
+    fitting = F.col("their_initials").startswith(F.col("initials")) | F.col("initials").startswith(F.col("their_initials"))
+    fits = reliable(first.join(known, ["surname", "letter"]).filter(fitting).select("name", "norm", "author_id", "their_norm").distinct())  # read three times
+    surnames = theirs.groupBy("surname").agg(F.min("author_id").alias("a"), F.max("author_id").alias("b"))
+    by_initials = fits.groupBy("name").agg(F.min("author_id").alias("author_id"), (F.min("author_id") != F.max("author_id")).alias("several"))
     row = lambda df, kind, score, author: df.select("name", author.alias("author_id"), F.lit(kind).alias("match_type"), F.lit(score).alias("score"), F.lit(STAGES.index(kind)).alias("stage"))
     nobody = F.lit(None).cast("bigint")
     found.append(row(by_initials.filter("not several"), "initial_surname", 0.98, F.col("author_id")))
     found.append(row(by_initials.filter("several"), "ambiguous_initials", 0.0, nobody))
-    bare = mine.groupBy("name").agg(F.max("initials").alias("most"))
-    by_surname = near.join(bare.filter("most = ''"), "name").groupBy("name").agg((F.min("author_id") != F.max("author_id")).alias("several")).filter("several")
+    bare = mine.groupBy("name").agg(F.max("initials").alias("most")).filter("most = ''").select("name")
+    by_surname = mine.join(bare, "name").join(surnames, "surname").groupBy("name").agg((F.min("a") != F.max("b")).alias("several")).filter("several")
     found.append(row(by_surname, "ambiguous_surname", 0.0, nobody))
-    has = near.groupBy("name").agg(F.max(fits).alias("any_fits"), F.max(F.col("initials") != "").alias("has_initials"))
-    found.append(row(has.filter("has_initials and not any_fits"), "initial_mismatch", 0.0, nobody))
-    pool = near.filter(F.when(F.col("initials") != "", fits).otherwise(F.lit(True))).select("name", "norm", "author_id", "their_norm").distinct()
+    mismatch = first.join(surnames, "surname", "left_semi").select("name").distinct().join(by_initials.select("name"), "name", "left_anti")
+    found.append(row(mismatch, "initial_mismatch", 0.0, nobody))
+    pool = fits.unionByName(mine.filter("initials = ''").join(theirs, "surname").select("name", "norm", "author_id", "their_norm")).distinct()
     scored = pool.filter(may_reach(F.col("norm"), F.col("their_norm"), settings.author_match_threshold)).withColumn("score", jaro_winkler_udf("norm", "their_norm"))
     best = scored.filter(F.col("score") >= settings.author_match_threshold).groupBy("name").agg(F.max_by("author_id", F.struct("score", -F.col("author_id"))).alias("author_id"), F.max("score").alias("score"))
     found.append(best.select("name", "author_id", F.lit("fuzzy").alias("match_type"), F.round("score", 4).alias("score"), F.lit(STAGES.index("fuzzy")).alias("stage")))
