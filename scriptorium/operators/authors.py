@@ -62,11 +62,15 @@ def richness(name: Column) -> Column:
 def merge_names(names: DataFrame) -> DataFrame:
     """``resource_id, names``: variants of one name merged in order of appearance, the richest kept, of equals the first.
 
-    ``names``: ``resource_id, pos, name``.
+    ``names``: ``resource_id, pos, name`` and, where several names may have one position, ``turn``, the order of these; what
+    that leaves open the text decides.
     """
     keyed = names.filter(X.utrim(F.col("name")) != "").withColumn("key", name_key(F.col("name")))
-    best = keyed.groupBy("resource_id", "key").agg(F.min("pos").alias("pos"), F.max_by("name", F.struct(richness(F.col("name")), -F.col("pos"))).alias("name"))
-    return best.groupBy("resource_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
+    place = F.struct("pos", *(["turn"] if "turn" in names.columns else []), "name")
+    rich = richness(F.col("name"))
+    poorness = [-rich[k] for k in ("comma", "words", "accents", "length")]
+    best = keyed.groupBy("resource_id", "key").agg(F.min(place).alias("place"), F.min_by("name", F.struct(*poorness, place)).alias("name"))
+    return best.groupBy("resource_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names"))
 
 
 def registry_forms(registry: DataFrame) -> DataFrame:
@@ -278,26 +282,31 @@ def compare_sets(rows: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def source_lists(records: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """``resource_id, source, pos, name``: authors as WoS, Scopus and the repository (``repo``) give them.
+    """``resource_id, source, pos, turn, name``: authors as WoS, Scopus and the repository (``repo``) give them.
 
     Where a record has a merge history, each source's authors are those of the merged rows with its tag; else the current
     authors go to WoS or Scopus if the record has exactly one of the tags. The repository list is WoS, Scopus, current.
+    Names of several merged rows share positions: ``turn`` says which row was merged first (time, then number; null for
+    current authors). Of copies of one row merged into one record the earliest counts.
     """
     tag = lambda c, words: F.coalesce(F.exists(c, lambda x: F.lower(x).rlike(words)), F.lit(False))
     names = lambda df, key, *cols: df.select(F.col(key).cast("bigint").alias("resource_id"), *cols, F.posexplode("dc_contributor_author").alias("pos", "name"))
-    current = names(records, "resource_id", tag("utb_source", "wos|wok").alias("w"), tag("utb_source", "scopus").alias("s"))
+    tags = (tag("utb_source", "wos|wok").alias("w"), tag("utb_source", "scopus").alias("s"))
+    current = names(records, "resource_id", *tags, F.lit(None).cast("struct<merged_at: timestamp, merged_id: bigint>").alias("turn"))
     if history is None:
         past = current.limit(0)
     else:
-        once = history.filter("resource_id <> dedup_kept_resource_id").dropDuplicates(["resource_id", "dedup_kept_resource_id"])
-        past = names(once, "dedup_kept_resource_id", tag("utb_source", "wos|wok").alias("w"), tag("utb_source", "scopus").alias("s"))
+        merged_at = F.col("dedup_merged_at") if "dedup_merged_at" in history.columns else F.lit(None)
+        copy = F.struct(merged_at.cast("timestamp").alias("merged_at"), "utb_source", "dc_contributor_author")
+        once = history.filter("resource_id <> dedup_kept_resource_id").groupBy("resource_id", "dedup_kept_resource_id").agg(F.min(copy).alias("x")).select("resource_id", "dedup_kept_resource_id", "x.*")
+        past = names(once, "dedup_kept_resource_id", *tags, F.struct("merged_at", F.col("resource_id").cast("bigint").alias("merged_id")).alias("turn"))
     known = past.select("resource_id").distinct()
     alone = current.join(known, "resource_id", "left_anti").filter(F.col("w") != F.col("s"))
     tagged = past.unionByName(alone)
-    wos, scopus = tagged.filter("w").select("resource_id", F.lit("wos").alias("source"), "pos", "name"), tagged.filter("s").select("resource_id", F.lit("scopus").alias("source"), "pos", "name")
+    wos, scopus = tagged.filter("w").select("resource_id", F.lit("wos").alias("source"), "pos", "turn", "name"), tagged.filter("s").select("resource_id", F.lit("scopus").alias("source"), "pos", "turn", "name")
     step = F.when(F.col("source") == "wos", 0).otherwise(1_000_000_000)
-    repo = wos.unionByName(scopus).select("resource_id", (F.col("pos") + step).alias("pos"), "name").unionByName(current.select("resource_id", (F.col("pos") + 2_000_000_000).alias("pos"), "name"))
-    return wos.unionByName(scopus).unionByName(repo.select("resource_id", F.lit("repo").alias("source"), "pos", "name"))
+    repo = wos.unionByName(scopus).select("resource_id", (F.col("pos") + step).alias("pos"), "turn", "name").unionByName(current.select("resource_id", (F.col("pos") + 2_000_000_000).alias("pos"), "turn", "name"))
+    return wos.unionByName(scopus).unionByName(repo.select("resource_id", F.lit("repo").alias("source"), "pos", "turn", "name"))
 
 
 #: Room for the positions of one source in a merged order.
@@ -308,10 +317,10 @@ def author_inputs(records: DataFrame, blocks: DataFrame, history: DataFrame | No
     """``resource_id, names``: one list of authors from repository, WoS, Scopus, and both kinds of affiliation blocks, in this order."""
     lists = source_lists(records, history)
     order = F.when(F.col("source") == "repo", 0).when(F.col("source") == "wos", 1).otherwise(2)
-    rows = lists.select("resource_id", (order * _SHELF + F.col("pos")).alias("pos"), "name")
+    rows = lists.select("resource_id", (order * _SHELF + F.col("pos")).alias("pos"), "turn", "name")
     place = F.when(F.col("source") == "scopus", 3).otherwise(4)
     named = blocks.filter("author is not null").select("resource_id", (place * _SHELF + F.col("pos")).alias("pos"), F.col("author").alias("name"))
-    return merge_names(rows.unionByName(named))
+    return merge_names(rows.unionByName(named, allowMissingColumns=True))
 
 
 def align_blocks(records: DataFrame, blocks: DataFrame) -> DataFrame:

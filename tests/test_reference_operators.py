@@ -128,6 +128,15 @@ def test_author_inputs(records, spark):
     assert tuple(parts) == ("Dep. A", "Faculty B", "Some University")
 
 
+def test_author_inputs_of_equal_positions(records, spark):
+    df = records({"resource_id": 1})
+    merged = [(7, "2025-02-01", ["Zeman, Karel", "ADAM, Petr"]), (5, "2025-03-01", ["Bílý, Ota", "Adam, Petr"]), (6, "2025-03-01", ["Abel, Ivo", "Cibulka, Jan"]), (7, "2025-04-01", ["Aron, Jan"])]
+    for order in (merged, merged[::-1]):
+        past = spark.createDataFrame(order, "resource_id bigint, at string, dc_contributor_author array<string>").coalesce(1).select(
+            "resource_id", "dc_contributor_author", F.array(F.lit("j-wok")).alias("utb_source"), F.lit(1).alias("dedup_kept_resource_id"), F.to_timestamp("at").alias("dedup_merged_at"))
+        assert authors.author_inputs(df, affiliations.affiliation_blocks(df), past).first().names == ["Zeman, Karel", "Bílý, Ota", "Abel, Ivo", "ADAM, Petr", "Cibulka, Jan"]
+
+
 def test_summaries_and_candidates(spark):
     reg = registry(spark, (1, "Novák, Jan", None, None, None, None), (2, "Novak, Jan", None, None, None, None))
     assert rows(review.author_summaries(reg)) == [("novak, jan", 2, 2, "")]
