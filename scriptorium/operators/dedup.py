@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions.similarity import jaro_winkler_udf, may_reach
@@ -33,17 +33,22 @@ def exact_members(records: DataFrame, column: str) -> DataFrame:
     return rows.join(groups.select("value", "kept_id"), "value").filter("resource_id <> kept_id").select("value", "kept_id", "resource_id")
 
 
+def _digest(text: Column) -> Column:
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
 def _comparable(records: DataFrame) -> DataFrame:
     present = lambda c: F.coalesce(X.utrim(F.col(c)) != "", F.lit(False))
     return records.select(
         "resource_id",
         X.title_form(X.utrim(F.try_element_at("dc_title", F.lit(1)))).alias("title"),
-        X.authors_form(F.coalesce("dc_contributor_author", F.array().cast("array<string>"))).alias("authors"),
-        X.normalise(F.try_element_at("dc_description_abstract", F.lit(1))).alias("abstract"),
+        _digest(X.authors_form(F.coalesce("dc_contributor_author", F.array().cast("array<string>")))).alias("authors"),
+        _digest(X.normalise(F.try_element_at("dc_description_abstract", F.lit(1)))).alias("abstract"),
         F.coalesce(X.issn_form(F.try_element_at("dc_identifier_issn", F.lit(1))), F.lit("")).alias("issn"),
         F.coalesce(X.value_form(F.col("dc_type")), F.lit("")).alias("doctype"),
         (present("utb_relation_volume") | present("utb_relation_issue")).alias("pages"),
-    ).filter("title <> ''")
+    )
 
 
 def content_links(records: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -53,38 +58,45 @@ def content_links(records: DataFrame, settings: Settings = Settings()) -> DataFr
     abstracts and ISSN equal. Records equal in all of these are one class: its smallest id is linked with each other
     member, and classes are linked through their smallest ids. Candidates share a title key *and* a piece of equal
     evidence, so no common title beginning or hot journal alone makes pairs; the similarity is computed last.
+
+    Authors and abstracts are compared by digest, and candidates meet as two numbers, so no text is sent once for each key.
     """
-    rows = _comparable(records)
+    empty = _digest(F.lit(""))
     alike = ["title", "authors", "abstract", "issn", "doctype", "pages"]
-    classes = rows.groupBy(*alike).agg(F.min("resource_id").alias("rep"), F.count("*").alias("n"))
-    inner = rows.join(classes.filter("n > 1"), alike).filter("resource_id <> rep and (authors <> '' or abstract <> '' or issn <> '')")
+    some = (F.col("title") != "") & ((F.col("authors") != empty) | (F.col("abstract") != empty) | (F.col("issn") != ""))
+    # What can't be linked is a class of its own here, so it makes no hot group; it leaves after the cut, as a filter before
+    # it would compute the forms once more.
+    same = F.when(some, _digest(F.to_json(F.struct(*alike)))).otherwise(_digest(F.col("resource_id").cast("string")))
+    rows = _comparable(records).withColumn("same", same).withColumn("rep", F.min("resource_id").over(Window.partitionBy("same"))).drop("same")
+    rows = reliable(rows).filter(some)
+    inner = rows.filter("resource_id <> rep")
     inner = inner.select(F.col("rep").alias("id_a"), F.col("resource_id").alias("id_b"), F.when(F.col("issn") != "", "exact:content").otherwise("autoplagiat").alias("match_type"), F.lit(1.0).alias("score"))
+    classes = rows.filter("resource_id = rep")
 
     # Equal ISSNs decide only where authors and abstracts can't both be compared. A class takes part in such pairs as one
     # side or the other by what it lacks, so complete records of a hot journal never meet each other through it.
-    lacks = F.when((F.col("authors") == "") & (F.col("abstract") == ""), "both").when(F.col("authors") == "", "authors").when(F.col("abstract") == "", "abstract").otherwise("nothing")
+    lacks = F.when((F.col("authors") == empty) & (F.col("abstract") == empty), "both").when(F.col("authors") == empty, "authors").when(F.col("abstract") == empty, "abstract").otherwise("nothing")
     left_roles = {"nothing": ["nothing~both"], "authors": ["authors~abstract", "authors~both"], "abstract": ["abstract~both"], "both": ["both~both"]}
     right_roles = {"both": ["nothing~both", "authors~both", "abstract~both", "both~both"], "abstract": ["authors~abstract"]}
 
-    def evidence(roles: dict[str, list[str]]) -> Column:
-        texts = F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}:"), F.xxhash64(c).cast("string"))) for c in ("authors", "abstract")])
+    def meeting(roles: dict[str, list[str]], side: str) -> DataFrame:
+        """``k, rep``: a number for each title key with each piece of evidence."""
+        texts = F.array(*[F.when(F.col(c) != empty, F.xxhash64(F.lit(c), c)) for c in ("authors", "abstract")])
         part = F.array().cast("array<string>")
         for what, names in roles.items():
             part = F.when(lacks == what, F.array(*map(F.lit, names))).otherwise(part)
-        issn = F.when(F.col("issn") != "", F.transform(part, lambda r: F.concat(F.lit("issn:"), r, F.lit(":"), F.col("issn")))).otherwise(F.array().cast("array<string>"))
-        return F.array_compact(F.concat(texts, issn))
-
-    keyed = classes.withColumn("k", F.explode(X.title_keys(F.col("title"))))
-    a = keyed.select([F.col(c).alias(f"{c}_a") for c in ("rep", *alike)] + ["k", F.explode(evidence(left_roles)).alias("e")])
-    b = keyed.select([F.col(c).alias(f"{c}_b") for c in ("rep", *alike)] + ["k", F.explode(evidence(right_roles)).alias("e")])
-    both_or = lambda c: (F.col(f"{c}_a") == "") | (F.col(f"{c}_b") == "") | (F.col(f"{c}_a") == F.col(f"{c}_b"))
-    met = a.join(b, ["k", "e"]).filter(F.col("rep_a") != F.col("rep_b")).filter(both_or("authors") & both_or("abstract"))
-    turned = F.col("rep_a") > F.col("rep_b")
-    side = lambda c, first, second: F.when(turned, F.col(f"{c}_{second}")).otherwise(F.col(f"{c}_{first}"))
-    pairs = met.select(*[side(c, "a", "b").alias(f"{c}_a") for c in ("rep", *alike)], *[side(c, "b", "a").alias(f"{c}_b") for c in ("rep", *alike)], "k", "e")
-    pairs = pairs.filter((F.col("title_a") == F.col("title_b")) | may_reach(F.col("title_a"), F.col("title_b"), settings.content_title_threshold)).drop("k", "e").dropDuplicates(["rep_a", "rep_b"])
+        issn = F.when(F.col("issn") != "", F.transform(part, lambda r: F.xxhash64(r, F.col("issn")))).otherwise(F.array().cast("array<bigint>"))
+        keyed = classes.select("rep", F.explode(X.title_keys(F.col("title"))).alias("k"), F.array_compact(F.concat(texts, issn)).alias("e"))
+        return keyed.select(F.col("rep").alias(f"rep_{side}"), "k", F.explode("e").alias("e")).select(F.xxhash64("k", "e").alias("k"), f"rep_{side}")
+
+    met = meeting(left_roles, "a").join(meeting(right_roles, "b"), "k").filter("rep_a <> rep_b").select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
+    pairs = met.join(classes.select(*[F.col(c).alias(f"{c}_a") for c in ("rep", *alike)]), "rep_a").join(classes.select(*[F.col(c).alias(f"{c}_b") for c in ("rep", *alike)]), "rep_b")
+    both_or = lambda c: (F.col(f"{c}_a") == empty) | (F.col(f"{c}_b") == empty) | (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    shared = lambda c, none: (F.col(f"{c}_a") != none) & (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    same_issn = shared("issn", F.lit(""))
+    pairs = pairs.filter(both_or("authors") & both_or("abstract") & (shared("authors", empty) | shared("abstract", empty) | same_issn))
+    pairs = pairs.filter((F.col("title_a") == F.col("title_b")) | may_reach(F.col("title_a"), F.col("title_b"), settings.content_title_threshold))
     scored = pairs.withColumn("score", jaro_winkler_udf("title_a", "title_b")).filter(F.col("score") >= settings.content_title_threshold)
-    same_issn = (F.col("issn_a") != "") & (F.col("issn_a") == F.col("issn_b"))
     kinds = F.array_sort(F.array("doctype_a", "doctype_b")) == F.array(F.lit("article"), F.lit("conferenceobject"))
     kind = F.when(same_issn & (F.col("pages_a") != F.col("pages_b")), "early_access").when(~same_issn & kinds, "merged_type").when(~same_issn, "autoplagiat").otherwise("exact:content")
     between = scored.select(F.col("rep_a").alias("id_a"), F.col("rep_b").alias("id_b"), kind.alias("match_type"), F.round("score", 4).alias("score"))
@@ -160,8 +172,9 @@ def plan_merges(actions: DataFrame) -> DataFrame:
     """``seq, kept_id, deleted_id, component``: the fold of ordered ``actions`` (``seq, kept_id, deleted_id``).
 
     Actions of one connected set of records are folded together in order of ``seq``; sets are folded apart from each other.
-    Only a set's ids are held by a task, never its records.
+    Only a set's ids are held by a task, never its records. The actions are found once, not once for each use.
     """
+    actions = reliable(actions.select("seq", "kept_id", "deleted_id"))
     nodes = components(actions.select("kept_id", "deleted_id"), "kept_id", "deleted_id")
     rows = actions.join(nodes, actions["kept_id"] == nodes["node"]).select("seq", "kept_id", "deleted_id", "component")
 
@@ -214,6 +227,7 @@ def merge_records(records: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataF
     """
     there = records.select("resource_id")
     live = plan.join(there.withColumnRenamed("resource_id", "kept_id"), "kept_id", "left_semi").join(there.withColumnRenamed("resource_id", "deleted_id"), "deleted_id", "left_semi")
+    live = reliable(live)  # five uses; the plan and what it comes from are computed once
     final = live.join(live.select(F.col("deleted_id").alias("kept_id")).distinct(), "kept_id", "left_anti")
     roots = components(live, "kept_id", "deleted_id")
     top = final.select("kept_id").distinct().join(roots, F.col("kept_id") == F.col("node")).select(F.col("kept_id").alias("root"), "component")

@@ -245,6 +245,21 @@ def test_merge(records, spark):
     assert sorted(r.resource_id for r in kept.collect()) == [1, 4] and history.count() == 4
 
 
+def test_content_links_and_merges_are_computed_once(records):
+    base = {"dc_title": "Thermal study of modern polymer science", "dc_contributor_author": ["A, B"], "dc_description_abstract": "text", "dc_identifier_issn": "1111-2222", "utb_source": ["a"]}
+    df = records({"resource_id": 1, **base}, {"resource_id": 2, **base, "utb_source": ["b"]}, {"resource_id": 3, **base, "dc_title": base["dc_title"] + "s"}, {"resource_id": 4, "dc_title": base["dc_title"]}, {"resource_id": 5, "dc_title": base["dc_title"]})
+    planned = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    links = dedup.content_links(df)
+    assert "dc_description_abstract" not in planned(links)  # no long text behind the keys
+    assert sorted((r.id_a, r.id_b) for r in links.collect()) == [(1, 2), (1, 3)]
+    chosen = dedup.survivor(links, df)
+    plan = dedup.plan_merges(chosen.select(F.struct("id_a", "id_b", "match_type").alias("seq"), "kept_id", "deleted_id"))
+    assert "ArrowEvalPython" not in planned(plan)
+    kept, history = dedup.merge_records(df, plan)
+    assert "FlatMapGroupsInArrow" not in planned(kept)
+    assert {r.resource_id: r.utb_source for r in kept.collect()} == {1: ["a", "b"], 4: None, 5: None}
+
+
 def test_review(records, spark):
     df = records(
         {"resource_id": 1, "dc_identifier_doi": "10.1/a", "utb_source": ["j-wok"], "dc_title": "Polymer study"}, {"resource_id": 2, "dc_identifier_doi": "10.1/A", "utb_source": ["j-riv"]},
