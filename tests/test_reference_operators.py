@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import random
 from datetime import date, datetime
 
 import pytest
@@ -10,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium import schema
-from scriptorium.functions import fulltext_dates as D
+from scriptorium.functions import fulltext_dates as D, text as X
 from scriptorium.functions.similarity import jaro_winkler
 from scriptorium.operators import affiliations, authors, completion, crossref, dates, dedup, journals, review, tree, validate
 from scriptorium.settings import Settings
@@ -217,6 +219,28 @@ def test_fuzzy_links_against_brute_force(records):
     assert set(got) == want and got[0, 1] == "fuzzy_title+issn"
 
 
+def test_fuzzy_links_of_many_parts(records, monkeypatch):
+    monkeypatch.setattr(dedup, "FUZZY_PART", 5)
+    words = ["aging", "ageing", "of", "polymer", "polymers", "film", "films", "fľms", "x" * 70, "y" * 300]
+    draw = random.Random(3)
+    given = [(" ".join(draw.choices(words[:8] if i % 6 else words, k=draw.randint(1, 5))), draw.choice([None, "2018", "2019", "2020", "2022"]), draw.choice([None, "1111-2222", "3333-4444"])) for i in range(90)]
+    df = records(*[{"resource_id": i, "dc_title": t, "dc_date_issued": y, "dc_identifier_issn": n} for i, (t, y, n) in enumerate(given)])
+    form = {r.resource_id: r.title for r in df.select("resource_id", X.title_form(F.col("dc_title")[0]).alias("title")).collect()}
+    first = {}
+    for i, (_, y, n) in enumerate(given):
+        first.setdefault((form[i], y, n), i)
+    near = lambda a, b: (a is None and b is None) or (a and b and abs(int(a) - int(b)) <= 1)
+    want = {(rep, i): 1.0 for i, (_, y, n) in enumerate(given) if (rep := first[form[i], y, n]) != i}
+    for i, j in itertools.combinations(sorted(first.values()), 2):
+        if near(given[i][1], given[j][1]) and (score := jaro_winkler(form[i], form[j])) >= 0.85:
+            want[i, j] = round(score, 4)
+    links = dedup.fuzzy_links(df)
+    got = [((r.id_a, r.id_b), r.match_type, r.score) for r in links.collect()]
+    assert len(got) == len(want) and {p: s for p, _, s in got} == pytest.approx(want, abs=1e-4)
+    assert all((k == "fuzzy_title+issn") == bool(given[i][2] and given[i][2] == given[j][2]) for (i, j), k, _ in got)
+    assert "ArrowEvalPython" not in links._jdf.queryExecution().optimizedPlan().toString()  # no call for each pair
+
+
 def test_plan():
     assert dedup.plan_fold([(1, 2), (2, 3)]) == [(1, 2), (1, 3)]
     assert dedup.plan_fold([(10, 20), (5, 20)]) == [(10, 20), (10, 5)]
