@@ -284,6 +284,13 @@ def test_content_links_and_merges_are_computed_once(records):
     assert {r.resource_id: r.utb_source for r in kept.collect()} == {1: ["a", "b"], 4: None, 5: None}
 
 
+def test_history_is_cut_from_the_plan(records, spark):
+    df = records({"resource_id": 1, "dc_title": "T"}, {"resource_id": 2, "dc_title": "T"}, {"resource_id": 3, "dc_title": "other"})
+    history = dedup.merge_records(df, dedup.plan_merges(spark.createDataFrame([(0, 1, 2), (1, 3, 99)], "seq bigint, kept_id bigint, deleted_id bigint")))[1]
+    assert "FlatMapGroupsInArrow" not in history._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.resource_id, r.dedup_kept_resource_id, r.dedup_other_resource_id) for r in history.collect()) == [(1, 1, 2), (2, 1, 2)]
+
+
 def test_review(records, spark):
     df = records(
         {"resource_id": 1, "dc_identifier_doi": "10.1/a", "utb_source": ["j-wok"], "dc_title": "Polymer study"}, {"resource_id": 2, "dc_identifier_doi": "10.1/A", "utb_source": ["j-riv"]},
